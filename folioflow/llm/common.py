@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space; the pattern splits at the white space.
-SPACE = r"[\x20\x09-\x0D]+"
+#: Words are runs of anything but these.
+SPACES = " \t\n\x0b\x0c\r"
 #: A join side is broadcast only when its rows have been counted and are no more than this.
 BROADCAST_ROWS = 200_000
 LOCAL_WORK = "/tmp/checkpoints"
@@ -51,8 +51,15 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """The words of a text; null and blank texts have none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    """The words of a text; null and blank texts have none.
+
+    Replacing and splitting at one literal character is several times as fast
+    as splitting by a pattern.
+    """
+    spaced = F.coalesce(text, F.lit(""))
+    for x in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(x), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text: Column) -> Column:

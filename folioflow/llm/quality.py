@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-#: Words in a window of which a repetition counts.
+#: Words in a window of which a repetition counts; a power of two, see measure.
 WINDOW = 8
 #: Frequent function words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("bullet_line_ratio", None, 0.9),
     ("ellipsis_line_ratio", None, 0.3),
     ("duplicate_line_ratio", None, 0.5),
-    ("alphabetic_word_ratio", 0.6, None),
+    ("letter_ratio", 0.6, None),
     ("adjacent_repeat_ratio", None, 0.3),
 )
 
@@ -45,6 +45,12 @@ def _repeated_starts(order: str) -> Column:
     return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
 
+def _joined(source: str, half: int) -> Column:
+    """For each place, one hash of the entries there and half places further on."""
+    rest = F.slice(source, F.lit(half + 1), F.greatest(F.size(source), F.lit(1)))
+    return F.zip_with(source, rest, lambda a, b: F.xxhash64(a, b))
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -59,21 +65,17 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumns({"_t": text, "_w": words(F.col("text"))})
-    stop = F.array(*[F.lit(x) for x in STOP_WORDS])
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.withColumns(
         {
             "_l": lines,
-            "_h": F.when(
-                F.size("_w") > WINDOW,
-                F.transform(
-                    F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)),
-                    lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW)),
-                ),
-            ),
         }
     )
-    again = F.col("_h").isNotNull() & (F.size(F.array_distinct("_h")) < F.size("_h"))
+    # Hashes of two words, of four and of eight: each from two hashes of half the length.
+    for source, half in (("_w", 1), ("_h", 2), ("_h", 4)):
+        base = base.withColumn("_h", _joined(source, half))
+    base = base.withColumn("_h", F.slice("_h", F.lit(1), F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))))
+    again = F.size(F.array_distinct("_h")) < F.size("_h")
     base = base.withColumn(
         "_o",
         F.when(again, F.sort_array(F.transform("_h", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))),
@@ -87,12 +89,12 @@ def measure(docs: DataFrame) -> DataFrame:
     counted = {
         "n_words": n,
         "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(reach, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
-        "_stop": F.size(F.filter("_w", lambda x: F.array_contains(stop, F.lower(x)))),
-        "_alpha": F.size(F.filter("_w", lambda x: x.rlike(r"\p{L}"))),
+        "_stop": F.size(F.filter("_w", lambda x: F.lower(x).isin(*STOP_WORDS))),
+        "_letters": F.length(F.regexp_replace("_t", r"\P{L}+", "")),
         "_echo": F.size(F.filter("_w", lambda x, j: x == F.get(F.col("_w"), j - 1))),
         "_bullet": F.size(F.filter("_l", lambda x: x.rlike(r"^[\x20\t]*[-*•]"))),
         "_dots": F.size(F.filter("_l", lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\t\r]*$"))),
@@ -103,13 +105,13 @@ def measure(docs: DataFrame) -> DataFrame:
         "mean_word_length": _ratio(F.col("word_chars"), n),
         "symbol_ratio": _ratio(F.col("n_symbols"), n),
         "stop_word_ratio": _ratio(F.col("_stop"), n),
-        "alphabetic_word_ratio": _ratio(F.col("_alpha"), n),
+        "letter_ratio": _ratio(F.col("_letters"), F.col("word_chars")),
         "adjacent_repeat_ratio": _ratio(F.col("_echo"), n),
         "duplicate_line_ratio": _ratio(F.col("n_dup_lines"), lines_),
         "bullet_line_ratio": _ratio(F.col("_bullet"), lines_),
         "ellipsis_line_ratio": _ratio(F.col("_dots"), lines_),
     }
-    return base.withColumns(ratios).drop("_t", "_w", "_l", "_h", "_o", "_s", "_stop", "_alpha", "_echo", "_bullet", "_dots")
+    return base.withColumns(ratios).drop("_t", "_w", "_l", "_h", "_o", "_s", "_stop", "_letters", "_echo", "_bullet", "_dots")
 
 
 def verdict(rules=RULES) -> Column:
