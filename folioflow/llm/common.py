@@ -92,10 +92,10 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     keys = [*group, bucket]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(starts, keys)
-        .withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_start")
+        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_before")
     )

@@ -56,7 +56,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Add to docs (columns doc_id and text are used) the measures that rules refer to.
+    """Add to docs (of which text is used) the measures that rules refer to.
 
     Null texts are empty texts; a text without words has ratios 0. Each row is
     measured by itself, so ties and repeated rows need no care, and an empty
@@ -134,3 +134,9 @@ def judge_quality(docs: DataFrame, rules=RULES) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = measure(docs).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_documents(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns, whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return judge_quality(docs.select(whole, "text"), rules).filter("kept").select("_row.*")
