@@ -7,6 +7,7 @@ the driver and its tasks share one file system.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,9 +31,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it again: cuts the lineage and survives lost executors."""
+def keep(df: DataFrame, path: str, tidy: bool = False) -> DataFrame:
+    """Write df as Parquet and read it again: cuts the lineage and survives lost executors.
+
+    tidy: also let go of the shuffle files of the steps that led here, which
+    otherwise stay until the driver happens to collect its garbage.
+    """
     df.write.mode("overwrite").parquet(path)
+    if tidy:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
