@@ -30,7 +30,6 @@ END_ID = 2
 MOST_PIECES = 3_000_000
 #: Bytes of text that are encoded at once; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 22
-SCHEMA = pa.schema([pa.field("ids", pa.list_(pa.uint32(), SEQUENCE)), pa.field("mask", pa.list_(pa.uint8(), SEQUENCE))])
 DOC_SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64())])
 MANIFEST = "part int, tokens_file string, docs_file string, documents long, tokens long"
 
@@ -82,6 +81,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self.largest_id = self._tokenizer.get_vocab_size(with_added_tokens=True) - 1
         self._line_feed = self._ids(["\n"])[0][0]
         self._clear()
 
@@ -169,12 +169,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def file_schema(largest_id: int) -> pa.Schema:
+    """Ids take 16 bits where all fit, else 32; masks take one bit."""
+    kind = pa.uint16() if largest_id < 1 << 16 else pa.uint32()
+    return pa.schema([pa.field("ids", pa.list_(kind, SEQUENCE)), pa.field("mask", pa.list_(pa.bool_(), SEQUENCE))])
+
+
 class _SequenceFile:
     """An Arrow IPC file that takes a stream of ids and cuts it into full batches."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, largest_id: int):
         self.file = NewFile(folder, "tokens", ".arrow")
-        self._out = ipc.new_file(self.file.stream, SCHEMA)
+        self._schema = file_schema(largest_id)
+        self._kind = self._schema.field("ids").type.value_type.to_pandas_dtype()
+        self._out = ipc.new_file(self.file.stream, self._schema)
         self._held: list[np.ndarray] = []
         self._size = 0
 
@@ -188,10 +196,9 @@ class _SequenceFile:
             self._held, self._size = [flat[whole:]], self._size - whole
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)]
-        self._out.write_batch(pa.RecordBatch.from_arrays(lists, schema=SCHEMA))
+        mask = np.arange(len(ids)) < real
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids.astype(self._kind), mask)]
+        self._out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self._schema))
 
     def close(self) -> None:
         if self._size:
@@ -207,7 +214,7 @@ def _writer(folder: str, path: str, end_id: int):
 
         tokens, docs_file, docs, total, count = None, None, None, 0, 0
         for b in batches:
-            tokens = tokens or _SequenceFile(folder)
+            tokens = tokens or _SequenceFile(folder, max(encoder(path).largest_id, end_id))
             if docs_file is None:
                 docs_file = NewFile(folder, "documents", ".arrow")
                 docs = ipc.new_file(docs_file.stream, DOC_SCHEMA)
@@ -258,13 +265,13 @@ def open_sequences(folder: str, name: str) -> ipc.RecordBatchFileReader:
 
 
 def token_range(reader: ipc.RecordBatchFileReader, start: int, end: int) -> np.ndarray:
-    """Ids start to end of a file's stream."""
+    """Ids start to end of a file's stream; a view of the file where they lie in one batch."""
     out = []
     for k in range(start // (SEQUENCE * BATCH), -(-end // (SEQUENCE * BATCH))):
         flat = reader.get_batch(k).column("ids").flatten().to_numpy()
         first = k * SEQUENCE * BATCH
         out.append(flat[max(start - first, 0) : end - first])
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
