@@ -1,0 +1 @@
+"""Document-to-narration analytics on PySpark."""
