@@ -133,13 +133,12 @@ def judge_quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = measure(docs).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    # rand() < 2 always holds; it keeps Spark from pushing a later filter below the measures, which would write out every
+    # measure's whole expression for each of its uses and never finish planning.
+    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.rand(0) < 2))
 
 
 def kept_documents(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns, whatever their names."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    judged = judge_quality(docs.select(whole, "text"), rules)
-    # rand() < 2 always holds; it keeps Spark from pushing the filter below the measures, which would write out every
-    # measure's whole expression for each of its uses and never finish planning.
-    return judged.withColumn("_stays", F.col("kept") & (F.rand(0) < 2)).filter("_stays").select("_row.*")
+    return judge_quality(docs.select(whole, "text"), rules).filter("kept").select("_row.*")
