@@ -137,7 +137,7 @@ def leaks(docs, items, threshold=0.75):
             bag = Counter(shingles(passage))
             n = sum(bag.values())
             w = len(words(passage))
-            runs = [s[i : i + n] for i in range(len(s) - n + 1)] if w >= 5 else [[tuple(words(text.lower())[i : i + w])] for i in range(len(words(text or "")) - w + 1)]
+            runs = [s[i : i + n] for i in range(len(s) - n + 1)] if w >= 5 else [[tuple(words((text or "").lower())[i : i + w])] for i in range(len(words(text or "")) - w + 1)]
             best = 0.0
             for run in runs if n else ():
                 both = sum((Counter(run) & bag).values())
@@ -394,9 +394,11 @@ def test_shards(spark, documents):
     sizes = [len(slots[k]) for k in range(16)]
     assert sum(sizes) == docs.count() and max(sizes) - min(sizes) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    for source in {s for s, _ in mix}:
+    # Before a fraction x lie n * x rows of a source, give or take half a row, so a cut is off by half a row a source.
+    names = {s for s, _ in mix}
+    for source in names:
         own = [mix[source, k] for k in range(16)]
-        assert max(own) - min(own) <= 2
+        assert max(abs(x - sum(own) / 16) for x in own) <= 1 + sum(own) * (len(names) + 1) / len(rows)
     assert sharding.assign_shards(docs.limit(0)).count() == 0
     assert sorted(map(str, rows)) == sorted(map(str, sharding.assign_shards(docs).collect()))
 
