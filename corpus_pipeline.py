@@ -8,6 +8,7 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioflow.llm import decontam, mixing, ngram_join, quality, token_files
 from folioflow.llm.common import keep, work_dir
@@ -38,9 +39,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix in the shared work folder, and where each document is in them."""
+    """Token files of the mix in the shared work folder, in training order, and where each document is in them.
+
+    docs must be read from the files that the mix was written to: the number of
+    a row's file and its place there are its place in the mix.
+    """
     ship_package(spark)
-    return token_files.token_output(docs, tokenizer_path())
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    order = {"_part": number, "_name": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")}
+    return token_files.token_output(docs.select("doc_id", "text", *[x.alias(c) for c, x in order.items()]), tokenizer_path(), list(order))
 
 
 STAGES = [

@@ -1,6 +1,6 @@
 """Token-ID output: Arrow stream-file format with fixed-size-list batches.
 
-Documents are range-sorted by doc_id and each partition packs its token stream
+Documents are range-sorted, by doc_id unless told otherwise, and each partition packs its token stream
 into sequences of one length, batch after batch, in an Arrow IPC file. A batch's
 ids and masks are fixed-size lists without nulls, so sequence k of a file is one
 slice of a memory map, found by arithmetic and read without copying. A second
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from .shingles import IS_SPACE, mix, text_slices
 #: Tokens in a sequence, and sequences in a batch.
 SEQUENCE, BATCH = 2048, 256
 END_ID = 2
+#: Columns that documents are sorted by unless the caller names others.
+ORDER = ("doc_id", "text")
 #: Different pieces of text whose ids a worker remembers, at most; then it starts anew.
 MOST_PIECES = 3_000_000
 #: Bytes of text that are encoded at once; a longer text makes a slice of its own.
@@ -242,21 +244,26 @@ def _writer(folder: str, path: str, end_id: int):
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Encode whole texts in ascending doc_id order into files in folder; returns the manifest, a written table.
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, order: Sequence[str] = ORDER) -> DataFrame:
+    """Encode whole texts in ascending order into files in folder; returns the manifest, a written table.
 
     The manifest has a row per partition that has documents: part, tokens_file,
-    docs_file, documents, tokens; parts follow each other in doc_id order.
+    docs_file, documents, tokens; parts follow each other in that order.
+    order: the columns to sort by; by default rows with the same doc_id follow
+    each other, ordered by text, and a null doc_id comes first.
     tokenizer: path of a vocabulary file of the tokenizers library, the same on
-    all machines. Null and empty texts are just the end id; a null doc_id comes
-    first; rows with the same doc_id follow each other, ordered by text; an
-    empty table writes no file. Other columns of docs are left out.
+    all machines. Null and empty texts are just the end id; an empty table
+    writes no file. Other columns of docs are left out.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = wanted.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    typed = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    wanted = docs.select(*[x.alias(c) for c, x in typed.items()], *[F.col(f"`{c}`") for c in order if c not in typed])
+    keys = [F.col(f"`{c}`") for c in order]
+    # A text may be long, so ranges are cut without it, if there is another column.
+    ranges = [F.col(f"`{c}`") for c in order if c != "text"] or keys
+    ordered = wanted.repartitionByRange(parts, *ranges).sortWithinPartitions(*keys)
     make_folder(folder)
-    return keep(ordered.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), f"{folder}/tables/manifest")
+    return keep(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), f"{folder}/tables/manifest")
 
 
 def open_sequences(folder: str, name: str) -> ipc.RecordBatchFileReader:
@@ -302,7 +309,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     return parts.repartition(rows, "part").mapInArrow(read, schema)
 
 
-def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, order: Sequence[str] = ORDER) -> DataFrame:
     """Write docs to files in the shared work folder and read them back; see write_tokens and read_tokens."""
     folder = work_dir(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, folder, tokenizer), folder)
+    return read_tokens(write_tokens(docs, folder, tokenizer, order=order), folder)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import decontam, licenses, mixing, ngram_join, pii, quality, queries, sharding, token_files, url_filter, warc
-from folioflow.llm.common import work_dir
+from folioflow.llm.common import keep, work_dir
 
 from ..duck import assert_same
 
@@ -420,6 +420,20 @@ def test_pipeline(spark, documents):
     assert Counter(r.doc_id for r in out.collect()) == mixed
 
 
+def test_pipeline_tokens_follow_the_mix(spark, documents):
+    folder = work_dir(spark, "test-mix")
+    mixed = keep(mixing.mixed_documents(documents.limit(150)), f"{folder}/mix")
+    files = sorted({r.f for r in mixed.select(F.col("_metadata.file_path").alias("f")).collect()})
+    wanted = [x for f in files for x in duckdb.sql(f"SELECT doc_id FROM '{f.removeprefix('file://')}'").fetchall()]
+    out = corpus_pipeline.token_output(spark, mixed, SF).orderBy("start").collect()
+    assert [(r.doc_id,) for r in out] == wanted and len(files) > 1
+    at = defaultdict(list)
+    for k, (i,) in enumerate(wanted):
+        at[i].append(k)
+    assert [i for (i,) in wanted] != sorted(i for (i,) in wanted)
+    assert max(max(v) - min(v) for v in at.values()) > 1
+
+
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert duckdb.__version__ and len(corpus_pipeline.STAGES) == 5
