@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Every benchmark item gives a 64-bit SimHash of its five-word shingles. A window
-of a document that is as long as an item gives one too. The fingerprints are cut
+of a document that is as long as an item gives one too, and a document that is a
+little shorter than an item is one window as a whole. The fingerprints are cut
 into blocks; two fingerprints within RADIUS differ by RADIUS // BLOCKS bits at
 most in one of the blocks, so looking up the blocks with that many bits changed
 finds every item within RADIUS. Candidates are then verified by the exact
@@ -144,15 +145,21 @@ def _search(queries: _Queries, shingles: np.ndarray, hits: np.ndarray, width: in
     for (size, words), at in near.items():
         if words != width:
             continue
-        starts = _windows(np.array(sorted(at)), size, len(shingles))
+        if len(shingles) < size:
+            # A shorter text can be similar enough only as a whole.
+            if len(shingles) / size < threshold:
+                continue
+            starts, length = np.zeros(1, np.int64), len(shingles)
+        else:
+            starts, length = _windows(np.array(sorted(at)), size, len(shingles)), size
         index, numbers = queries.by_size[size, words]
         # Runs of neighbouring windows share their sums; a gap of more than a window starts a new run.
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else ():
-            prints = fingerprints(shingles[run[0] : run[-1] + size], size)[run - run[0]]
+            prints = fingerprints(shingles[run[0] : run[-1] + length], length)[run - run[0]]
             for start, found in zip(run.tolist(), index.near(prints), strict=True):
                 if not len(found):
                     continue
-                bag = Counter(shingles[start : start + size].tolist())
+                bag = Counter(shingles[start : start + length].tolist())
                 for i in numbers[found].tolist():
                     similarity = weighted_jaccard(bag, queries.items[i][0])
                     if similarity >= threshold and similarity > best.get(i, (0.0, 0))[0]:
@@ -205,7 +212,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     """One row per document and benchmark item of which it has a window: doc_id, item_id, similarity, start_word.
 
     similarity: the best of the document's windows with as many words as the
-    item, by weighted Jaccard of five-word shingles, threshold or more;
+    item, or of the whole document if it has fewer, by weighted Jaccard of
+    five-word shingles, threshold or more;
     start_word: the word, from 0, at which the first such window starts. Items
     of fewer than five words are one shingle. Null or empty texts, on either
     side, match nothing; a repeated row gives its rows again; a repeated item_id

@@ -167,6 +167,30 @@ def test_leaks(spark):
     assert decontam.find_leaks(df.union(df), bench).count() == 2 * len(found)
 
 
+def test_leaks_in_shorter_documents(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(8)] + [(8, "one two three four five six seven eight nine")]
+    docs, wanted = [], {}
+    for i, passage in items:
+        w = passage.split()
+        n = len(w) - 4
+        for start in (0, 1, 3):
+            for end in range(max(len(w) - 12, 0), len(w) + 1):
+                text, m = " ".join(w[start:end]), max(min(end - start - 4, n), 0)
+                docs.append((len(docs), text))
+                if m / n >= 0.75:
+                    wanted[len(docs) - 1, i] = m / n
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_leaks(df, bench).collect()
+    assert all(r.start_word == 0 for r in found)
+    got = {(r.doc_id, r.item_id): r.similarity for r in found}
+    # Fingerprints of texts near the threshold may lie too far apart; see the README.
+    assert got == pytest.approx({k: wanted[k] for k in got}) and {k for k, s in wanted.items() if s > 0.8} <= set(got)
+    assert min(got.values()) < 0.8
+    assert {r.doc_id for r in decontam.clean_documents(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {tuple(r) for r in decontam.find_leaks(documents, bench).collect()}
