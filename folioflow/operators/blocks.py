@@ -29,13 +29,15 @@ _NAME = r"^</?([A-Za-z][^\x20\t\n\r\f/>]*)"
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references by the standard table, in Arrow batches; texts without & cost nothing there."""
+    """Character references by the standard table, in Arrow batches; texts without & go there as nulls."""
 
     @F.pandas_udf("string")
     def unescape(s: pd.Series) -> pd.Series:
         return s.map(html_entities.unescape, na_action="ignore")
 
-    return F.when(text.contains("&"), unescape(text)).otherwise(text)
+    # Not deterministic for Spark, so that filters on the result don't run it a second time.
+    decoded = unescape.asNondeterministic()(F.when(text.contains("&"), text))
+    return F.coalesce(decoded, text)
 
 
 def decode_common_entities(text: Column) -> Column:
@@ -71,11 +73,12 @@ def _depth(up: Column, down: Column, running: Window) -> Column:
     return F.sum(step).over(running)
 
 
-def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", decode=decode_common_entities) -> DataFrame:
+def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", decode=decode_entities) -> DataFrame:
     """key, block_index (from 0), tag, text, total_chars, link_chars, is_heading of every block with text.
 
     Null and blank documents have no blocks. Keys that repeat are taken as one
-    document, token by token, so keys should be unique.
+    document, token by token, so keys should be unique. decode_common_entities
+    as decode needs no Python, for pages known to hold no other references.
     """
     running = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     kind, name = F.col("kind"), F.col("name")
