@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -340,6 +341,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_texts_over_lines(spark):
+    mit = f"The MIT License\n\nCopyright (c) 2020 A. Person\n\n{textwrap.fill(licenses._MIT + licenses._MIT_END, 72)}\n"
+    body = textwrap.fill(licenses._MIT + licenses._MIT_END, 60)
+    gnu = "# x.py\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nimport os\n"
+    files = [
+        (1, "a/LICENSE", body), (2, "a/b/c.py", "code"), (3, "b/x.py", gnu.format(3)), (4, "b/y.py", gnu.format(2)), (5, "c/terms.txt", mit), (6, "c/d/e.py", ""),
+        (7, "d/a.c", " * This work is licensed under the GNU General\n * Public License, version 3.\n int x;\n" + "int y;\n" * 40), (8, "e/a.txt", "the terms of the License and any person obtaining a copy of this story"),
+        (9, "f/COPYING", textwrap.fill(licenses._BSD + licenses._BSD_NAME + licenses._BSD_END, 50)), (10, "g/COPYING", textwrap.fill(licenses._BSD + licenses._BSD_END, 50)),
+    ]
+    df = spark.createDataFrame(files, "id long, path string, content string")
+    got = {r.id: (r.license, r.origin) for r in licenses.scan_licenses(df).collect()}
+    assert got == {
+        1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "header"), 4: ("GPL-2.0", "header"), 5: ("MIT", "file"), 6: ("MIT", "inherited"),
+        7: ("GPL-3.0", "header"), 8: (None, "none"), 9: ("BSD-3-Clause", "file"), 10: ("BSD-2-Clause", "file"),
+    }
+
+
 def test_licenses_of_documents(spark, documents):
     wanted = {r.doc_id for r in documents.collect() if "icensed under" in r.text or "MIT License" in r.text}
     assert {r.doc_id for r in licenses.scan_documents(documents).collect() if r.license} == wanted
