@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-#: Bytes of text that are hashed at once; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that are hashed at once; a longer text makes a slice of its own, which is hashed piece by piece.
+SLICE_BYTES = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -48,10 +48,29 @@ def text_slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tu
         row = end
 
 
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """data in pieces of about SLICE_BYTES that end before white space."""
+    start = 0
+    while start < len(data):
+        end = start + SLICE_BYTES
+        while end < len(data) and not len(gap := np.flatnonzero(IS_SPACE[data[end : end + SLICE_BYTES]])):
+            end += SLICE_BYTES
+        end = end + int(gap[0]) if end < len(data) else len(data)
+        yield data[start:end]
+        start = end
+
+
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the number of words at the end)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        words = np.concatenate([_slice_hashes(np.array([0, len(x)]), x)[0] for x in _pieces(data)])
+        return words, np.array([0, len(words)])
+    return _slice_hashes(offsets, data)
+
+
+def _slice_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~IS_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -76,6 +95,13 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each shingle in order, first shingle of each row and the number of shingles at the end)."""
+    if len(rows) == 2 and len(words) > SLICE_BYTES:
+        out = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+        for a in range(0, len(out), SLICE_BYTES):
+            b = min(a + SLICE_BYTES, len(out))
+            for k in range(SHINGLE):
+                out[a:b] = mix(out[a:b] * _FACTOR + words[a + k : b + k])
+        return out, np.array([0, len(out)])
     count = np.diff(rows)
     per_row = np.where(count == 0, 0, np.maximum(count - SHINGLE + 1, 1))
     bounds = np.concatenate([[0], np.cumsum(per_row)])

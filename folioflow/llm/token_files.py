@@ -9,6 +9,7 @@ file beside it says where each document starts.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -22,16 +23,17 @@ from pyspark.sql import functions as F
 from .common import keep, work_dir
 from .files import NewFile, make_folder, open_file
 from .shingles import IS_SPACE, mix, text_slices
+from .tasks import released
 
 #: Tokens in a sequence, and sequences in a batch.
 SEQUENCE, BATCH = 2048, 256
 END_ID = 2
 #: Columns that documents are sorted by unless the caller names others.
 ORDER = ("doc_id", "text")
-#: Different pieces of text whose ids a worker remembers, at most; then it starts anew.
-MOST_PIECES = 3_000_000
-#: Bytes of text that are encoded at once; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 22
+#: Different pieces of text, and ids of them, that a worker remembers, at most (some 30 MB); then it starts anew.
+MOST_PIECES, MOST_IDS = 1 << 19, 1 << 21
+#: Bytes of text that are encoded at once; a longer text is cut into such parts.
+SLICE_BYTES = 1 << 20
 DOC_SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64())])
 MANIFEST = "part int, tokens_file string, docs_file string, documents long, tokens long"
 
@@ -64,18 +66,44 @@ def piece_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
+def text_parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in parts of about SLICE_BYTES, which end where it may be cut; without such places, in one."""
+    start = 0
+    while len(data) - start > 2 * SLICE_BYTES:
+        size, cuts = SLICE_BYTES, np.zeros(0, np.int64)
+        while not len(cuts) and size < len(data) - start:
+            size *= 2
+            # The first and last places of a window are cut without a look at what is beside them.
+            cuts = piece_starts(np.zeros(1, np.int64), data[start : start + size])
+            cuts = cuts[(cuts >= size // 2) & (cuts < size - 4)]
+        if not len(cuts):
+            break
+        yield data[start : start + int(cuts[0])]
+        start += int(cuts[0])
+    yield data[start:]
+
+
 def _is_plain(piece: str) -> bool:
     """True if line feeds on both sides of a piece stay pieces of their own."""
     head = piece[1:] if piece[0] == " " else piece
     return "\n" not in piece and head != "" and not head[0].isspace() and not head[-1].isspace()
 
 
+def can_be_cut(vocabulary: dict) -> bool:
+    """Whether piece_starts holds for a tokenizer: byte-level BPE with the usual pattern, nothing before it, no token over white space."""
+    before = vocabulary.get("pre_tokenizer") or {}
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    apart = all(not x["lstrip"] and not x["rstrip"] and not any(c.isspace() for c in x["content"]) for x in vocabulary.get("added_tokens", ()))
+    return bool(level and apart and not vocabulary.get("normalizer") and vocabulary["model"]["type"] == "BPE")
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer of the tokenizers library.
+    """Ids of texts by a tokenizer of the tokenizers library.
 
     Texts are cut into pieces at places where that changes nothing; the library
     encodes each different piece once, and the ids of a text are those of its
-    pieces. Two 64-bit hashes stand for a piece.
+    pieces. Two 64-bit hashes stand for a piece. With a tokenizer of which such
+    places are not known, the library encodes each text as a whole.
     """
 
     def __init__(self, path: str):
@@ -84,16 +112,19 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.largest_id = self._tokenizer.get_vocab_size(with_added_tokens=True) - 1
-        self._line_feed = self._ids(["\n"])[0][0]
-        self._clear()
+        with open(path, encoding="utf-8") as file:
+            self.cuts = can_be_cut(json.load(file))
+        self._line_feed = self._ids(["\n"])[0][0] if self.cuts else None
+        self.forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Drop all remembered pieces."""
         self._keys = np.zeros((0, 2), np.uint64)
-        self._starts, self._lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._pool, self._used = np.zeros(1 << 20, np.uint32), 0
+        self._starts, self._lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._pool, self._used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode pieces, whose keys are in order: plain ones are joined by line feeds, whose id then parts their ids."""
@@ -111,10 +142,10 @@ class Encoder:
         for k in range(0, len(rest), 2048):
             for i, x in zip(rest[k : k + 2048], self._ids([pieces[i] for i in rest[k : k + 2048]]), strict=True):
                 ids[i] = np.array(x, np.uint32)
-        flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+        flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids], np.int32)
         if self._used + len(flat) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros(max(len(self._pool), len(flat)), np.uint32)])
-        starts = self._used + np.cumsum(lengths) - lengths
+            self._pool = np.concatenate([self._pool[: self._used], np.zeros(self._used // 2 + len(flat), np.uint32)])
+        starts = (self._used + np.cumsum(lengths) - lengths).astype(np.int32)
         self._pool[self._used : self._used + len(flat)] = flat
         self._used += len(flat)
         at = np.searchsorted(self._keys[:, 0], keys[:, 0])
@@ -136,18 +167,24 @@ class Encoder:
         """(ids of all texts, where each text starts in them and the number at the end)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = piece_starts(offsets, data)
-        sizes = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        if not self.cuts:
+            ids = self._ids([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            return np.array([x for some in ids for x in some], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        starts = piece_starts(offsets, data).astype(np.int32)
+        sizes = np.diff(np.append(starts, np.int32(len(data))))
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts, sizes)
         keys = np.zeros((len(starts), 2), np.uint64)
         for k, factor in enumerate(_FACTORS):
             powers = np.ones(int(sizes.max()), np.uint64)
             np.cumprod(np.full(len(powers) - 1, factor), out=powers[1:])
-            keys[:, k] = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], starts))
+            terms = powers[place]
+            terms *= data + np.uint64(1)
+            keys[:, k] = mix(np.add.reduceat(terms, starts))
+        del place, terms
         _, first, of = np.unique(keys[:, 0], return_index=True, return_inverse=True)
         distinct = keys[first]
-        if len(self._keys) + len(first) > MOST_PIECES:
-            self._clear()
+        if len(self._keys) + len(first) > MOST_PIECES or self._used > MOST_IDS:
+            self.forget()
         _, known = self._find(distinct)
         if not known.all():
             new = first[~known]
@@ -159,6 +196,19 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
         return ids, bounds
 
+    def encode_slice(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """encode, of a long text part by part; where each text starts comes with the last part, for all of them."""
+        if len(offsets) != 2 or not self.cuts:
+            yield self.encode(offsets, data)
+            return
+        total, held = 0, None
+        for part in text_parts(data):
+            if held is not None:
+                yield held, None
+            held = self.encode(np.array([0, len(part)]), part)[0]
+            total += len(held)
+        yield held, np.array([0, total])
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -221,17 +271,23 @@ def _writer(folder: str, path: str, end_id: int):
                 docs_file = NewFile(folder, "documents", ".arrow")
                 docs = ipc.new_file(docs_file.stream, DOC_SCHEMA)
             for row, offsets, data in text_slices(b.column("text"), SLICE_BYTES):
-                ids, bounds = encoder(path).encode(offsets, data)
                 rows = len(offsets) - 1
-                out = np.full(len(ids) + rows, end_id, np.uint32)
-                out[np.arange(len(ids)) + np.repeat(np.arange(rows), np.diff(bounds))] = ids
-                lengths = np.diff(bounds) + 1
+                for ids, bounds in encoder(path).encode_slice(offsets, data):
+                    if bounds is None:
+                        tokens.add(ids)
+                        continue
+                    lengths = np.diff(bounds) + 1
+                    # Of a long text the parts before the last are written already.
+                    ends = np.cumsum(lengths) - (bounds[-1] - len(ids))
+                    out = np.full(len(ids) + rows, end_id, np.uint32)
+                    out[np.delete(np.arange(len(out)), ends - 1)] = ids
+                    tokens.add(out)
                 starts = total + np.cumsum(lengths) - lengths
-                tokens.add(out)
                 ids_of = b.column("doc_id").slice(row, rows)
                 docs.write_batch(pa.RecordBatch.from_arrays([ids_of, pa.array(starts), pa.array(lengths)], schema=DOC_SCHEMA))
-                total, count = total + len(out), count + rows
+                total, count = total + int(lengths.sum()), count + rows
         if tokens:
+            encoder(path).forget()
             tokens.close()
             docs.close()
             docs_file.close()
@@ -241,7 +297,7 @@ def _writer(folder: str, path: str, end_id: int):
             names = [x.split()[0] for x in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
 
-    return write
+    return released(write)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, order: Sequence[str] = ORDER) -> DataFrame:
@@ -252,15 +308,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     order: the columns to sort by; by default rows with the same doc_id follow
     each other, ordered by text, and a null doc_id comes first.
     tokenizer: path of a vocabulary file of the tokenizers library, the same on
-    all machines. Null and empty texts are just the end id; an empty table
+    all machines; one that is not byte-level BPE is slower, see Encoder. Null and empty texts are just the end id; an empty table
     writes no file. Other columns of docs are left out.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     typed = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
     wanted = docs.select(*[x.alias(c) for c, x in typed.items()], *[F.col(f"`{c}`") for c in order if c not in typed])
     keys = [F.col(f"`{c}`") for c in order]
-    # A text may be long, so ranges are cut without it, if there is another column.
-    ranges = [F.col(f"`{c}`") for c in order if c != "text"] or keys
+    # A text may be long, so ranges are cut by its head, which also deals out rows whose other keys are the same.
+    ranges = [F.substring(F.col(f"`{c}`"), 1, 32) if c == "text" else F.col(f"`{c}`") for c in order]
     ordered = wanted.repartitionByRange(parts, *ranges).sortWithinPartitions(*keys)
     make_folder(folder)
     return keep(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), f"{folder}/tables/manifest")
@@ -306,7 +362,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
     rows = max(1, min(manifest.count(), 10_000))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string, sequence long"
-    return parts.repartition(rows, "part").mapInArrow(read, schema)
+    return parts.repartition(rows, "part").mapInArrow(released(read), schema)
 
 
 def token_output(docs: DataFrame, tokenizer: str, order: Sequence[str] = ORDER) -> DataFrame:
