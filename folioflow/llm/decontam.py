@@ -8,12 +8,11 @@ most in one of the blocks, so looking up the blocks with that many bits changed
 finds every item within RADIUS. Candidates are then verified by the exact
 weighted Jaccard similarity of the shingles, with their counts as weights.
 
-Windows that share no shingle with an item have similarity 0 with it, so only
-the windows around shared shingles are fingerprinted; that loses nothing and
-leaves most text at the cost of one hash a word.
-
-The benchmark is the query set: it is taken in blocks of bounded size, and each
-block's index is sent to all tasks.
+The documents are read once, however many items there are: a bitmap of the items'
+shingles, of bounded size, tells which stretches of a text have so many of them
+that a window of similarity THRESHOLD can lie there. Only these stretches go on,
+to the blocks of items with which they share a shingle. Each block, with a share
+of its stretches, is one task with a Hamming index of its own.
 """
 
 from __future__ import annotations
@@ -27,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_side, work_dir
+from .common import drop_folder, keep, small_side, work_dir
 from .shingles import SHINGLE, shingle_hashes, text_slices, word_hashes
+from .tasks import arrays, released
 
 SIMILARITY = 0.75
 #: Bits by which the fingerprints of a window and an item may differ. Sets of similarity 3/4 differ by 11 of 64 bits
@@ -36,11 +36,17 @@ SIMILARITY = 0.75
 RADIUS = 22
 #: Blocks of the index; each is searched with RADIUS // BLOCKS bits changed.
 BLOCKS = 8
-#: Items of one block of the query set; its index takes about 30 kB an item.
-QUERY_ROWS = 4096
+#: Items whose index a task holds, and bytes of documents' stretches that it is given at once, about.
+BLOCK_ITEMS, BLOCK_BYTES = 4096, 1 << 24
+#: Bits of the bitmap of shingles for each of them, and the most in all (16 MB); a fuller bitmap only lets more text through.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Windows that are fingerprinted at once.
+WINDOWS = 1 << 9
+_CHUNK = 1 << 17
 _BITS = np.arange(64, dtype=np.uint64)
-#: Small table that rules out most shingles before the exact search: this many low bits of the hash.
-_SIEVE = 22
+_ITEM = "item long, item_id long, width int, size int, shingles binary"
+_STRETCH = "row long, doc_id long, text_hash long, width int, start long, whole boolean, shingles binary, hits array<long>"
+_FOUND = "row long, doc_id long, text_hash long, item long, item_id long, similarity double, start_word long"
 
 
 def fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
@@ -59,15 +65,15 @@ class HammingIndex:
     """Finds all fingerprints within RADIUS of a given one by blocks."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self._prints, self._radius, self._flips = prints, radius, radius // blocks
+        self._prints, self._radius, flips = prints, radius, radius // blocks
         edges = [64 * k // blocks for k in range(blocks + 1)]
         self._blocks = []
         for low, high in zip(edges[:-1], edges[1:], strict=True):
-            table = defaultdict(list)
-            for i, value in enumerate(self._cut(prints, low, high).tolist()):
-                table[value].append(i)
-            masks = [sum(1 << b for b in c) for k in range(self._flips + 1) for c in combinations(range(high - low), k)]
-            self._blocks.append((low, high, table, masks))
+            values, width = self._cut(prints, low, high).astype(np.int64), high - low
+            order = np.argsort(values, kind="stable")
+            first = np.searchsorted(values[order], np.arange((1 << width) + 1))
+            masks = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(width), k)]
+            self._blocks.append((low, high, order, first, np.array(masks)))
 
     @staticmethod
     def _cut(prints: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -75,96 +81,83 @@ class HammingIndex:
 
     def near(self, prints: np.ndarray) -> list[np.ndarray]:
         """Numbers of the indexed fingerprints within the radius of each of prints."""
-        found: list[set[int]] = [set() for _ in prints]
-        for low, high, table, masks in self._blocks:
-            for i, value in enumerate(self._cut(prints, low, high).tolist()):
-                for mask in masks:
-                    if value ^ mask in table:
-                        found[i].update(table[value ^ mask])
-        out = []
-        for p, some in zip(prints, found, strict=True):
-            at = np.fromiter(some, np.int64, len(some))
-            out.append(at[np.bitwise_count(self._prints[at] ^ p) <= self._radius] if len(at) else at)
-        return out
-
-
-class _Queries:
-    """The index of one block of the benchmark."""
+        total, found = len(self._prints), []
+        for low, high, order, first, masks in self._blocks:
+            cells = (self._cut(prints, low, high).astype(np.int64)[:, None] ^ masks).ravel()
+            start, n = first[cells], first[cells + 1] - first[cells]
+            ends = np.cumsum(n)
+            item = order[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            found.append(np.repeat(np.repeat(np.arange(len(prints)), len(masks)), n) * total + item)
+        pairs = np.unique(np.concatenate(found))
+        at, item = pairs // total, pairs % total
+        close = np.bitwise_count(prints[at] ^ self._prints[item]) <= self._radius
+        at, item = at[close], item[close]
+        return np.split(item, np.searchsorted(at, np.arange(1, len(prints))))
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out: list[tuple] = []
+        for row, offsets, data in text_slices(b.column("text")):
+            words, rows = word_hashes(offsets, data)
+            shingles, bounds = shingle_hashes(words, rows)
+            keys, ids = (b.column(c).slice(row, len(offsets) - 1).to_pylist() for c in ("item", "item_id"))
+            for k, (i, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if e > i:
+                    out.append((keys[k], ids[k], min(int(rows[k + 1] - rows[k]), SHINGLE), e - i, shingles[i:e].tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ITEM.split(", ")])
+
+
+def _bitmap(items: DataFrame, shingles: int) -> np.ndarray:
+    """Which low bits of hashes some item's shingle has, eight to a byte; bounded by MOST_BITS."""
+    bits = min(1 << max(_CHUNK.bit_length() - 1, (BITS_EACH * shingles).bit_length()), MOST_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for b in batches:
+            for s in arrays(b.column("shingles"), np.uint64):
+                seen[s & np.uint64(bits - 1)] = True
+        parts = [(k, seen[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(bits // _CHUNK)]
+        parts = [(k, np.packbits(x, bitorder="little").tobytes()) for k, x in parts if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "bits"])
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.items, prints = [], [], []
-        for row, offsets, data in text_slices(pa.array(texts, pa.large_string())):
-            shingles, bounds = shingle_hashes(*word_hashes(offsets, data))
-            words = np.diff(word_hashes(offsets, data)[1])
-            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    self.ids.append(ids[row + k])
-                    self.items.append((Counter(shingles[a:b].tolist()), int(b - a), int(words[k])))
-                    prints.append(fingerprints(shingles[a:b], int(b - a))[0])
-        self.prints = np.array(prints, np.uint64)
-        pairs = [(x, i) for i, (bag, _, _) in enumerate(self.items) for x in bag]
-        pairs.sort()
-        self.shingles = np.array([x for x, _ in pairs], np.uint64)
-        self.item = np.array([i for _, i in pairs], np.int64)
-        # Items with fewer words than a shingle are one short shingle, which windows of that many words make.
-        self.short = sorted({w for _, _, w in self.items if w < SHINGLE})
-        sizes = defaultdict(list)
-        for i, (_, n, w) in enumerate(self.items):
-            sizes[n, min(w, SHINGLE)].append(i)
-        self.by_size = {k: (HammingIndex(self.prints[v]), np.array(v)) for k, v in sizes.items()}
-        self.sieve = np.zeros(1 << _SIEVE, bool)
-        self.sieve[self.shingles & np.uint64((1 << _SIEVE) - 1)] = True
-
-    def hits(self, shingles: np.ndarray) -> np.ndarray:
-        """Places of the shingles that some item has."""
-        at = np.flatnonzero(self.sieve[shingles & np.uint64((1 << _SIEVE) - 1)])
-        if not len(at) or not len(self.shingles):
-            return at[:0]
-        near = np.minimum(np.searchsorted(self.shingles, shingles[at]), len(self.shingles) - 1)
-        return at[self.shingles[near] == shingles[at]]
-
-
-def _windows(hits: np.ndarray, size: int, total: int) -> np.ndarray:
-    """Starts of the windows of size shingles that hold one of hits at least."""
-    out = np.zeros(max(total - size + 1, 0) + 1, np.int64)
-    if len(out) == 1:
-        return np.zeros(0, np.int64)
-    np.add.at(out, np.maximum(hits - size + 1, 0).clip(max=len(out) - 1), 1)
-    np.add.at(out, np.minimum(hits + 1, len(out) - 1), -1)
-    return np.flatnonzero(np.cumsum(out[:-1]) > 0)
-
-
-def _search(queries: _Queries, shingles: np.ndarray, hits: np.ndarray, width: int, threshold: float) -> dict[int, tuple[float, int]]:
-    """item -> (similarity, start) of its best window among the runs of shingles, which have width words each."""
-    best: dict[int, tuple[float, int]] = {}
-    low, high = np.searchsorted(queries.shingles, shingles[hits]), np.searchsorted(queries.shingles, shingles[hits], "right")
-    near: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for h, a, b in zip(hits.tolist(), low.tolist(), high.tolist(), strict=True):
-        for i in queries.item[a:b].tolist():
-            near[queries.items[i][1], min(queries.items[i][2], SHINGLE)].add(h)
-    for (size, words), at in near.items():
-        if words != width:
-            continue
-        if len(shingles) < size:
-            # A shorter text can be similar enough only as a whole.
-            if len(shingles) / size < threshold:
-                continue
-            starts, length = np.zeros(1, np.int64), len(shingles)
-        else:
-            starts, length = _windows(np.array(sorted(at)), size, len(shingles)), size
-        index, numbers = queries.by_size[size, words]
-        # Runs of neighbouring windows share their sums; a gap of more than a window starts a new run.
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else ():
-            prints = fingerprints(shingles[run[0] : run[-1] + length], length)[run - run[0]]
-            for start, found in zip(run.tolist(), index.near(prints), strict=True):
-                if not len(found):
-                    continue
-                bag = Counter(shingles[start : start + length].tolist())
-                for i in numbers[found].tolist():
-                    similarity = weighted_jaccard(bag, queries.items[i][0])
-                    if similarity >= threshold and similarity > best.get(i, (0.0, 0))[0]:
-                        best[i] = (similarity, start)
-    return best
+    def add(table: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce(np.stack(arrays(table["bits"], np.uint8)))
+        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    marked = items.select("shingles").mapInArrow(released(mark), "chunk int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in marked.groupBy("chunk").applyInArrow(add, "chunk int, bits binary").collect():
+        out[r["chunk"] * _CHUNK // 8 : (r["chunk"] + 1) * _CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _hits(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has each shingle."""
+    low = shingles & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def stretches(hit: np.ndarray, least: int, most: int, threshold: float) -> list[tuple[int, int]]:
+    """Runs of shingles that hold every window, of least to most shingles, that has enough hits to be similar to an item.
+
+    Equal sizes need hits among 2 t / (1 + t) of a window's shingles at least.
+    A text of fewer than least shingles is one window.
+    """
+    total, share = len(hit), 2 * threshold / (1 + threshold)
+    least = min(least, total)
+    level = np.concatenate([[0.0], np.cumsum(np.where(hit, 1 - share, -share))])
+    # The greatest level from each place on falls; the last place at which it is high enough is as far as a window reaches.
+    ahead = np.maximum.accumulate(level[::-1])[::-1]
+    start = np.flatnonzero(ahead[least:] >= level[: total - least + 1] - 1e-9)
+    if not len(start):
+        return []
+    reach = total - np.searchsorted(ahead[::-1], level[start] - 1e-9)
+    reach = np.maximum.accumulate(np.minimum(reach, start + max(most, least)))
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    return list(zip(start[first].tolist(), reach[np.append(first[1:] - 1, len(start) - 1)].tolist(), strict=True))
 
 
 def _short_runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -174,38 +167,163 @@ def _short_runs(words: np.ndarray, size: int) -> np.ndarray:
     return shingle_hashes(flat, np.arange(len(rows) + 1) * size)[0]
 
 
-def _matcher(shared, threshold: float):
+def _scan(shared, sizes: dict[int, tuple[int, int]], threshold: float):
+    """Stretches of documents. sizes: least and most shingles of the items whose shingles have so many words."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: _Queries = shared.value
+        bitmap: np.ndarray = shared.value
         for b in batches:
-            docs, items, scores, starts = [], [], [], []
-            ids = b.column("doc_id").to_pylist()
+            out: list[tuple] = []
             for row, offsets, data in text_slices(b.column("text")):
+                keys = None
                 words, rows = word_hashes(offsets, data)
                 shingles, bounds = shingle_hashes(words, rows)
-                hits = queries.hits(shingles)
-                of = np.searchsorted(bounds, hits, "right") - 1
-                found: dict[int, dict[int, tuple[float, int]]] = {}
-                for d in np.unique(of).tolist():
-                    a, e = int(bounds[d]), int(bounds[d + 1])
-                    width = min(int(rows[d + 1] - rows[d]), SHINGLE)
-                    found[d] = _search(queries, shingles[a:e], hits[of == d] - a, width, threshold)
-                for size in queries.short:
+                hit = _hits(bitmap, shingles)
+                some = np.unique(np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1).tolist() if SHINGLE in sizes else []
+                tasks = [(d, SHINGLE, shingles[bounds[d] : bounds[d + 1]], hit[bounds[d] : bounds[d + 1]]) for d in some if rows[d + 1] - rows[d] >= SHINGLE]
+                for width in sizes.keys() - {SHINGLE}:
                     for d in range(len(offsets) - 1):
-                        short = _short_runs(words[rows[d] : rows[d + 1]], size)
-                        at = queries.hits(short)
-                        if len(at):
-                            found.setdefault(d, {}).update(_search(queries, short, at, size, threshold))
-                for d, best in found.items():
-                    for i, (score, start) in best.items():
-                        docs.append(ids[row + d])
-                        items.append(queries.ids[i])
-                        scores.append(score)
-                        starts.append(start)
-            columns = [pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "start_word"])
-
-    return run
+                        short = _short_runs(words[rows[d] : rows[d + 1]], width)
+                        tasks.append((d, width, short, _hits(bitmap, short)))
+                for d, width, own, own_hit in tasks:
+                    if width == SHINGLE:
+                        parts = stretches(own_hit, *sizes[width], threshold)
+                    else:
+                        at = np.flatnonzero(own_hit)
+                        parts = [(i, i + 1) for i in at[np.unique(own[at], return_index=True)[1]].tolist()]
+                    for i, e in parts:
+                        keys = keys or list(zip(*(b.column(c).slice(row, len(offsets) - 1).to_pylist() for c in ("row", "doc_id", "text_hash")), strict=True))
+                        tokens = np.unique(own[i:e][own_hit[i:e]]).view(np.int64)
+                        out.append((*keys[d], width, i, e - i == len(own), own[i:e].tobytes(), tokens.tolist()))
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _STRETCH.split(", ")])
+
+    return released(run)
+
+
+class _Items:
+    """The index of one block of the benchmark."""
+
+    def __init__(self, table: pa.Table):
+        self.keys, self.ids = table["item"].to_pylist(), table["item_id"].to_pylist()
+        self.width, sizes = table["width"].to_numpy(), table["size"].to_numpy()
+        runs = arrays(table["shingles"], np.uint64)
+        self.bags = [Counter(s.tolist()) for s in runs]
+        flat, of = np.concatenate(runs), np.repeat(np.arange(len(runs)), sizes)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.of = flat[order], of[order]
+        groups = defaultdict(list)
+        for i, (n, w) in enumerate(zip(sizes.tolist(), self.width.tolist(), strict=True)):
+            groups[n, w].append(i)
+        self.groups = {k: (HammingIndex(np.array([fingerprints(runs[i], k[0])[0] for i in v], np.uint64)), np.array(v)) for k, v in groups.items()}
+        self.group_of = np.array([list(groups).index((n, w)) for n, w in zip(sizes.tolist(), self.width.tolist(), strict=True)])
+
+    def search(self, shingles: np.ndarray, width: int, whole: bool, threshold: float) -> dict[int, tuple[float, int]]:
+        """item -> (similarity, start) of its best window among the runs of shingles, which have width words each."""
+        best: dict[int, tuple[float, int]] = {}
+        low, high = np.searchsorted(self.shingles, shingles), np.searchsorted(self.shingles, shingles, "right")
+        n = high - low
+        place = np.repeat(np.arange(len(shingles)), n)
+        item = self.of[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pairs = np.unique(self.group_of[item] * np.int64(len(shingles)) + place)
+        share = 2 * threshold / (1 + threshold)
+        groups = list(self.groups)
+        for g in np.unique(pairs // max(len(shingles), 1)).tolist():
+            size, words = groups[g]
+            if words != width:
+                continue
+            at = pairs[np.searchsorted(pairs, g * len(shingles)) : np.searchsorted(pairs, (g + 1) * len(shingles))] - g * len(shingles)
+            length = min(size, len(shingles))
+            # A text that is shorter than an item can be similar enough only as a whole.
+            if length < size and (not whole or length < threshold * size):
+                continue
+            hits = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(shingles)))])
+            starts = np.flatnonzero(hits[length:] - hits[:-length] >= share * length - 1e-9)
+            index, numbers = self.groups[size, words]
+            for start, found in _candidates(index, shingles, starts, length):
+                bag = Counter(shingles[start : start + length].tolist())
+                for i in numbers[found].tolist():
+                    similarity = weighted_jaccard(bag, self.bags[i])
+                    if similarity >= threshold and similarity > best.get(i, (0.0, 0))[0]:
+                        best[i] = (similarity, start)
+        return best
+
+
+def _candidates(index: HammingIndex, shingles: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, items within the radius) of the windows; runs of windows that are close together share their sums."""
+    cuts = np.flatnonzero(np.diff(starts) > 8) + 1 if len(starts) else []
+    for run in np.split(starts, cuts) if len(starts) else ():
+        for k in range(0, len(run), WINDOWS):
+            some = run[k : k + WINDOWS]
+            prints = fingerprints(shingles[some[0] : some[-1] + length], length)[some - some[0]]
+            for start, found in zip(some.tolist(), index.near(prints), strict=True):
+                if len(found):
+                    yield start, found
+
+
+def _verifier(threshold: float):
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            items = _Items(right)
+            rows = zip(*(left[c].to_pylist() for c in ("row", "doc_id", "text_hash", "width", "start", "whole")), arrays(left["shingles"], np.uint64), strict=True)
+            for row, doc, text_hash, width, start, whole, shingles in rows:
+                for i, (similarity, at) in items.search(shingles, width, whole, threshold).items():
+                    out.append((row, doc, text_hash, items.keys[i], items.ids[i], similarity, start + at))
+        names = [x.split()[0] for x in _FOUND.split(", ")]
+        kinds = [pa.float64() if n == "similarity" else pa.int64() for n in names]
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    return verify
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """row (a number of each row of docs), doc_id, text_hash, item, item_id, similarity, start_word: the best window of each row and item."""
+    spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "leaks")
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    texts = texts.select(F.xxhash64(F.coalesce("item_id", F.lit(0)), F.col("item_id").isNull(), "text").alias("item"), "item_id", "text")
+    items = keep(texts.mapInArrow(released(_item_rows), _ITEM), f"{folder}/items")
+    # One row for each number of words that an item's shingles have: five at most.
+    widths = items.groupBy("width").agg(F.min("size"), F.max("size"), F.sum("size"), F.count("*")).collect()
+    bitmap = spark.sparkContext.broadcast(_bitmap(items, sum(r[3] for r in widths)))
+    wanted = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"),
+    )
+    scan = wanted.mapInArrow(_scan(bitmap, {r[0]: (r[1], r[2]) for r in widths}, threshold), _STRETCH)
+    found = keep(scan.withColumn("stretch", F.monotonically_increasing_id()), f"{folder}/stretches")
+    bitmap.destroy()
+
+    blocks = max(1, -(-sum(r[4] for r in widths) // BLOCK_ITEMS))
+    placed = items.withColumn("block", F.pmod(F.col("item"), F.lit(blocks)).cast("int"))
+    if blocks == 1:
+        routed = found.drop("hits").withColumn("block", F.lit(0))
+    else:
+        # 64-bit tokens as the documents' side has them; each block has a token once.
+        tokens = placed.mapInArrow(released(_block_tokens), "token long, block int").distinct()
+        pairs = found.select("stretch", F.explode("hits").alias("token")).join(tokens, "token").select("stretch", "block").distinct()
+        routed = keep(found.drop("hits").join(pairs, "stretch"), f"{folder}/routed")
+    sizes = routed.groupBy("block").agg(F.ceil(F.sum(F.length("shingles") + 64) / BLOCK_BYTES).cast("int").alias("shares"))
+    sizes = small_side(keep(sizes, f"{folder}/sizes"))
+    left = routed.join(sizes, "block").withColumn("share", F.pmod(F.xxhash64("stretch"), F.col("shares")).cast("int")).drop("shares")
+    right = placed.join(sizes, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    both = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(_verifier(threshold), _FOUND)
+    best = both.groupBy("row", "doc_id", "text_hash", "item", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("start"))).alias("best"))
+    out = best.select("row", "doc_id", "text_hash", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start_word"))
+    out = keep(out, f"{folder}-found")
+    drop_folder(spark, folder)
+    return out
+
+
+def _block_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs = arrays(b.column("shingles"), np.uint64)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *runs]).view(np.int64)
+        block = np.repeat(b.column("block").to_numpy(), [len(x) for x in runs])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(block, pa.int32())], ["token", "block"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -217,26 +335,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     start_word: the word, from 0, at which the first such window starts. Items
     of fewer than five words are one shingle. Null or empty texts, on either
     side, match nothing; a repeated row gives its rows again; a repeated item_id
-    gives a row for each of its texts; empty tables give no rows. Other columns,
-    whatever their names, are left out.
+    gives a row for each of its different texts, and null is an item_id like
+    others; empty tables give no rows. Other columns, whatever their names, are
+    left out.
     """
-    spark, found = docs.sparkSession, None
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = items.count()
-    blocks = max(1, -(-rows // QUERY_ROWS))
-    numbered = items if blocks == 1 else items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    for k in range(blocks):
-        block = (numbered if blocks == 1 else numbered.filter(F.col("_block") == k)).select("item_id", "text").toPandas()
-        queries = _Queries(block["item_id"].tolist(), block["text"].tolist())
-        shared = spark.sparkContext.broadcast(queries)
-        matched = wanted.mapInArrow(_matcher(shared, threshold), "doc_id long, item_id long, similarity double, start_word long")
-        found = matched if found is None else found.unionByName(matched)
-    return found
+    return _leaks(docs, benchmark, threshold).select("doc_id", "item_id", "similarity", "start_word")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """docs without the documents that have a benchmark item; see find_leaks. Rows with a null doc_id stay."""
-    leaks = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct()
+    """docs without the rows that have a benchmark item, also where their doc_id is null or repeats; see find_leaks.
+
+    Columns stay as they are, whatever their names.
+    """
+    leaks = _leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     leaks = keep(leaks, work_dir(docs.sparkSession, "leaks"))
-    return docs.join(small_side(leaks), F.col("doc_id") == F.col("_leak"), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    return rows.join(small_side(leaks), same, "left_anti").select("_row.*")
