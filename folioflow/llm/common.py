@@ -1,7 +1,7 @@
 """Helpers that several operators of this subpackage share.
 
 Working tables go to the folder that the cluster names in
-``spark.checkpoint.dir``; a folder of our own is set only in local mode, where
+``spark.checkpoint.dir``; a folder of our own is used only in local mode, where
 the driver and its tasks share one file system.
 """
 
@@ -20,15 +20,21 @@ BROADCAST_ROWS = 200_000
 LOCAL_WORK = "/tmp/checkpoints"
 
 
+def _hadoop_path(spark: SparkSession, uri: str):
+    """(Hadoop's file system, its path) of a URI; one without a scheme is on the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """URI of a new folder that driver and executors share."""
+    """URI, with its scheme, of a new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{LOCAL_WORK}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system, path = _hadoop_path(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return system.makeQualified(path).toString()
 
 
 def keep(df: DataFrame, path: str, tidy: bool = False) -> DataFrame:
@@ -46,8 +52,8 @@ def keep(df: DataFrame, path: str, tidy: bool = False) -> DataFrame:
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a working table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _hadoop_path(spark, path)
+    system.delete(target, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,9 +85,14 @@ def group_key(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), col))
 
 
+#: Bits of seeded_hash.
+HASH_BITS = 60
+
+
 def seeded_hash(seed: int, *cols: Column) -> Column:
-    """A number from 0 to 2^63 - 1 that shuffles rows alike in every run."""
-    return F.xxhash64(*cols, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+    """A number of HASH_BITS bits that shuffles rows alike in every run: the head of an MD5 sum, which SQL engines have too."""
+    parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def bucket_bits(rows: int, per_bucket: int = 4096) -> int:

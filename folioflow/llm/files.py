@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 
 
+#: Other names that Hadoop's connectors have for schemes of this library.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """(file system, path) of a URI as work_dir gives them; a scheme that tasks can't write to is an error here already."""
+    scheme, found, rest = uri.partition(":")
+    if not found:
+        raise ValueError(f"{uri!r} has no scheme, so driver and executors may take it for different folders")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}" if scheme != "file" else f"file:///{rest.lstrip('/')}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"files can't be written to {uri!r}: set spark.checkpoint.dir to a shared folder of another kind") from e
 
 
 def make_folder(uri: str) -> None:
@@ -49,8 +61,6 @@ class NewFile:
 
 def open_file(folder: str, name: str):
     """A seekable file; a memory map where the folder is local, so that reading copies nothing."""
-    import pyarrow as pa
-
     where, path = _at(folder)
     path = f"{path.rstrip('/')}/{name}"
     return pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, group_key, keep, prefix_sums, seeded_hash, word_count, work_dir
+from .common import HASH_BITS, bucket_bits, group_key, keep, prefix_sums, seeded_hash, word_count, work_dir
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,7 +75,7 @@ def _bucketed(docs: DataFrame, size: Column, seed: int, bits: int) -> DataFrame:
         docs.withColumn("_size", size)
         .withColumn("_source", group_key(F.col("source")))
         .withColumn("_hash", shuffled)
-        .withColumn("_bucket", F.shiftrightunsigned("_hash", 63 - bits))
+        .withColumn("_bucket", F.shiftrightunsigned("_hash", HASH_BITS - bits))
     )
 
 
@@ -105,31 +105,43 @@ def _position(epoch: int, schedules) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, most=MOST, seed: int = 23) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, position.
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, positions, whole_words; by first position.
 
     size: words. taken: words that the mix takes of the document, repeats
     counted; a source's taken words add up to its target, rounded. A source's
     documents come in the order of a seeded hash, all of them before any again,
-    and one document at most is taken in part. position: time at which the
-    document is first due, null if it is not taken. Null and empty texts have
-    size 0 and are never taken; a null source is a source of its own; equal rows
-    may change places among each other only; an empty table gives no rows. Other
-    columns of docs, whatever their names, are left out. Reruns agree.
+    and one document at most is taken in part. positions: the times at which the
+    document is due, one for each time that the mix takes of it. whole_words:
+    what mixed_documents takes, which rounds that part to all or nothing. Rows
+    are range-sorted by first position, those that are not taken at the end.
+    Null and empty texts have size 0 and are never taken; a null source is a
+    source of its own; equal rows may change places among each other only; an
+    empty table gives no rows. Other columns of docs, whatever their names, are
+    left out. Reruns agree.
+
+    Targets are computed over one row per source in one task, which suits up to
+    some millions of sources.
     """
     spark, epochs = docs.sparkSession, range(int(-(-most // 1)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = keep(rows, work_dir(spark, "mix") + "/rows")
     placed = _placed(_bucketed(rows, F.col("size"), seed, bucket_bits(rows.count())), weights, share, most)
-    taken = sum((_taken(e, False) for e in epochs), F.lit(0))
-    return placed.select(
+    plan = F.array(*[F.struct(_taken(e, False).alias("words"), _position(e, schedules).alias("position")) for e in epochs])
+    due_at = F.transform(F.filter(plan, lambda x: x["words"] > 0), lambda x: x["position"])
+    out = placed.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        taken.cast("long").alias("taken"),
-        F.when(_taken(0, False) > 0, _position(0, schedules)).alias("position"),
+        sum((_taken(e, False) for e in epochs), F.lit(0)).cast("long").alias("taken"),
+        due_at.alias("positions"),
+        sum((_taken(e, True) for e in epochs), F.lit(0)).cast("long").alias("whole_words"),
+        "_hash",
     )
+    order = [F.get("positions", F.lit(0)).asc_nulls_last(), F.col("_hash"), F.col("doc_id")]
+    return out.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_hash")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, most=MOST, seed: int = 23) -> DataFrame:

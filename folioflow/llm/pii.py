@@ -149,11 +149,30 @@ def _step(matches: Column, gaps: Column) -> Callable[[Column, Column], Column]:
     return lambda x, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0))
 
 
-def _span(kind: Kind, rank: int, gaps: Column, steps: Column) -> Callable[[Column, Column], Column]:
+#: Matches of which the steps are added up at once.
+_RUN = 128
+
+
+def _total(steps: Column, start: Column, count: Column) -> Column:
+    return F.aggregate(F.slice(steps, start, count), F.lit(0), lambda a, v: a + v)
+
+
+def _runs(steps: Column) -> Column:
+    """The sum of each run of _RUN steps."""
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(_RUN))
+    return F.transform(firsts, lambda k: _total(steps, k, F.lit(_RUN)))
+
+
+def _bases(runs: Column) -> Column:
+    """The sum of all steps before each run. With the runs' sums, a text with many matches costs little more for each."""
+    return F.transform(runs, lambda x, k: _total(runs, F.lit(1), k))
+
+
+def _span(kind: Kind, rank: int, gaps: Column, steps: Column, bases: Column) -> Callable[[Column, Column], Column]:
     """A match with its place, score and whether the check confirms it."""
 
     def span(x: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0), lambda a, v: a + v)
+        start = F.get(bases, F.floor(i / _RUN).cast("int")) + _total(steps, i - i % _RUN + 1, i % _RUN + 1)
         before, after = F.right(F.get(gaps, i), F.lit(CONTEXT)), F.substring(F.get(gaps, i + 1), 1, CONTEXT)
         near = before.rlike(kind.context) | after.rlike(kind.context)
         score = F.lit(kind.prior) + F.when(near, F.lit(kind.bonus)).otherwise(F.lit(0.0))
@@ -195,16 +214,18 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: floa
         m, g = F.col(f"_pii_m_{k.name}"), F.col(f"_pii_g_{k.name}")
         steps[f"_pii_s_{k.name}"] = F.transform(m, _step(m, g))
     out = out.withColumns(steps)
+    out = out.withColumns({f"_pii_r_{n}": _runs(F.col(f"_pii_s_{n}")) for n in names})
+    out = out.withColumns({f"_pii_b_{n}": _bases(F.col(f"_pii_r_{n}")) for n in names})
     spans = {}
     for rank, k in enumerate(kinds):
-        m, g, s = (F.col(f"_pii_{x}_{k.name}") for x in "mgs")
+        m, g, s, b = (F.col(f"_pii_{x}_{k.name}") for x in "mgsb")
 
-        found = F.transform(m, _span(k, rank, g, s))
+        found = F.transform(m, _span(k, rank, g, s, b))
         keep = (lambda x: x["valid"]) if k.base else (lambda x: x["valid"] & (x["score"] >= threshold))
         spans[f"_pii_f_{k.name}"] = F.filter(found, keep)
     out = out.withColumns(spans)
     out = out.withColumn("found", F.sort_array(F.concat(*[F.col(f"_pii_f_{n}") for n in names])))
-    return out.drop("_pii", *[f"_pii_{x}_{n}" for x in "mgsf" for n in names])
+    return out.drop("_pii", *[f"_pii_{x}_{n}" for x in "mgsrbf" for n in names])
 
 
 def join_spans(spans: Column) -> Column:
@@ -220,18 +241,24 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     stay null.
     """
     found = find_spans(docs, kinds)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    span = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("chosen"))
 
-    def put(a: Column, x: Column) -> Column:
+    def choose(a: Column, x: Column) -> Column:
         ahead = x["start"] >= a["at"]
-        piece = F.concat(
-            a["done"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]")
-        )
         return F.struct(
-            F.when(ahead, x["end"]).otherwise(a["at"]).alias("at"), F.when(ahead, piece).otherwise(a["done"]).alias("done")
+            F.when(ahead, x["end"]).otherwise(a["at"]).alias("at"),
+            F.when(ahead, F.array_append(a["chosen"], x)).otherwise(a["chosen"]).alias("chosen"),
         )
 
-    whole = F.aggregate("found", start, put, lambda a: F.concat(a["done"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    found = found.withColumn("found", F.aggregate("found", start, choose, lambda a: a["chosen"]))
+    # Each span with the text between the one before and it.
+    before = lambda i: F.coalesce(F.get("found", i - 1)["end"], F.lit(0))
+    pieces = F.transform(
+        "found", lambda x, i: F.concat(F.substring(F.col("text"), before(i) + 1, x["start"] - before(i)), F.lit("["), x["kind"], F.lit("]"))
+    )
+    tail = F.substring(F.col("text"), F.get("found", F.size("found") - 1)["end"] + 1, F.length("text"))
+    whole = F.concat(F.array_join(pieces, ""), tail)
     return found.withColumn("text", F.when(F.size("found") > 0, whole).otherwise(F.col("text"))).drop("found")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, licenses, mixing, ngram_join, pii, quality, sharding, token_files, url_filter, warc
+from . import decontam, licenses, mixing, ngram_join, pii, quality, sharding, sql, token_files, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    first, second = (F.get("positions", F.lit(k)).alias(n) for k, n in enumerate(("position", "second_position")))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", first, second, "whole_words")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).drop("candidates")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +85,12 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": sql.QUALITY,
+    "op3_decontamination": sql.LEAKS,
+    "op4_mixing": sql.MIX,
+    "op6_url_filters": sql.URLS,
+    "op9_ngram_join": sql.NGRAM,
+    "op10_sharding": sql.SHARDS,
     "op7_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
         f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, group_key, keep, prefix_sums, seeded_hash, work_dir
+from .common import HASH_BITS, bucket_bits, group_key, keep, prefix_sums, seeded_hash, work_dir
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
@@ -41,7 +41,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFram
     )
     total = rows.count()
     bits = bucket_bits(total)
-    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 63 - bits))
+    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", HASH_BITS - bits))
     order = ["_hash", "doc_id", "text_crc32"]
     ranked = prefix_sums(rows, ["_source"], "_bucket", order, F.lit(1), "_rank")
     counts = rows.groupBy("_source").agg(F.count("*").alias("_rows"))

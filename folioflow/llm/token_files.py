@@ -287,7 +287,6 @@ def _writer(folder: str, path: str, end_id: int):
                 docs.write_batch(pa.RecordBatch.from_arrays([ids_of, pa.array(starts), pa.array(lengths)], schema=DOC_SCHEMA))
                 total, count = total + int(lengths.sum()), count + rows
         if tokens:
-            encoder(path).forget()
             tokens.close()
             docs.close()
             docs_file.close()

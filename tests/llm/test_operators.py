@@ -166,6 +166,8 @@ def test_leaks(spark):
     kept = {r.doc_id for r in decontam.clean_documents(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in found}
     assert decontam.find_leaks(df.union(df), bench).count() == 2 * len(found)
+    with pytest.raises(ValueError):
+        decontam.find_leaks(df, bench, 0)
 
 
 def test_leaks_in_shorter_documents(spark):
@@ -195,10 +197,35 @@ def test_leaks_in_shorter_documents(spark):
 def test_benchmark_in_blocks(spark, monkeypatch, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {tuple(r) for r in decontam.find_leaks(documents, bench).collect()}
-    monkeypatch.setattr(decontam, "QUERY_ROWS", 15)
+    for name, value in (("BLOCK_ITEMS", 7), ("BLOCK_BYTES", 3000), ("WINDOWS", 3), ("MOST_BITS", 1 << 17)):
+        monkeypatch.setattr(decontam, name, value)
     assert {tuple(r) for r in decontam.find_leaks(documents, bench).collect()} == whole and whole
 
 
+def test_leaks_with_null_and_repeated_ids(spark):
+    passage, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(None, passage), (None, passage), (1, other), (1, passage)], "item_id long, text string")
+    rows = [(1, passage), (1, "clean text of this row"), (None, f"x {other} y"), (None, "clean too"), (2, f"x {passage} y {other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_leak", F.lit(1)).withColumn("_doc", F.lit(2)).withColumn("_row", F.lit(2))
+    got = Counter((r.doc_id, r.item_id, r.start_word) for r in decontam.find_leaks(df, bench).collect())
+    assert got == Counter({(1, None, 0): 1, (1, 1, 0): 1, (None, 1, 1): 1, (2, None, 1): 1, (2, 1, 1): 1, (2, 1, 32): 1})
+    kept = decontam.clean_documents(df, bench)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "clean too"), (1, "clean text of this row")]
+
+
+def test_stretches_hold_every_dense_window():
+    rng = random.Random(7)
+    for _ in range(300):
+        n, least = rng.randint(1, 40), rng.randint(1, 12)
+        most, hit = least + rng.randint(0, 10), np.array([rng.random() < 0.8 for _ in range(n)])
+        found = decontam.stretches(hit, least, most, 0.75)
+        assert all(b > c for (b, _), (_, c) in zip(found[1:], found[:-1], strict=True))
+        for a in range(n):
+            for size in range(min(least, n), min(most, n) + 1):
+                if a + size <= n and hit[a : a + size].sum() >= 6 / 7 * size:
+                    assert any(i <= a and a + size <= e for i, e in found)
+
+
 def test_hamming_index_finds_all():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 2**63, 50, dtype=np.uint64)
@@ -233,7 +260,7 @@ def test_mix(spark, documents):
     for s in names:
         assert target[s] == pytest.approx(2 * sizes[s] if s in full else share[s])
         assert abs(taken[s] - target[s]) <= 0.5
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_sources(docs).collect())) if None not in sizes else True
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs).collect()))
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
@@ -276,8 +303,49 @@ def test_token_files(spark, documents):
         assert sum(b.column("mask").flatten().to_numpy(zero_copy_only=False).sum() for b in batches) == m.tokens
         assert all(b.column("ids").type.list_size == token_files.SEQUENCE for b in batches)
     assert token_files.token_output(df.limit(0), queries.tokenizer_path()).count() == 0
-    twice = token_files.token_output(df.union(df).filter("doc_id < 3"), queries.tokenizer_path()).collect()
-    assert sorted(r.start for r in twice) == list(range(6)) or len(twice) == 6
+    twice = token_files.token_output(df.union(df).filter("doc_id < 2"), queries.tokenizer_path()).collect()
+    assert sorted((r.start, r.doc_id, r.n_tokens) for r in twice) == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 1 << 10)
+    path, rng = queries.tokenizer_path(), random.Random(3)
+    encoder, plain = token_files.Encoder(path), Tokenizer.from_file(path)
+    pool = [" ", "\n", "\n\n", " \n ", "\u3000", "word", "Été", "中文字", "1234", "...", "'s", "\t", "<|endoftext|>", "x" * 700]
+    for text in ["".join(rng.choices(pool, k=n)) for n in (1, 50, 400, 3000)] + ["y" * 9000, "\n" * 9000, ""]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        parts = list(encoder.encode_slice(np.array([0, len(data)]), data))
+        ids = np.concatenate([x for x, _ in parts])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and parts[-1][1].tolist() == [0, len(ids)]
+    encoder.cuts = False
+    texts = ["a b", "", "c\nd"]
+    ids, bounds = encoder.encode(np.array([0, 3, 3, 6]), np.frombuffer("".join(texts).encode(), np.uint8))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_only_known_tokenizers_are_cut():
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = {"pre_tokenizer": level, "normalizer": None, "model": {"type": "BPE"}, "added_tokens": []}
+    assert token_files.can_be_cut(plain)
+    odd = [{"pre_tokenizer": level | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"model": {"type": "Unigram"}}]
+    odd.append({"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False}]})
+    assert not any(token_files.can_be_cut(plain | x) for x in odd)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    from folioflow.llm import shingles as hashing
+
+    text = " ".join(["word" * (i % 7 + 1) + str(i % 13) for i in range(4000)]) + "x" * 5000 + "\n\n"
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = hashing.word_hashes(np.array([0, len(data)]), data)
+    monkeypatch.setattr(hashing, "SLICE_BYTES", 1 << 9)
+    parts = hashing.word_hashes(np.array([0, len(data)]), data)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    some = hashing.shingle_hashes(*parts)
+    monkeypatch.setattr(hashing, "SLICE_BYTES", 1 << 20)
+    assert (hashing.shingle_hashes(*whole)[0] == some[0]).all()
 
 
 # --- URL filters
@@ -367,7 +435,9 @@ def test_licenses_of_documents(spark, documents):
 
 
 def components(rows):
+    """doc_id -> size of its set, smallest linked doc_id, and the different sets that its own links with."""
     sets, at, parent = [(i, frozenset(shingles(t))) for i, t in rows], defaultdict(list), {i: i for i, _ in rows}
+    links = defaultdict(set)
 
     def find(x):
         while parent[x] != x:
@@ -379,9 +449,12 @@ def components(rows):
             if 100 * n >= 75 * (len(s) + len(sets[j][1]) - n):
                 a, b = find(i), find(sets[j][0])
                 parent[max(a, b)] = min(a, b)
+                if s != sets[j][1]:
+                    links[s].add(sets[j][1])
+                    links[sets[j][1]].add(s)
         for x in s:
             at[x].append(k)
-    return {i: (len(s), find(i)) for i, s in sets}
+    return {i: (len(s), find(i), len(links[s])) for i, s in sets}
 
 
 def join_rows():
@@ -400,25 +473,41 @@ def join_rows():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [48, 3])
-def test_ngram_join(spark, monkeypatch, frequent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+@pytest.mark.parametrize(("frequent", "crowd", "block", "held"), [(48, 64, 1024, 1 << 20), (3, 2, 7, 900)])
+def test_ngram_join(spark, monkeypatch, frequent, crowd, block, held):
+    for name, value in (("FREQUENT", frequent), ("CROWD", crowd), ("BLOCK_SETS", block), ("HELD", held)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = join_rows()
     wanted = components(list(enumerate(rows)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
     assert got == wanted
 
 
 def test_ngram_join_on_repeated_rows(spark):
     rows = join_rows()[:80]
     wanted, df = components(list(enumerate(rows))), frame(spark, rows)
-    got = [(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df.union(df)).collect()]
-    assert Counter(got) == Counter({(i, c): 2 for i, (_, c) in wanted.items()})
+    got = [(r.doc_id, r.component_id, r.n_links) for r in ngram_join.near_duplicates(df.union(df)).collect()]
+    assert Counter(got) == Counter({(i, c, n): 2 for i, (_, c, n) in wanted.items()})
     kept = ngram_join.one_of_each(df.union(df))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in wanted.items() if i == c)
+    blank = [i for i, t in enumerate(rows) if not (t or "").split()]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([i for i, (_, c, _) in wanted.items() if i == c] + blank)
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ngram_join_on_null_and_repeated_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    base, near, end, other = " ".join(w), " ".join([*w[:52], "x", *w[53:]]), " ".join([*w[:20], "z", *w[21:52], "x", *w[53:]]), "some other text of seven words here"
+    rows = [(5, base), (None, near), (7, end), (9, other), (9, base), (None, other), (3, None), (None, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1)).withColumn("_doc", F.lit(2)).withColumn("_row", F.lit(3))
+    assert components([(0, base), (1, near), (2, end)])[2][1] == 0
+    got = Counter((r.doc_id, r.component_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    n = {i: x[2] for i, x in components([(0, base), (1, near), (2, end)]).items()}
+    assert got == Counter({(5, 5, n[0]): 1, (None, 5, n[1]): 1, (7, 5, n[2]): 1, (9, 9, 0): 1, (9, 5, n[0]): 1, (None, 9, 0): 1, (3, 3, 0): 2, (None, None, 0): 1})
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, base), (9, other), (3, None), (3, None), (None, None)])
+
+
 # --- sharding
 
 
@@ -455,6 +544,7 @@ def test_pipeline(spark, documents):
     good = sorted(r.doc_id for r in judged)
     groups = components([(i, docs[i].text) for i in good])
     single = [i for i in good if groups[i][1] == i]
+    assert len(single) < len(good)
     found = {d for d, _ in leaks([(i, docs[i].text) for i in single], bench)}
     clean = documents.filter(F.col("doc_id").isin([i for i in single if i not in found]))
     mixed = Counter(r.doc_id for r in mixing.mixed_documents(clean).collect())
