@@ -61,6 +61,12 @@ EN_WORD = "[A-Za-z]+"
 CJK = r"[\x{4e00}-\x{9fff}]"
 SENTENCE = r"[^\n。！？!?；;]+[。！？!?；;]?"
 ABNORMAL = r"[*#=_~]{3,}|\x{fffd}"
+#: Decimal digits, and the superscript, subscript, circled and other digits of Unicode beside them.
+DIGIT = (
+    r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}"
+    r"\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}"
+    r"\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]"
+)
 NUMERIC = r"\d[\d,.:/\-]*"
 BREAKS = "。！？!?；;：:\n，,、)]】》」』 "
 

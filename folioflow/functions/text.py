@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,15 +32,39 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ratio(part: Column, whole: Column, digits: int | None = 6) -> Column:
-    """part / max(whole, 1); rounded half up in floating point, which DuckDB repeats exactly."""
+    """part / max(whole, 1), rounded to digits."""
     value = part / F.greatest(whole, F.lit(1))
     return rounded(value, digits) if digits else value
 
 
+#: 2^27 + 1, which splits a double into two halves whose products are exact.
+SPLITTER = 134217729.0
+
+
 def rounded(value: Column, digits: int) -> Column:
+    """value rounded to digits, ties of its exact binary value to even; up to 7 digits.
+
+    The product with the power of ten is rounded itself, so where it looks like a
+    tie, what it has lost decides.
+    """
     scale = float(10**digits)
-    return F.floor(value * scale + F.lit(0.5)).cast("double") / scale
+
+    def half_even(x: Column) -> Column:
+        high = x * SPLITTER - (x * SPLITTER - x)
+        product = x * scale
+        lost = (high * scale - product) + (x - high) * scale
+        low = F.floor(product)
+        gap = product - low
+        up = F.when(gap > 0.5, 1).when(gap < 0.5, 0).when(lost > 0, 1).when(lost < 0, 0).otherwise(F.abs(low) % 2)
+        return (low + up).cast("double") / scale
+
+    return let(value.cast("double"), half_even)
 
 
 def is_noise(text: Column) -> Column:
@@ -119,7 +145,13 @@ def title_from_filename(href: Column) -> Column:
     spaced = F.translate(stem, "_-", "  ")
     part = r"(?i)\b(chapter|section|part|page)\s*(\d+)\b"
     spaced = F.regexp_replace(F.regexp_replace(spaced, part, "$1 $2"), r"(?i)\b(\d+)\s*(chapter|section|part|page)\b", "$2 $1")
-    return F.initcap(spaced)
+    return title_case(spaced)
+
+
+def title_case(text: Column) -> Column:
+    """Each run of letters with a capital first and small ones after it, also behind a digit or an apostrophe."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), 0)
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20)))), "")
 
 
 def sanitized(title: Column) -> Column:

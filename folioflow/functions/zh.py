@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import strip
+from .text import let, strip
 
 LEVELS = ("off", "basic")
 #: Pattern with look-around, the same without, and the rewriting of a match.
@@ -19,11 +19,6 @@ _TIME, _TIME_PARTS = r"(?<!\d)\d{1,2}:\d{2}(?!\d)", r"(\d{1,2}):(\d{2})"
 _BETWEEN = rf"(?<={C.CJK})\d+(?:\.\d+)?(?={C.CJK})"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, which lambdas otherwise don't give."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def digits_to_zh(text: Column) -> Column:
     """Digit by digit, as years are read."""
     return F.translate(text, "0123456789", C.ZH_DIGITS)
@@ -51,8 +46,8 @@ def group_to_zh(value: Column) -> Column:
 def int_to_zh(value: Column) -> Column:
     """A whole number from 0 up to below 10^16; null beyond."""
     powers = F.array(*[F.lit(10 ** (4 * k)) for k in (3, 2, 1, 0)])
-    groups = F.transform(powers, lambda p: F.floor(value / p).cast("long") % 10000)
-    spoken = F.array_join(_let(groups, _groups_to_zh), "")
+    groups = F.transform(powers, lambda p: F.call_function("div", value, p) % 10000)
+    spoken = F.array_join(let(groups, _groups_to_zh), "")
     return F.when(value == 0, "零").when((value > 0) & (value < 10**16), spoken)
 
 

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import dbfs, ratio, rounded
+from .speech import tone
+
+
+METRICS = (
+    "sample_rate", "channels", "sample_count", "duration_seconds", "peak_dbfs", "rms_dbfs", "silence_ratio", "leading_silence_seconds",
+    "trailing_silence_seconds", "clipped_samples", "clipped_ratio",
+)
 
 
 def duration(samples: Column, rate: Column) -> Column:
@@ -31,9 +38,13 @@ def mono(samples: Column, channels: Column) -> Column:
 def signal_metrics(audio: DataFrame, clip: float = C.CLIP_LEVEL, silence: float = C.SILENCE_LEVEL) -> DataFrame:
     """Add peak, level, clipping and silence of column samples (array), with column sample_rate.
 
-    An empty array has peak and level null, silence ratio 1 and no boundaries.
+    Where there is a column channels, samples of more than one are interleaved
+    and are measured as their mean, frame by frame. An empty array has peak and
+    level null, silence ratio 1 and no boundaries.
     """
-    out = audio.withColumn("_abs", F.transform("samples", lambda x: F.abs(x.cast("double"))))
+    one = mono(F.col("samples"), F.col("channels")) if "channels" in audio.columns else F.col("samples")
+    out = audio.withColumn("_one", one)
+    out = out.withColumn("_abs", F.transform("_one", lambda x: F.abs(x.cast("double")))).drop("_one")
     n = F.size("_abs").cast("long")
     square = F.aggregate("_abs", F.lit(0.0), lambda a, x: a + x * x)
     clipped = F.size(F.filter("_abs", lambda x: x >= clip)).cast("long")
@@ -79,6 +90,17 @@ def qc_rollup(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def qc_summary(metrics: DataFrame) -> DataFrame:
+    """One nested row: qc_rollup with files (by name) and failed_files, for folders of bounded size."""
+    failed = F.col("error").isNotNull() if "error" in metrics.columns else F.lit(False)
+    named = F.struct("file", *[c for c in METRICS if c in metrics.columns])
+    lists = metrics.agg(
+        F.sort_array(F.collect_list(F.when(~failed, named))).alias("files"),
+        F.sort_array(F.collect_list(F.when(failed, F.struct("file", F.col("error") if "error" in metrics.columns else F.lit(None))))).alias("failed_files"),
+    )
+    return qc_rollup(metrics).crossJoin(lists).withColumn("generated_at", F.current_timestamp())  # one row each
+
+
 def timeline(chapters: DataFrame, book: str = "book", order: str = "idx") -> DataFrame:
     """Add start_ms and end_ms to chapters with duration_seconds: each starts where the one before ends."""
     ms = F.floor(F.col("duration_seconds") * 1000).cast("long")
@@ -123,17 +145,12 @@ def assemble(segments: DataFrame, by: str, order: str = "pos") -> DataFrame:
     return concat_samples(rows.withColumn("sample_rate", F.col("_rate")).drop("_rate"), by, order)
 
 
-def tone(text: str, rate: int = 8000) -> np.ndarray:
-    """A stand-in for speech: a tone whose length follows the text's and whose pitch follows its characters."""
-    pitch = 200 + sum(map(ord, text)) % 400
-    return 0.3 * np.sin(2 * np.pi * pitch * np.arange(len(text) * rate // 100) / rate)
-
-
 def synthesize(segments: DataFrame, speak: Callable[[str], np.ndarray] = tone, rate: int = 8000, calls: int | None = None) -> DataFrame:
     """Add samples and sample_rate to segments by a speech function, which runs in calls partitions at a time at most.
 
-    speak gives the samples of a text, or None where there is no audio. A client
-    should be made inside it, once per process.
+    speak gives the samples of a text, or None where there is no audio; see
+    speech.retrying for calls that fail. A client should be made inside it, once
+    per process.
     """
     rows = segments.repartition(calls) if calls else segments
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, samples array<float>, sample_rate int"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 
+#: What a block's class means for the next block, by digit; any other class is 0.
+STATES = {"near_good": "1", "good": "2"}
+#: Blocks that are folded at once.
+FOLD = 512
+
 
 def with_levels(blocks: DataFrame, levels: Sequence[str] = (C.DEFAULT_LEVEL,)) -> DataFrame:
     """Every block once per strictness level, with the level's thresholds as columns."""
@@ -83,8 +88,9 @@ def _content(kind: Column) -> Column:
     return F.coalesce(kind.isin("good", "near_good"), F.lit(False))
 
 
-def _pass_one(x: Column, before: Column) -> Column:
-    """New (classification, reason) of a block, given the new class of the block before it."""
+def _pass_one(name: Callable[[str], Column], before: Column) -> Column:
+    """New (classification, reason) of a block whose facts name gives, given the new class of the block before it."""
+    x = {k: name(k) for k in ("next_good", "heading_like", "next_content", "is_heading", "fixed", "suffix", "lenient", "classification", "reason")}
     after_content = _content(before)
     surrounded = F.coalesce(before == "good", F.lit(False)) & x["next_good"]
     reason = (
@@ -104,12 +110,34 @@ def _pass_one(x: Column, before: Column) -> Column:
     )
 
 
-def reclassify(classified: DataFrame, key: str = "page_id") -> DataFrame:
-    """Both passes over neighbours, for each key and strictness.
+def _states(maps: Column) -> Column:
+    """For each block its before state, from what each block makes of the three states; one string.
+
+    The blocks are folded in runs, each from every state, and then the runs; so
+    the work grows with the number of blocks.
+    """
+
+    def fold(run: Column, start: Column) -> Column:
+        step = lambda a, m: F.struct(
+            F.substring(m, a["at"].cast("int") + 1, F.lit(1)).alias("at"), F.concat(a["seen"], a["at"]).alias("seen")
+        )
+        return F.aggregate(run, F.struct(start.alias("at"), F.lit("").alias("seen")), step)
+
+    firsts = F.sequence(F.lit(1), F.size(maps), F.lit(FOLD))
+    runs = F.transform(firsts, lambda k: F.transform(F.array(*map(F.lit, "012")), lambda s: fold(F.slice(maps, k, F.lit(FOLD)), s)))
+    begin = F.struct(F.lit("0").alias("at"), F.lit("").alias("seen"))
+    follow = lambda a, r: T.let(
+        F.get(r, a["at"].cast("int")), lambda v: F.struct(v["at"].alias("at"), F.concat(a["seen"], v["seen"]).alias("seen"))
+    )
+    return F.when(F.size(maps) <= FOLD, fold(maps, F.lit("0"))["seen"]).otherwise(F.aggregate(runs, begin, follow)["seen"])
+
+
+def first_pass(classified: DataFrame, key: str = "page_id") -> DataFrame:
+    """The first pass over neighbours, for each key and strictness; adds prefix, suffix and other facts.
 
-    The first pass depends on the rewritten block before, so it is a fold over a
-    document's blocks; the second is a window, in which a run of blocks that can
-    follow content inherits the verdict on what stands before the run.
+    It depends on the rewritten block before, of which only three states matter:
+    each block's outcome for all three is computed as columns, and a fold over
+    these digits tells which holds.
     """
     by = [key, "strictness"]
     w = Window.partitionBy(*by).orderBy("block_index")
@@ -134,24 +162,27 @@ def reclassify(classified: DataFrame, key: str = "page_id") -> DataFrame:
             "lenient": F.col("strictness") == "conservative",
         }
     )
+    digit = lambda kind: F.when(kind == "good", "2").when(kind == "near_good", "1").otherwise("0")
+    befores = [F.lit(None).cast("string"), F.lit("near_good"), F.lit("good")]
+    facts = facts.withColumn("_map", F.concat(*[digit(_pass_one(F.col, x)["classification"]) for x in befores]))
     others = [c for c in facts.columns if c not in (*by, "block_index")]
     rows = F.sort_array(F.collect_list(F.struct("block_index", *others)))
-    start = F.struct(
-        F.lit(None).cast("string").alias("before"),
-        F.array().cast("array<struct<classification:string,reason:string>>").alias("done"),
-    )
+    folded = facts.groupBy(*by).agg(rows.alias("_rows")).withColumn("_maps", F.transform("_rows", lambda r: r["_map"]))
+    folded = folded.withColumn("_before", F.split(_states(F.col("_maps")), ""))
+    out = folded.select(*by, F.explode(F.arrays_zip("_rows", "_before")).alias("_z")).select(*by, "_z._rows.*", "_z._before").drop("_map")
+    before = F.when(F.col("_before") == "2", "good").when(F.col("_before") == "1", "near_good")
+    out = out.withColumn("_new", _pass_one(F.col, before)).drop("_before")
+    out = out.withColumn("classification", F.col("_new.classification")).withColumn("reason", F.col("_new.reason")).drop("_new")
+    return out
 
-    def step(a: Column, x: Column) -> Column:
-        made = F.transform(F.array(_pass_one(x, a["before"])), lambda v: F.struct(v["classification"].alias("before"), F.array_append(a["done"], v).alias("done")))
-        return F.element_at(made, 1)
 
-    folded = facts.groupBy(*by).agg(rows.alias("_rows"))
-    folded = folded.withColumn("_new", F.aggregate("_rows", start, step, lambda a: a["done"]))
-    out = folded.select(*by, F.explode(F.arrays_zip("_rows", "_new")).alias("_z"))
-    out = out.select(*by, "_z._rows.*", F.col("_z._new").alias("_new"))
-    out = out.withColumn("classification", F.col("_new.classification")).withColumn("reason", F.col("_new.reason")).drop("_new")
+def second_pass(out: DataFrame, key: str = "page_id") -> DataFrame:
+    """The second pass, over blocks that the first one left short; adds _open, which tells these.
 
-    # Second pass, over blocks that are still short.
+    A run of blocks that can follow content inherits the verdict on what stands
+    before the run, by a window.
+    """
+    w, strict = Window.partitionBy(key, "strictness").orderBy("block_index"), F.col("strictness") == "aggressive"
     short = (F.col("classification") == "short") & ~strict
     leads = F.col("prefix") & _content(F.lead("classification").over(w))
     mark = (
@@ -160,14 +191,19 @@ def reclassify(classified: DataFrame, key: str = "page_id") -> DataFrame:
         .when(F.col("suffix"), F.lit(None))
         .otherwise(0)
     )
-    out = out.withColumn("_leads", short & leads).withColumn("_mark", mark)
+    out = out.withColumns({"_open": short, "_leads": short & leads, "_mark": mark})
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     verdict = F.coalesce(F.last("_mark", ignorenulls=True).over(running), F.lit(0)) == 1
-    out = out.withColumn("_verdict", verdict)
-    reason = F.when(F.col("_leads"), "short_prefix_for_content").when(short & F.col("_verdict"), "short_suffix_for_content")
+    out = out.withColumn("_verdict", verdict & F.col("_open"))
+    reason = F.when(F.col("_leads"), "short_prefix_for_content").when(F.col("_verdict"), "short_suffix_for_content")
     out = out.withColumn("reason", F.coalesce(reason, "reason"))
-    out = out.withColumn("classification", F.when(short & F.col("_verdict"), "near_good").otherwise(F.col("classification")))
-    return out.drop("_leads", "_mark", "_verdict", "next_content", "next_good", "fixed", "prefix", "suffix", "lenient")
+    return out.withColumn("classification", F.when(F.col("_verdict"), "near_good").otherwise(F.col("classification"))).drop("_leads", "_mark", "_verdict")
+
+
+def reclassify(classified: DataFrame, key: str = "page_id") -> DataFrame:
+    """Both passes over neighbours, for each key and strictness."""
+    out = second_pass(first_pass(classified, key), key)
+    return out.drop("_open", "next_content", "next_good", "fixed", "prefix", "suffix", "lenient")
 
 
 def decide(reclassified: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def readability(docs: DataFrame, text: str = "text") -> DataFrame:
     odd = F.aggregate(F.regexp_extract_all("_text", F.lit(C.ABNORMAL), 0), F.lit(0), lambda a, x: a + F.length(x))
     total = F.aggregate("_lengths", F.lit(0), lambda a, x: a + x)
     many = F.size(F.filter("_lengths", lambda x: x > C.OVERLONG_SENTENCE)).cast("long")
-    numbers = F.regexp_count("_text", F.lit(r"\p{Nd}"))
+    numbers = F.regexp_count("_text", F.lit(C.DIGIT))
     sentences = F.size("_lengths").cast("long")
     out = out.withColumns(
         {

@@ -37,11 +37,13 @@ def chapter_reports(chapters: DataFrame) -> DataFrame:
 
 
 def book_rollup(reports: DataFrame, book: str = "book") -> DataFrame:
-    """Sums, counts, ratios and integrity flags per book."""
-    place = F.row_number().over(Window.partitionBy(book).orderBy("idx"))
-    rows = reports.withColumn("_place", place)
+    """Sums, counts, ratios and integrity flags per book, by one aggregation.
+
+    order_consistent: the places are 1, 2 and so on, each once.
+    planned_chapter_count is the number of rows, reported or not generated.
+    """
     sums = [F.sum(c).alias(f"total_{c}" if c != "total_blocks" else c) for c in SUMS]
-    out = rows.groupBy(book).agg(
+    out = reports.groupBy(book).agg(
         F.count("*").alias("document_count"),
         *sums,
         F.sum(F.col("sentence_count") * F.col("avg_sentence_length")).alias("_sentence_chars"),
@@ -51,15 +53,20 @@ def book_rollup(reports: DataFrame, book: str = "book") -> DataFrame:
         F.count_if("audio_generated").alias("generated_audio_count"),
         F.count_if("char_metrics_estimated").alias("estimated_document_count"),
         (F.count("href") - F.count_distinct("href")).alias("duplicate_href_count"),
-        F.bool_and(F.col("idx") == F.col("_place")).alias("order_consistent"),
+        (F.min("idx").eqNullSafe(F.lit(1)) & (F.max("idx") == F.count("*")) & (F.count_distinct("idx") == F.count("*"))).alias("order_consistent"),
     )
     return out.withColumns(
         {
+            "planned_chapter_count": F.col("document_count"),
             "retention_ratio": ratio(F.col("total_kept_chars"), F.col("total_raw_chars")),
+            "removed_char_ratio": ratio(F.col("total_removed_chars"), F.col("total_raw_chars")),
+            "removed_ratio": ratio(F.col("total_removed_blocks"), F.col("total_blocks")),
             "avg_sentence_length": rounded(F.col("_sentence_chars") / F.greatest(F.col("total_sentence_count"), F.lit(1)), 3),
             "overlong_sentence_ratio": ratio(F.col("total_overlong_sentence_count"), F.col("total_sentence_count")),
             "abnormal_symbol_ratio": ratio(F.col("total_abnormal_symbol_count"), F.col("total_cleaned_chars")),
             "numeric_char_ratio": ratio(F.col("total_numeric_char_count"), F.col("total_cleaned_chars")),
+            "empty_chapter_ratio": ratio(F.col("empty_chapter_count"), F.col("document_count")),
+            "ultra_short_chapter_ratio": ratio(F.col("ultra_short_chapter_count"), F.col("document_count")),
         }
     ).drop("_sentence_chars")
 
@@ -100,14 +107,20 @@ def first_value(reports: DataFrame, column: str, book: str = "book") -> DataFram
     return reports.groupBy(book).agg(F.min_by(column, "idx").alias(column))
 
 
+def summary_rows(reports: DataFrame, book: str = "book", most: int = C.LIST_CAP) -> DataFrame:
+    """The lists of a book's summary in long form: book, part (documents or a list of candidates), place, idx, href, retention_ratio, removed_chars."""
+    order = Window.partitionBy(book).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    flags = {"documents": F.lit(True), "possible_false_drop": is_false_drop(), "possible_false_keep": is_false_keep()}
+    narrow = reports.select(book, "idx", "href", "retention_ratio", "removed_chars", *[x.alias(f"_{k}") for k, x in flags.items()])
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), F.sum(F.col(f"_{k}").cast("int")).over(order).alias("place"), F.col(f"_{k}").alias("is")) for k in flags])
+    rows = narrow.withColumn("_parts", parts).withColumn("_part", F.explode(F.filter("_parts", lambda x: x["is"])))
+    rows = rows.select(book, F.col("_part.part").alias("part"), F.col("_part.place").alias("place"), "idx", "href", "retention_ratio", "removed_chars")
+    return rows.filter((F.col("part") == "documents") | (F.col("place") <= most))
+
+
 def book_summary(reports: DataFrame, book: str = "book") -> DataFrame:
-    """One nested row per book: the rollup, its documents and both lists of candidates."""
-    listed = lambda df, name: df.groupBy(book).agg(F.sort_array(F.collect_list(F.struct("idx", "href", "retention_ratio", "removed_chars"))).alias(name))
-    out = book_rollup(reports, book)
-    for part in (
-        listed(reports, "documents"),
-        listed(candidates(reports, is_false_drop(), book), "possible_false_drop"),
-        listed(candidates(reports, is_false_keep(), book), "possible_false_keep"),
-    ):
-        out = out.join(part, book, "left")
-    return out.withColumn("generated_at", F.current_timestamp())
+    """One nested row per book: the rollup, its documents and both lists of candidates, for books of bounded size; see summary_rows."""
+    item = F.struct("idx", "href", "retention_ratio", "removed_chars")
+    listed = lambda k: F.sort_array(F.collect_list(F.when(F.col("part") == k, item))).alias(k)
+    lists = summary_rows(reports, book).groupBy(book).agg(*[listed(k) for k in ("documents", "possible_false_drop", "possible_false_keep")])
+    return book_rollup(reports, book).join(lists, book, "left").withColumn("generated_at", F.current_timestamp())

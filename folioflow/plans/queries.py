@@ -8,14 +8,15 @@ numbers and lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
 from ..functions import zh
 from ..operators import audio, blocks, clean, navigation, readability, reports, segments
-from ..operators.classify import classify, features, judged_blocks, with_levels
+from ..functions.order import numbered
+from ..operators.classify import classify, features, first_pass, judged_blocks, second_pass, with_levels
 from ..session import ship_package
 from . import sql as S
 
@@ -133,9 +134,17 @@ def strictness_comparison(spark, sf_dir):
     return rows.agg(F.count("*").alias("blocks"), F.count_if("keep").alias("kept"), F.coalesce(size, F.lit(0)).alias("kept_chars"))
 
 
-@query()
+@query(S.JUDGED + S.NESTED)
 def cleaning_report_nested(spark, sf_dir):
-    return clean.full_report(_judged(spark, sf_dir, (C.DEFAULT_LEVEL,)))
+    """The nested report's totals, samples and maps, a row for each entry."""
+    report = clean.full_report(_judged(spark, sf_dir, (C.DEFAULT_LEVEL,)))
+    entry = lambda part, item, n, text: F.struct(F.lit(part).alias("part"), item.alias("item"), n.cast("long").alias("n"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    counts = [entry("total", F.lit(c), F.col(c), none) for c in ("total_blocks", "kept_blocks", "raw_chars", "removed_chars")]
+    sampled = lambda c: F.transform(c, lambda x: entry(c, x["reason"], x["block_index"], x["text"]))
+    counted = lambda c: F.transform(F.map_entries(c), lambda x: entry(c, x["key"], x["value"], none))
+    lists, maps = map(sampled, ("removed_samples", "kept_samples")), map(counted, ("removed_reason_counts", "reason_counts"))
+    return report.select("page_id", "strictness", F.explode(F.concat(F.array(*counts), *lists, *maps)).alias("e")).select("page_id", "strictness", "e.*")
 
 
 def _lines(spark, sf_dir):
@@ -173,10 +182,12 @@ READABILITY = [
 
 
 def _chapters(spark, sf_dir):
+    """Reports of documents as chapters of their sources; measured first, so that only narrow rows are numbered."""
     docs = table(spark, sf_dir, "documents")
-    idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     href = F.concat(F.lit("text/"), (F.col("doc_id") % 97).cast("string"), F.lit(".xhtml"))
-    return docs.select(F.col("source").alias("book"), idx.alias("idx"), href.alias("href"), "doc_id", "text", F.col("n_chars").alias("raw_chars"))
+    rows = docs.select(F.col("source").alias("book"), href.alias("href"), "doc_id", "text", F.col("n_chars").alias("raw_chars"))
+    places = numbered(docs.select("source", "doc_id"), "source", "doc_id", "idx").drop("source")
+    return reports.chapter_reports(rows).drop("text").join(places, "doc_id")
 
 
 @query(S.READABILITY + f"SELECT doc_id, {', '.join(READABILITY)} FROM readability")
@@ -198,18 +209,18 @@ ROLLUP = [
 
 @query(S.READABILITY + S.ROLLUP)
 def book_rollup(spark, sf_dir):
-    return reports.book_rollup(reports.chapter_reports(_chapters(spark, sf_dir))).select("book", *ROLLUP)
+    return reports.book_rollup(_chapters(spark, sf_dir)).select("book", *ROLLUP)
 
 
 @query(S.READABILITY + S.INTEGRITY)
 def chapter_integrity(spark, sf_dir):
-    out = reports.book_rollup(reports.chapter_reports(_chapters(spark, sf_dir)))
+    out = reports.book_rollup(_chapters(spark, sf_dir))
     return out.select("book", "document_count", "empty_chapter_count", "ultra_short_chapter_count", "duplicate_href_count", "order_consistent")
 
 
 @query(S.READABILITY + S.FALSE_KEEP)
 def false_keep_candidates(spark, sf_dir):
-    out = reports.candidates(reports.chapter_reports(_chapters(spark, sf_dir)), reports.is_false_keep())
+    out = reports.candidates(_chapters(spark, sf_dir), reports.is_false_keep())
     return out.select("book", "doc_id", F.col("place").cast("long").alias("place"), "abnormal_symbol_ratio", "numeric_char_ratio")
 
 
@@ -261,7 +272,7 @@ def progress_percent(spark, sf_dir):
 
 @query(S.TITLES)
 def title_from_filename(spark, sf_dir):
-    name = F.concat(F.lit("text/"), F.translate("p_name", " ", "_"), F.lit("-chapter"), F.col("p_size").cast("string"), F.lit(".xhtml"))
+    name = F.concat(F.lit("text/"), F.translate("p_name", " ", "_"), F.lit("_o'neil-1st-chapter"), F.col("p_size").cast("string"), F.lit(".xhtml"))
     return table(spark, sf_dir, "part").select("p_partkey", T.title_from_filename(name).alias("title"))
 
 
@@ -278,7 +289,8 @@ def year_to_zh(spark, sf_dir):
 
 @query(S.INT_TO_ZH)
 def int_to_zh(spark, sf_dir):
-    value = F.col("o_orderkey") * F.element_at(F.array(*[F.lit(x) for x in (1, 10, 1000, 10007, 1000000)]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    factor = F.element_at(F.array(*[F.lit(x).cast("long") for x in (1, 10, 1000, 10007, 99999999977)]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    value = F.col("o_orderkey") * factor % 10**16
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), zh.int_to_zh(value).alias("spoken"))
 
 
@@ -328,16 +340,25 @@ def signal_metrics(spark, sf_dir):
     return audio.signal_metrics(_audio(spark, sf_dir), clip=0.25, silence=0.05).select("vec_id", *METRICS)
 
 
+@query(S.STEREO_METRICS + f"SELECT vec_id, {', '.join(METRICS)} FROM metrics")
+def stereo_signal_metrics(spark, sf_dir):
+    rows = _audio(spark, sf_dir).withColumn("channels", F.lit(2))
+    return audio.signal_metrics(rows, clip=0.25, silence=0.05).select("vec_id", *METRICS)
+
+
 @query(S.METRICS + S.QC_ROLLUP)
 def audio_qc_rollup(spark, sf_dir):
     return audio.qc_rollup(audio.signal_metrics(_audio(spark, sf_dir), clip=0.25, silence=0.05), ["label"])
 
 
-@query("""SELECT label, count(*) * 64 AS samples, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total FROM embeddings GROUP BY label""")
+@query("""SELECT vec_id // 8 AS chapter, count(*) * 64 AS samples, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total,
+    list_first(first(embedding ORDER BY vec_id))::DOUBLE AS first, list_last(last(embedding ORDER BY vec_id))::DOUBLE AS last FROM embeddings GROUP BY 1""")
 def concat_samples(spark, sf_dir):
-    out = audio.concat_samples(_audio(spark, sf_dir), "label", "vec_id")
+    rows = _audio(spark, sf_dir).withColumn("chapter", F.expr("vec_id div 8"))
+    out = audio.concat_samples(rows, "chapter", "vec_id")
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return out.select("label", F.size("samples").cast("long").alias("samples"), F.round(total, 3).alias("total"))
+    ends = [F.element_at("samples", k).cast("double").alias(n) for k, n in ((1, "first"), (-1, "last"))]
+    return out.select("chapter", F.size("samples").cast("long").alias("samples"), F.round(total, 3).alias("total"), *ends)
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.data.id'), json_extract_string(props, '$.id'), json_extract_string(props, '$.page'), event_type) AS task FROM events""")
@@ -346,11 +367,12 @@ def reply_json_fallbacks(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(task, "event_type").alias("task"))
 
 
-@query("SELECT source AS book, string_agg(doc_id::VARCHAR, ' / ' ORDER BY doc_id) AS title FROM documents GROUP BY source")
+@query("SELECT conv_id::VARCHAR AS book, string_agg(turn || ' ' || role, ' / ' ORDER BY turn) AS title FROM conversations GROUP BY conv_id")
 def metadata_join_titles(spark, sf_dir):
     from ..sources.containers import joined_metadata
 
-    meta = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), F.lit("title").alias("name"), F.col("doc_id").cast("string").alias("value"))
+    value = F.concat(F.col("turn").cast("string"), F.lit(" "), F.col("role"))
+    meta = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book"), F.col("turn").alias("pos"), F.lit("title").alias("name"), value.alias("value"))
     return joined_metadata(meta, "title")
 
 
@@ -367,6 +389,33 @@ def synthesized_durations(spark, sf_dir):
     return spoken.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("duration_seconds").alias("seconds"))
 
 
-@query()
+@query(S.READABILITY + S.SUMMARIES)
 def book_summaries(spark, sf_dir):
-    return reports.book_summary(reports.chapter_reports(_chapters(spark, sf_dir))).drop("generated_at")
+    return reports.summary_rows(_chapters(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(S.JUDGED + "SELECT page_id, strictness, block_index, c AS classification, r AS reason FROM fold")
+def context_pass1(spark, sf_dir):
+    out = first_pass(classify(with_levels(features(blocks.html_blocks(_pages(spark, sf_dir))), LEVELS)))
+    return out.select("page_id", "strictness", F.col("block_index").cast("long").alias("block_index"), "classification", "reason")
+
+
+@query(S.JUDGED + "SELECT page_id, strictness, block_index, classification, reason FROM five WHERE open")
+def context_pass2(spark, sf_dir):
+    """What the second pass makes of the blocks that the first one left short."""
+    out = second_pass(first_pass(classify(with_levels(features(blocks.html_blocks(_pages(spark, sf_dir))), LEVELS))))
+    return out.filter("_open").select("page_id", "strictness", F.col("block_index").cast("long").alias("block_index"), "classification", "reason")
+
+
+@query(python=True)
+def resampled_audio(spark, sf_dir):
+    """Vectors at two rates, brought to the rate of the first of each four; tests hold the resampling itself against a sum of sines."""
+    rows = _audio(spark, sf_dir).withColumn("chapter", F.expr("vec_id div 4"))
+    rows = rows.withColumn("sample_rate", F.when(F.col("vec_id") % 2 == 0, 16000).otherwise(8000))
+    return audio.assemble(rows, "chapter", "vec_id").select("chapter", "sample_rate", F.size("samples").alias("samples"))
+
+
+@query(S.PACKED, python=True)
+def greedy_sentence_packing(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return segments.segments(rows, 120, "off", "conv_id").withColumn("pos", F.col("pos").cast("long"))

@@ -23,11 +23,17 @@ def matches(x: str, pattern: str, ignore_case: bool = False) -> str:
 
 
 def ratio(part: str, whole: str) -> str:
-    return f"floor(({part})::DOUBLE / greatest({whole}, 1) * 1000000.0 + 0.5) / 1000000.0"
+    return rounded(f"({part})::DOUBLE / greatest({whole}, 1)", 6)
 
 
 def rounded(x: str, digits: int) -> str:
-    return f"floor(({x}) * {10.0**digits} + 0.5) / {10.0**digits}"
+    """Half to even on the exact binary value, as functions.text.rounded has it."""
+    scale, split, half = f"{10.0**digits}::DOUBLE", "134217729.0::DOUBLE", "0.5::DOUBLE"
+    high = f"(v * {split} - (v * {split} - v))"
+    lost = f"(({high} * {scale} - v * {scale}) + (v - {high}) * {scale})"
+    gap = f"(v * {scale} - floor(v * {scale}))"
+    up = f"CASE WHEN {gap} > {half} THEN 1 WHEN {gap} < {half} THEN 0 WHEN {lost} > 0 THEN 1 WHEN {lost} < 0 THEN 0 ELSE abs(floor(v * {scale})) % 2 END"
+    return f"list_transform([({x})::DOUBLE], lambda v: (floor(v * {scale}) + {up}) / {scale})[1]"
 
 
 def count(x: str, pattern: str) -> str:
@@ -176,6 +182,15 @@ def samples(condition: str) -> str:
         FROM judged WHERE {condition}) WHERE place <= {C.LIST_CAP}"""
 
 
+_OF_LEVEL = f"WHERE strictness = '{C.DEFAULT_LEVEL}'"
+_NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY page_id, strictness, keep ORDER BY block_index) AS place FROM judged {_OF_LEVEL})"
+NESTED = f"""SELECT page_id, strictness, 'total' AS part, unnest(['total_blocks', 'kept_blocks', 'raw_chars', 'removed_chars']) AS item,
+        unnest([total_blocks, kept_blocks, raw_chars, removed_chars])::BIGINT AS n, NULL::VARCHAR AS text FROM ({REPORT}) {_OF_LEVEL}
+    UNION ALL SELECT page_id, strictness, CASE WHEN keep THEN 'kept_samples' ELSE 'removed_samples' END, reason, block_index, substr(text, 1, {C.SAMPLE_CHARS})
+        FROM {_NUMBERED} WHERE place <= {C.LIST_CAP}
+    UNION ALL SELECT page_id, strictness, 'removed_reason_counts', reason, count(*), NULL FROM judged {_OF_LEVEL} AND NOT keep GROUP BY ALL
+    UNION ALL SELECT page_id, strictness, 'reason_counts', reason, count(*), NULL FROM judged {_OF_LEVEL} GROUP BY ALL"""
+
 LINES = """WITH lines AS (SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'Chapter ' || p_size WHEN 1 THEN 'Chapter ' || p_size || ' ..... ' || p_partkey
     WHEN 2 THEN '第' || p_size || '章 …… 12' WHEN 3 THEN p_size::VARCHAR WHEN 4 THEN '第三章 ' || p_name WHEN 5 THEN '======' WHEN 6 THEN 'Page ' || p_size
     ELSE p_name END AS line FROM part) """
@@ -187,7 +202,7 @@ s AS (SELECT *, list_transform(list_filter(list_transform(regexp_extract_all(t,
 l AS (SELECT *, CASE WHEN len(found) = 0 AND t <> '' THEN [length(t)] ELSE found END AS n FROM s),
 c AS (SELECT *, len(n) AS sentence_count, len(list_filter(n, lambda x: x > {C.OVERLONG_SENTENCE})) AS overlong_sentence_count,
     coalesce(list_sum(list_transform(regexp_extract_all(t, {quoted(C.ABNORMAL)}), lambda x: length(x))), 0)::BIGINT AS abnormal_symbol_count,
-    {count("t", "[0-9]")} AS numeric_char_count FROM l),
+    {count("t", C.DIGIT)} AS numeric_char_count FROM l),
 readability AS (SELECT doc_id, source, length(coalesce(t, '')) AS stripped_chars,
     len(list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS paragraph_count,
     sentence_count, {rounded("coalesce(list_sum(n), 0)::DOUBLE / greatest(sentence_count, 1)", 3)} AS avg_sentence_length,
@@ -209,6 +224,17 @@ INTEGRITY = f"SELECT book, document_count, empty_chapter_count, ultra_short_chap
 FALSE_KEEP = f"""SELECT book, doc_id, place, abnormal_symbol_ratio, numeric_char_ratio FROM (SELECT source AS book, *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place
     FROM readability WHERE abnormal_symbol_ratio > {C.FALSE_KEEP_ABNORMAL} OR numeric_char_ratio > {C.FALSE_KEEP_NUMERIC}) WHERE place <= {C.LIST_CAP}"""
 
+_LISTED = "SELECT book, '{part}' AS part, row_number() OVER (PARTITION BY book ORDER BY idx) AS place, idx, href, retention_ratio, removed_chars FROM chapters WHERE {test}"
+_LISTS = (
+    ("documents", "true"),
+    ("possible_false_drop", f"retention_ratio < {C.FALSE_DROP_RETENTION} AND removed_chars > {C.FALSE_DROP_CHARS}"),
+    ("possible_false_keep", f"abnormal_symbol_ratio > {C.FALSE_KEEP_ABNORMAL} OR numeric_char_ratio > {C.FALSE_KEEP_NUMERIC}"),
+)
+SUMMARIES = f""", chapters AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS idx, href, {ratio("cleaned_chars", "n_chars")} AS retention_ratio,
+        greatest(n_chars - cleaned_chars, 0) AS removed_chars, abnormal_symbol_ratio, numeric_char_ratio
+        FROM {_CHAPTERS.replace("AS cleaned_chars", "AS cleaned_chars, d.n_chars")})
+    SELECT * FROM ({" UNION ALL ".join(_LISTED.format(part=k, test=t) for k, t in _LISTS)}) WHERE part = 'documents' OR place <= {C.LIST_CAP}"""
+
 HREFS = """WITH hrefs AS (SELECT page_id % 11 AS book, page_id AS pos, CASE page_id % 3
     WHEN 0 THEN 'OEBPS/' || ['chap_1.xhtml', 'nav.xhtml', 'Text/TOC.xhtml', 'Table_of_Contents.html', '7358.xhtml', 'my-toc-2.html', 'cover.html'][page_id % 7 + 1] || '#x'
     WHEN 1 THEN ['chap_1.xhtml', 'nav.xhtml', 'Text/TOC.xhtml', 'Table_of_Contents.html', '7358.xhtml', 'my-toc-2.html', 'cover.html'][page_id % 7 + 1]
@@ -220,8 +246,8 @@ NON_CONTENT = f"""({HREF_KEY} = '' OR {_STEM} IN ({listed(C.NON_CONTENT_STEMS)})
 
 PROGRESS = """SELECT conv_id, turn, chapter_index, total_chapters, chapter_index / total_chapters * 100.0::DOUBLE AS progress_pct FROM (SELECT conv_id, turn,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chapter_index, count(*) OVER (PARTITION BY conv_id) AS total_chapters FROM conversations)"""
-TITLES = """SELECT p_partkey, array_to_string(list_transform(string_split(lower(translate(translate(p_name, ' ', '_') || '-chapter ' || p_size, '_-', '  ')), ' '),
-    lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM part"""
+TITLES = """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name || ' o''neil 1st chapter ' || p_size), '[a-z]+|[^a-z]+'),
+    lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS title FROM part"""
 
 _G = """CASE WHEN {v} = 0 THEN '' ELSE
     CASE WHEN {v} // 1000 > 0 THEN substr('零一二三四五六七八九', {v} // 1000 + 1, 1) || '千' ELSE '' END
@@ -233,42 +259,74 @@ _G = """CASE WHEN {v} = 0 THEN '' ELSE
 
 
 def spoken(v: str) -> str:
-    """A number below 10^12 in Chinese."""
-    low, mid, high = f"({v} % 10000)", f"({v} // 10000 % 10000)", f"({v} // 100000000)"
-    return f"""CASE WHEN {v} = 0 THEN '零' ELSE CASE WHEN {high} > 0 THEN {_G.format(v=high)} || '亿' ELSE '' END
-        || CASE WHEN {mid} > 0 THEN CASE WHEN {high} > 0 AND {mid} < 1000 THEN '零' ELSE '' END || {_G.format(v=mid)} || '万' ELSE '' END
-        || CASE WHEN {low} > 0 THEN CASE WHEN {v} >= 10000 AND ({low} < 1000 OR {mid} = 0) THEN '零' ELSE '' END || {_G.format(v=low)} ELSE '' END END"""
+    """A number below 10^16 in Chinese."""
+    groups, units = [f"({v} // {10**k} % 10000)" for k in (12, 8, 4, 0)], ("兆", "亿", "万", "")
+    parts = []
+    for k, (g, unit) in enumerate(zip(groups, units, strict=True)):
+        gap = f"{v} >= {10 ** (16 - 4 * k)} AND ({g} < 1000 OR {groups[k - 1]} = 0)" if k else "false"
+        parts.append(f"CASE WHEN {g} > 0 THEN CASE WHEN {gap} THEN '零' ELSE '' END || {_G.format(v=g)} || '{unit}' ELSE '' END")
+    return f"CASE WHEN {v} = 0 THEN '零' ELSE {' || '.join(parts)} END"
 
 
 INT_TO_ZH = f"""SELECT o_orderkey, value, {spoken("value")} AS spoken FROM
-    (SELECT o_orderkey, (o_orderkey * [1, 10, 1000, 10007, 1000000][o_orderkey % 5 + 1])::BIGINT AS value FROM orders)"""
+    (SELECT o_orderkey, (o_orderkey * [1, 10, 1000, 10007, 99999999977][o_orderkey % 5 + 1] % 10000000000000000)::BIGINT AS value FROM orders)"""
 NORMALIZED = f"""SELECT o_orderkey, '今天是' || translate(strftime(o_orderdate, '%Y'), '0123456789', '零一二三四五六七八九') || '年' || {spoken("month(o_orderdate)")} || '月'
     || {spoken("day(o_orderdate)")} || '日，第' || {spoken("(o_orderkey % 100)")} || '章增长百分之' || {spoken("(o_orderkey % 90)")} || '点五。' || chr(10)
     || '他有' || {spoken("(o_orderkey % 7)")} || '个苹果，会议在九点三十分开始。' AS text FROM orders"""
 
 _B = "[。！？!?；;：:\\n，,、)\\]】》」』 ]"
-HARD_SPLIT = f"""WITH RECURSIVE r AS (
-    SELECT doc_id, -1::BIGINT AS pos, NULL::VARCHAR AS segment, {_STRIPPED} AS rest FROM documents
+
+
+def _hard_split(keys: str, source: str, most: int) -> str:
+    """A recursive table r of keys, pos, segment from source, which has keys and rest."""
+    return f"""r AS (
+    SELECT {keys}, -1::BIGINT AS pos, NULL::VARCHAR AS segment, rest FROM ({source})
     UNION ALL
-    SELECT doc_id, pos + 1, CASE WHEN done THEN rest WHEN glue THEN head || tail ELSE head END, CASE WHEN done OR glue THEN '' ELSE tail END FROM (
-        SELECT *, NOT done AND tail <> '' AND length(head) + length(tail) <= 200 AND regexp_matches(tail, '^{_B}+$') AS glue FROM (
-            SELECT doc_id, pos, rest, length(rest) <= 200 AS done,
-                CASE WHEN soft = '' THEN substr(rest, 1, 200) ELSE soft END AS head,
-                regexp_replace(substr(rest, CASE WHEN soft = '' THEN 200 ELSE cut END + 1), '^\\s+', '') AS tail FROM (
+    SELECT {keys}, pos + 1, CASE WHEN done THEN rest WHEN glue THEN head || tail ELSE head END, CASE WHEN done OR glue THEN '' ELSE tail END FROM (
+        SELECT *, NOT done AND tail <> '' AND length(head) + length(tail) <= {most} AND regexp_matches(tail, '^{_B}+$') AS glue FROM (
+            SELECT {keys}, pos, rest, length(rest) <= {most} AS done,
+                CASE WHEN soft = '' THEN substr(rest, 1, {most}) ELSE soft END AS head,
+                regexp_replace(substr(rest, CASE WHEN soft = '' THEN {most} ELSE cut END + 1), '^\\s+', '') AS tail FROM (
                 SELECT *, regexp_replace(substr(rest, 1, cut), '^\\s+|\\s+$', '', 'g') AS soft FROM (
-                    SELECT *, CASE WHEN regexp_matches(rest, '(?s)^.{{0,199}}{_B}') THEN length(regexp_extract(rest, '(?s)^(.{{0,199}}{_B})', 1)) ELSE least(200, length(rest)) END AS cut
+                    SELECT *, CASE WHEN regexp_matches(rest, '(?s)^.{{0,{most - 1}}}{_B}') THEN length(regexp_extract(rest, '(?s)^(.{{0,{most - 1}}}{_B})', 1)) ELSE least({most}, length(rest)) END AS cut
                     FROM r WHERE rest <> ''))))
-) SELECT doc_id, pos, segment FROM r WHERE pos >= 0"""
+)"""
+
+
+HARD_SPLIT = f"WITH RECURSIVE {_hard_split('doc_id', f'SELECT doc_id, {_STRIPPED} AS rest FROM documents', 200)} SELECT doc_id, pos, segment FROM r WHERE pos >= 0"
+
+_SENTENCES = quoted("[^。！？!?.\\n]*[。！？!?.\\n]+[”’」』）)\"']*\\s*|[^。！？!?.\\n]+")
+_PIECES = quoted("[，,;；：:、]\\s*|[^，,;；：:、]+")
+_TIGHT = "regexp_replace(x, '([\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\p{Po}]) ', '\\1', 'g')"
+PACKED = f"""WITH RECURSIVE talks AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+sentences AS (SELECT conv_id, list_transform(regexp_extract_all({_STRIPPED}, {_SENTENCES}), lambda x: {_TIGHT}) AS s FROM talks),
+parts AS (SELECT conv_id, flatten(list_transform(s, lambda x: CASE WHEN length(x) <= 120 THEN [x] ELSE regexp_extract_all(x, {_PIECES}) END)) AS p FROM sentences),
+packs AS (SELECT conv_id, p, 0 AS i, '' AS held, NULL::VARCHAR AS done FROM parts
+    UNION ALL SELECT conv_id, p, i + 1, CASE WHEN i >= len(p) THEN '' WHEN over THEN p[i + 1] ELSE held || p[i + 1] END, CASE WHEN i >= len(p) OR over THEN held END
+    FROM (SELECT *, held <> '' AND length(held) + length(regexp_replace(p[i + 1], '\\s+$', '')) > 120 AS over FROM packs WHERE i <= len(p))),
+{_hard_split("conv_id, i", "SELECT conv_id, i, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS rest FROM packs WHERE done IS NOT NULL", 120)}
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i, pos) - 1 AS pos, segment FROM r WHERE pos >= 0"""
 
-_DB = "CASE WHEN ({x}) > 0 THEN floor(20 * log10({x}) * 1000.0 + 0.5) / 1000.0 END"
-METRICS = f"""WITH a AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a, len(embedding) AS sample_count FROM embeddings),
+
+def _db(x: str) -> str:
+    return f"CASE WHEN ({x}) > 0 THEN {rounded(f'20 * log10({x})', 3)} END"
+
+
+_MONO = "list_transform(range(1, len(embedding) // 2 + 1), lambda i: (embedding[2 * i - 1]::DOUBLE + embedding[2 * i]::DOUBLE) / 2)"
+
+
+def metrics(samples: str) -> str:
+    return f"""WITH a AS (SELECT vec_id, label, list_transform({samples}, lambda x: abs(x::DOUBLE)) AS a, len({samples}) AS sample_count FROM embeddings),
 b AS (SELECT *, list_filter(list_transform(a, lambda x, i: CASE WHEN x > 0.05 THEN i - 1 END), lambda i: i IS NOT NULL) AS loud FROM a),
-metrics AS (SELECT vec_id, label, sample_count, {rounded("sample_count / 16000", 3)} AS duration_seconds, {_DB.format(x="list_max(a)")} AS peak_dbfs,
-    {_DB.format(x="sqrt(list_sum(list_transform(a, lambda x: x * x)) / greatest(sample_count, 1))")} AS rms_dbfs,
+metrics AS (SELECT vec_id, label, sample_count, {rounded("sample_count / 16000", 3)} AS duration_seconds, {_db("list_max(a)")} AS peak_dbfs,
+    {_db("sqrt(list_sum(list_transform(a, lambda x: x * x)) / greatest(sample_count, 1))")} AS rms_dbfs,
     {ratio("len(list_filter(a, lambda x: x <= 0.05))", "sample_count")} AS silence_ratio,
     {rounded("coalesce(list_min(loud), sample_count) / 16000", 3)} AS leading_silence_seconds,
     {rounded("coalesce(sample_count - list_max(loud) - 1, sample_count) / 16000", 3)} AS trailing_silence_seconds,
     len(list_filter(a, lambda x: x >= 0.25)) AS clipped_samples, {ratio("len(list_filter(a, lambda x: x >= 0.25))", "sample_count")} AS clipped_ratio FROM b) """
+
+
+METRICS, STEREO_METRICS = metrics("embedding"), metrics(_MONO)
 QC_ROLLUP = f"""SELECT label, count(*) AS file_count, count(*) AS analyzed_file_count, 0::BIGINT AS failed_file_count,
     {rounded("sum(duration_seconds)", 3)} AS total_duration_seconds, {rounded("avg(rms_dbfs)", 3)} AS mean_rms_dbfs, {rounded("avg(peak_dbfs)", 3)} AS mean_peak_dbfs,
     count(*) FILTER (WHERE silence_ratio > {C.HIGH_SILENCE}) AS high_silence_file_count, count(*) FILTER (WHERE clipped_ratio > 0) AS clipped_file_count

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +45,24 @@ def chapter_markers(timed: DataFrame, titles: DataFrame, book: str = "book") ->
 
 
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
-    """Write column content (BINARY) of each row to a file of its own; each is renamed into place when complete."""
+    """Write column content (BINARY) of each row to a file of its own; each is renamed into place when complete.
+
+    folder: a URI of a file system that all executors share. A path without a
+    scheme is the driver's own disk, which tasks share with it in local mode only.
+    """
+    if not re.match(r"[a-z][a-z0-9+.-]*:", folder):
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError(f"executors don't share the folder {folder!r}; name it with its file system, as in hdfs://...")
+        folder = Path(folder).resolve().as_uri()
 
     def save(rows) -> None:
+        where, root = fs.FileSystem.from_uri(folder)
         for r in rows:
-            target = Path(folder, r[name])
-            target.parent.mkdir(parents=True, exist_ok=True)
-            part = target.with_name(target.name + ".part")
-            part.write_bytes(r[content])
-            part.replace(target)
+            target = f"{root.rstrip('/')}/{r[name]}"
+            where.create_dir(target.rpartition("/")[0], recursive=True)
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with where.open_output_stream(part) as out:
+                out.write(r[content])
+            where.move(part, target)
 
     df.select(name, content).foreachPartition(save)

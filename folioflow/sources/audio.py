@@ -17,10 +17,28 @@ SCHEMA = "file string, sample_rate int, channels int, samples array<float>, erro
 
 
 def list_audio(spark: SparkSession, path: str, recursive: bool = True, suffixes: Sequence[str] = C.AUDIO_SUFFIXES) -> DataFrame:
-    """file and content of the audio files in a folder, by suffix in any case."""
+    """file and content of the audio files in a folder, by suffix in any case, sorted by file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
-    return files.filter(suffix.isin(*[s.lower() for s in suffixes])).select(F.col("path").alias("file"), "content")
+    return files.filter(suffix.isin(*[s.lower() for s in suffixes])).select(F.col("path").alias("file"), "content").orderBy("file")
+
+
+def header_durations(files: DataFrame) -> DataFrame:
+    """file, sample_rate, channels, frames, duration_seconds by the header of each WAV file, without its samples; nulls where there is none."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for name, content in zip(f["file"], f["content"], strict=True):
+                try:
+                    with wave.open(io.BytesIO(content), "rb") as w:
+                        out.append((name, w.getframerate(), w.getnchannels(), w.getnframes()))
+                except (wave.Error, EOFError):
+                    out.append((name, None, None, None))
+            yield pd.DataFrame(out, columns=["file", "sample_rate", "channels", "frames"])
+
+    found = files.select("file", "content").mapInPandas(rows, "file string, sample_rate int, channels int, frames long")
+    return found.withColumn("duration_seconds", F.when(F.col("sample_rate") > 0, F.col("frames") / F.col("sample_rate")))
 
 
 def decode_pcm(content: bytes) -> tuple[int, int, np.ndarray]:

@@ -145,7 +145,8 @@ def chapters(books: DataFrame) -> DataFrame:
     found = navigation_item(all_items)
     real = navigation(found).join(found.select("book", "nav_file"), "book")
     bare = all_items.join(found.select("book"), "book", "left_anti")
-    made = virtual_navigation(bare).withColumn("nav_file", F.lit(""))
+    titles = metadata(books).filter("name = 'title'").groupBy("book").agg(F.min_by("value", "pos").alias("title"))
+    made = virtual_navigation(bare, titles=titles).withColumn("nav_file", F.lit(""))
     return content_chapters(real.unionByName(made), nav_file=F.col("nav_file")).drop("nav_file")
 
 
