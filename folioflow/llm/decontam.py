@@ -36,8 +36,9 @@ SIMILARITY = 0.75
 RADIUS = 22
 #: Blocks of the index; each is searched with RADIUS // BLOCKS bits changed.
 BLOCKS = 8
-#: Items whose index a task holds, and bytes of documents' stretches that it is given at once, about.
-BLOCK_ITEMS, BLOCK_BYTES = 4096, 1 << 24
+#: Items whose index a task holds, and bytes and number of documents' stretches that it is given at once, about; as many
+#: shares of a block as there are shuffle partitions may be smaller than the bytes allow.
+BLOCK_ITEMS, BLOCK_BYTES, BLOCK_ROWS = 4096, 1 << 24, 1000
 #: Bits of the bitmap of shingles for each of them, and the most in all (16 MB); a fuller bitmap only lets more text through.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Windows that are fingerprinted at once.
@@ -281,6 +282,7 @@ def _verifier(threshold: float):
 def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     """row (a number of each row of docs), doc_id, text_hash, item, item_id, similarity, start_word: the best window of each row and item."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "leaks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     texts = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
@@ -306,7 +308,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
         tokens = placed.mapInArrow(released(_block_tokens), "token long, block int").distinct()
         pairs = found.select("stretch", F.explode("hits").alias("token")).join(tokens, "token").select("stretch", "block").distinct()
         routed = keep(found.drop("hits").join(pairs, "stretch"), f"{folder}/routed")
-    sizes = routed.groupBy("block").agg(F.ceil(F.sum(F.length("shingles") + 64) / BLOCK_BYTES).cast("int").alias("shares"))
+    shares = F.greatest(F.ceil(F.sum(F.length("shingles") + 64) / BLOCK_BYTES), F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(parts)))
+    sizes = routed.groupBy("block").agg(shares.cast("int").alias("shares"))
     sizes = small_side(keep(sizes, f"{folder}/sizes"))
     left = routed.join(sizes, "block").withColumn("share", F.pmod(F.xxhash64("stretch"), F.col("shares")).cast("int")).drop("shares")
     right = placed.join(sizes, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, small_side, work_dir
 from .shingles import text_slices, word_hashes
+from .tasks import released
 
 #: The usual short notices, as they stand in file headers.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -90,6 +91,8 @@ THRESHOLD = 0.8
 KNOWN_WORDS = 0.5
 #: Names, without suffix, that make a file its directory's licence file, whatever its text's length.
 LICENSE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:\.[a-z0-9]+)?\z"
+#: Bytes of lines whose scores a task remembers, about.
+CACHE_BYTES = 1 << 24
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -227,16 +230,19 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     known = _vocabulary(templates)[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vectors, runs), cache = shared.value, {}
+        (vectors, runs), cache, held = shared.value, {}, 0
         for b in batches:
             best: list[tuple[float, str | None, bool]] = [(0.0, None, False)] * b.num_rows
             for row, offsets, data in text_slices(b.column("content")):
                 for k, line in _known_lines(offsets, data, known):
-                    if line not in cache:
-                        if len(cache) > 100_000:
-                            cache.clear()
-                        cache[line] = vectors.best(line)
-                    score, name = cache[line]
+                    if line in cache:
+                        score, name = cache[line]
+                    else:
+                        score, name = vectors.best(line)
+                        held += len(line) + 200
+                        if held > CACHE_BYTES:
+                            cache, held = {}, len(line)
+                        cache[line] = score, name
                     if score >= threshold and score > best[row + k][0]:
                         whole = data[offsets[k] : offsets[k + 1]].tobytes().strip() == line.strip()
                         best[row + k] = (score, name, whole)
@@ -249,7 +255,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), *columns], ["id", "path", "license", "score", "whole"])
 
     schema = "id long, path string, license string, score double, whole boolean"
-    return files.select("id", "path", "content").mapInArrow(scan, schema)
+    return files.select("id", "path", "content").mapInArrow(released(scan), schema)
 
 
 def parent(path: Column) -> Column:

@@ -50,7 +50,7 @@ HELD = 1 << 20
 #: Sets with a common token of which pairs are rows; more are compared in blocks.
 CROWD = 64
 #: Sets, and tokens of them, in a block.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 19
+BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 19
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -399,14 +399,16 @@ def _second_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def second_order_postings(sets: DataFrame, survivors: DataFrame, parts: int) -> DataFrame:
-    """token, prev, rest, cls, n, common of the tokens in each set's prefix under order 2 that other sets have too."""
+def second_order_postings(sets: DataFrame, survivors: DataFrame, parts: int, path: str) -> DataFrame:
+    """token, prev, rest, cls, n, common of the tokens in each set's prefix under order 2 that other sets have too; a written table."""
     parts = _groups(survivors.agg(F.sum("n")).first()[0] or 0, parts)
     frequent = sets.sparkSession.sparkContext.broadcast(frequent_tokens(sets, parts))
     rows = sets.select("cls", "tokens").mapInArrow(_rare_tokens(frequent, parts), "part int, tokens binary, of binary, classes binary, cls long")
     counted = rows.groupBy("part").applyInArrow(_count_sets, "cls long, tokens binary, counts binary")
     gathered = counted.groupBy("cls").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
-    return gathered.join(survivors.select("cls", "n"), "cls").mapInArrow(released(_second_prefix), _POSTING)
+    out = keep(gathered.join(survivors.select("cls", "n"), "cls").mapInArrow(released(_second_prefix), _POSTING), path, tidy=True)
+    frequent.destroy()
+    return out
 
 
 def _third_prefix(t: np.ndarray) -> np.ndarray:
@@ -438,8 +440,8 @@ def links_between(sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[in
     for i in np.flatnonzero(side == 0).tolist():
         mine, both = run[bounds[i] : bounds[i] + sizes[i]], np.zeros(len(sets), np.int64)
         mine = mine[count[mine] > 1]
-        for k in range(0, len(mine), BLOCK_SETS):
-            some = mine[k : k + BLOCK_SETS]
+        for k in range(0, len(mine), 1024):
+            some = mine[k : k + 1024]
             n = count[some]
             at = np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
             both += np.bincount(owner[at], minlength=len(sets))
@@ -554,7 +556,7 @@ def _component_links(docs: DataFrame, classes: DataFrame, folder: str, count_lin
     survivors = keep(surviving_classes(docs, classes, parts), f"{folder}/survivors", tidy=True)
     repeated = not classes.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     sets = keep(class_sets(docs, survivors, repeated), f"{folder}/sets")
-    postings = keep(second_order_postings(sets, survivors, max(parts // 4, 1)), f"{folder}/postings", tidy=True)
+    postings = second_order_postings(sets, survivors, max(parts // 4, 1), f"{folder}/postings")
 
     # First round: every set with the most central one of its token, if there are others.
     heads = postings.groupBy("token").agg(F.max(F.struct("common", "cls", "n", "rest")).alias("head"), F.count("*").alias("m"))

@@ -241,8 +241,8 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     stay null.
     """
     found = find_spans(docs, kinds)
-    span = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("chosen"))
+    found = found.withColumn("found", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("chosen"))
 
     def choose(a: Column, x: Column) -> Column:
         ahead = x["start"] >= a["at"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, small_side, work_dir
 from .files import NewFile, make_folder, open_file
+from .tasks import released
 
 #: Fixed values of the public formats.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -169,7 +170,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))
     rows = joined.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
     make_folder(folder)
-    return keep(rows.mapInArrow(_writer(folder), MANIFEST), f"{folder}/tables/manifest")
+    return keep(rows.mapInArrow(released(_writer(folder)), MANIFEST), f"{folder}/tables/manifest")
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
@@ -207,7 +208,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(read, schema)
+    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(released(read), schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

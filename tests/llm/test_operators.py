@@ -89,6 +89,49 @@ def test_pii_base_spans(spark, documents):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [counts[k] for k, _ in BASE]
 
 
+EXTRA = {
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
+    "ssn": (r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, r"(?i)\b(?:ssn|social security|taxpayer)\b"),
+    "local_phone": (
+        r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", 0.4,
+        r"(?i)\b(?:phone|tel|telephone|mobile|cell|call|fax|whatsapp|teléfono|téléphone|telefon)\b",
+    ),
+}
+
+
+def extra_spans(text):
+    out = []
+    for rank, (kind, (pattern, prior, context)) in enumerate(EXTRA.items(), len(BASE)):
+        ends = [0, *[m.end() for m in re.finditer(pattern, text)]]
+        for k, m in enumerate(re.finditer(pattern, text)):
+            gap_end = next((x.start() for x in re.finditer(pattern, text) if x.start() >= m.end()), len(text))
+            before = text[max(ends[k], m.start() - 48) : m.start()]
+            near = re.search(context, before) or re.search(context, text[m.end() : min(gap_end, m.end() + 48)])
+            if kind == "iban":
+                bare = m[0].replace(" ", "").upper()
+                if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
+                    continue
+            if prior + 0.4 * bool(near) >= 0.7:
+                out.append((m.start(), rank, kind, m.end()))
+    return out
+
+
+def test_pii_all_spans(spark, documents):
+    rng = random.Random(8)
+    pool = ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", "123-45-6789", "000-12-3456", "(212) 555-1234", "212.555.1234", "SSN", "phone", "bank", "a@b.cc", "1.2.3.4", "lot", "and so on " * 6]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 14))) for _ in range(300)] + ["tel 212 555 1234, " * 700] + [r.text for r in documents.collect()]
+    for r in pii.personal_data(frame(spark, texts)).collect():
+        text = texts[r.doc_id] or ""
+        base = [(s, [k for k, _ in BASE].index(kind), kind, e) for kind, s, e in base_spans(text)]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(base + extra_spans(text)))
+
+
+def test_redacting_many_spans(spark):
+    texts = ["mail a@b.cc or c@d.ee! " * 1500, "1.2.3.4@x.yy", "no"]
+    got = [r.text for r in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["mail [email] or [email]! " * 1500, "[email]", "no"]
+
+
 def test_pii_checks_and_context(spark):
     texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "IBAN GB82 WEST 1234 5698 7654 33.", "my SSN: 123-45-6789", "part 123-45-6789", "call 212 555 1234", "lot 212 555 1234"]
     got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, texts)).collect()}
@@ -246,7 +289,7 @@ def test_mix(spark, documents):
         sizes[r.source] += r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
-        assert 0 <= r.taken <= 2 * r.size and (r.position is not None) == (r.taken > 0)
+        assert 0 <= r.taken <= 2 * r.size and len(r.positions) == -(-r.taken // max(r.size, 1))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
     full: set = set()
@@ -281,6 +324,29 @@ def test_mixed_documents(spark):
     assert max(Counter(r.doc_id for r in out.collect()).values()) <= 2
 
 
+    order = [(r.positions[0] if r.positions else 2.0) for r in mixing.mix_sources(df).collect()]
+    assert order == sorted(order)
+
+
+def test_mixed_documents_follow_the_plan(spark, documents):
+    docs = documents.select("doc_id", "text", "source")
+    plan = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    out = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    times = Counter(out)
+    assert all(times[i] * r.size == r.whole_words for i, r in plan.items())
+    # Whole documents are due at the positions of the plan; the one that is cut may have no position there.
+    seen, due = Counter(), []
+    for i in out:
+        positions = plan[i].positions
+        if seen[i] < len(positions):
+            due.append(positions[seen[i]])
+        seen[i] += 1
+    assert due == sorted(due) and len(due) >= len(out) - len({r.source for r in plan.values()})
+    for source in {r.source for r in plan.values()}:
+        own = [r for r in plan.values() if r.source == source]
+        assert abs(sum(r.whole_words for r in own) - own[0].target) <= max(r.size for r in own)
+
+
 # --- token files
 
 
@@ -370,11 +436,27 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules_in_blocks_and_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame(
+        [("domain", "example.com", None, "block"), ("domain", "example.com", "/ok", "allow"), ("word", "spam-farm", None, "block"), ("domain", "b.org", "/x", "block")],
+        "kind string, host string, path string, verdict string",
+    )
+    rules = url_filter.read_rules(table)
+    urls = ["http://example.com", "http://example.com?q", "http://a.example.com/x", "http://example.community/", "http://example.com/okay", "http://spam-farm.net/", "http://b.org/xy", "http://example.com:80/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    wanted = ["block", "block", "block", "allow", "allow", "block", "block", "allow"]
+    for most in (500_000, 1):
+        monkeypatch.setattr(url_filter, "MOST_RULES", most)
+        assert [r.verdict for r in url_filter.judge_urls(df, rules).orderBy("page_id").collect()] == wanted
+    assert {r.verdict for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.domain_rule("a.b", "c", "block")
+
+
 # --- WARC
 
 
 def test_warc(spark):
-    assert_same(spark, queries.QUERIES["op7_warc"], queries.ORACLE_SQL["op7_warc"], SF)
     big, rows = "é" * 100, []
     rows = [(3, "u", big), (1, "u", big), (2, None, big), (4, "u", "s"), (5, "u", "s"), (6, "u", None), (7, "u\r\nX: y", "a\r\n\r\nb" * 300_000), (None, "u", big), (1, "u", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
@@ -426,6 +508,51 @@ def test_license_texts_over_lines(spark):
     }
 
 
+def test_license_scores_and_ancestors_by_hand(spark):
+    rng = random.Random(6)
+    templates = licenses.TEMPLATES
+    common = [w for _, t in templates for w in t.split()] + ["road", "lamp", "river", "stone"]
+    lines = [t for _, t in templates] + [" ".join(rng.choices(common, k=rng.randint(3, 10))) for _ in range(60)]
+    folders = ["", "a/", "a/b/", "a/b/c/", "d/", "d/e/f/"]
+    files = []
+    for i in range(120):
+        name = rng.choice(["LICENSE", "x.py", "y.c", "COPYING.txt"])
+        body = "\n".join(rng.choices(lines[: len(templates)] if rng.random() < 0.3 else lines[len(templates) :], k=rng.randint(0, 3)))
+        files.append((i, f"{rng.choice(folders)}{i if name[0] in 'xy' else ''}{name}", body))
+    split = lambda text: [w for w in (x.lower().strip(".,;:!?()[]{}\"'") for x in words(text)) if w]
+    known = {w for _, t in (*templates, *licenses.BODIES) for w in split(t)}
+    n = {w: sum(w in split(b) for _, _, b in files) for w in known}
+    idf = {w: np.log((1 + len(files)) / (1 + n[w])) + 1 for w in known}
+
+    def unit(some):
+        bag = {w: (1 + np.log(k)) * idf.get(w, max(idf.values())) for w, k in Counter(some).items()}
+        return {w: x / np.sqrt(sum(y * y for y in bag.values())) for w, x in bag.items()}
+
+    vectors, own = [(name, unit(split(t))) for name, t in templates], {}
+    for i, _, body in files:
+        scores = [(sum(x * unit(split(line)).get(w, 0) for w, x in v.items()), name) for line in body.split("\n") if split(line) for name, v in vectors]
+        own[i] = max(scores, default=(0, None))
+    df = spark.createDataFrame(files, "id long, path string, content string")
+    got = {r.id: r for r in licenses.scan_licenses(df).collect()}
+    direct = {i for i, r in got.items() if r.origin in ("file", "header")}
+    # Runs over line breaks may find more than single lines, never less.
+    assert {i for i, (score, _) in own.items() if score >= licenses.THRESHOLD} <= direct
+    assert all(got[i].score >= own[i][0] - 1e-9 for i in direct)
+    granted = {}
+    for i, path, _ in files:
+        if got[i].origin == "file":
+            folder = path.rpartition("/")[0]
+            granted[folder] = min(granted.get(folder, ("~",)), (path, -got[i].score, got[i].license))
+    for i, path, _ in files:
+        if i not in direct:
+            up = path.rpartition("/")[0]
+            while up and up not in granted:
+                up = up.rpartition("/")[0]
+            wanted = granted.get(up)
+            assert (got[i].license, got[i].license_path) == ((wanted[2], wanted[0]) if wanted else (None, None))
+    assert len(granted) > 2 and len(direct) < len(files) - 20
+
+
 def test_licenses_of_documents(spark, documents):
     wanted = {r.doc_id for r in documents.collect() if "icensed under" in r.text or "MIT License" in r.text}
     assert {r.doc_id for r in licenses.scan_documents(documents).collect() if r.license} == wanted
@@ -566,6 +693,28 @@ def test_pipeline_tokens_follow_the_mix(spark, documents):
     assert max(max(v) - min(v) for v in at.values()) > 1
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    assert_same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF)
+
+
+def test_work_folders_have_schemes(spark, monkeypatch):
+    from folioflow.llm import common, files
+
+    assert re.match(r"[a-z]+:/", work_dir(spark, "x"))
+    monkeypatch.setattr(spark.conf.__class__, "get", lambda self, key, default=None: "/plain/folder" if key == "spark.checkpoint.dir" else default)
+    assert work_dir(spark, "x").startswith("file:/plain/folder/x-")
+    monkeypatch.undo()
+    for uri in ("/plain/folder", "nosuch://host/folder"):
+        with pytest.raises(ValueError):
+            files.make_folder(uri)
+    folder = work_dir(spark, "gone")
+    keep(spark.range(3), f"{folder}/t")
+    common.drop_folder(spark, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/t")
+
+
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert duckdb.__version__ and len(corpus_pipeline.STAGES) == 5
