@@ -120,7 +120,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=SHA
     left out. Reruns agree.
 
     Targets are computed over one row per source in one task, which suits up to
-    some millions of sources.
+    some millions of sources. Rows with the same doc_id, source and size are
+    ordered in one task, as nothing tells them apart.
     """
     spark, epochs = docs.sparkSession, range(int(-(-most // 1)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -35,6 +35,13 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
 )
 
 
+#: Columns that measure adds.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "mean_word_length", "symbol_ratio", "stop_word_ratio",
+    "letter_ratio", "adjacent_repeat_ratio", "duplicate_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio",
+)
+
+
 def _repeated_starts(order: str) -> Column:
     """Starts of the windows whose hash is found twice or more; order names the sorted (hash, start) array."""
     here = lambda j: F.get(F.col(order), j)
@@ -60,11 +67,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
     Null texts are empty texts; a text without words has ratios 0. Each row is
     measured by itself, so ties and repeated rows need no care, and an empty
-    table gives no rows. A column of docs that bears a measure's name is
-    replaced.
+    table gives no rows. A column of docs that bears a measure's name, in any
+    case, is replaced; all others stay, whatever their names.
     """
+    carried = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MEASURES]
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumns({"_t": text, "_w": words(F.col("text"))})
+    base = docs.select(F.struct(*carried).alias("_row"), text.alias("_t"), words(F.col("text")).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.withColumns(
         {
@@ -111,7 +119,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "bullet_line_ratio": _ratio(F.col("_bullet"), lines_),
         "ellipsis_line_ratio": _ratio(F.col("_dots"), lines_),
     }
-    return base.withColumns(ratios).drop("_t", "_w", "_l", "_h", "_o", "_s", "_stop", "_letters", "_echo", "_bullet", "_dots")
+    return base.withColumns(ratios).select("_row.*", *MEASURES)
 
 
 def verdict(rules=RULES) -> Column:

@@ -30,8 +30,9 @@ SEQUENCE, BATCH = 2048, 256
 END_ID = 2
 #: Columns that documents are sorted by unless the caller names others.
 ORDER = ("doc_id", "text")
-#: Different pieces of text, and ids of them, that a worker remembers, at most (some 30 MB); then it starts anew.
-MOST_PIECES, MOST_IDS = 1 << 19, 1 << 21
+#: Different pieces of text, and ids of them, that a worker remembers, at most (some 50 MB); then it keeps those that came
+#: again since the last time.
+MOST_PIECES, MOST_IDS = 1 << 20, 1 << 22
 #: Bytes of text that are encoded at once; a longer text is cut into such parts.
 SLICE_BYTES = 1 << 20
 DOC_SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64())])
@@ -39,9 +40,19 @@ MANIFEST = "part int, tokens_file string, docs_file string, documents long, toke
 
 #: First bytes of the characters that Unicode counts as white space beyond ASCII.
 _WIDE_SPACE = [0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]
+#: Bytes that may be white space to the tokenizer or to Python, beyond IS_SPACE.
+_SEPARATORS = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F])
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
 
 
+def _wide_spaces(data: np.ndarray) -> np.ndarray:
+    """Whether a character that may be white space beyond ASCII starts at each byte."""
+    wide = np.zeros(len(data), bool)
+    for code in _WIDE_SPACE:
+        wide[:-1] |= (data[:-1] == code >> 8) & (data[1:] == code & 255)
+    return wide
+
+
 def piece_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Places at which texts can be cut without changing their byte-level BPE ids.
 
@@ -50,10 +61,7 @@ def piece_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     itself; so a text may be cut before a space that anything but white space
     follows, and on either side of a line feed without white space beside it.
     """
-    space = IS_SPACE[data]
-    wide = np.zeros(len(data), bool)
-    for code in _WIDE_SPACE:
-        wide[:-1] |= (data[:-1] == code >> 8) & (data[1:] == code & 255)
+    space, wide = IS_SPACE[data], _wide_spaces(data)
     cut = np.zeros(len(data) + 1, bool)
     blank = space | wide
     cut[:-2] |= (data[:-1] == 32) & ~blank[1:]
@@ -83,12 +91,6 @@ def text_parts(data: np.ndarray) -> Iterator[np.ndarray]:
     yield data[start:]
 
 
-def _is_plain(piece: str) -> bool:
-    """True if line feeds on both sides of a piece stay pieces of their own."""
-    head = piece[1:] if piece[0] == " " else piece
-    return "\n" not in piece and head != "" and not head[0].isspace() and not head[-1].isspace()
-
-
 def can_be_cut(vocabulary: dict) -> bool:
     """Whether piece_starts holds for a tokenizer: byte-level BPE with the usual pattern, nothing before it, no token over white space."""
     before = vocabulary.get("pre_tokenizer") or {}
@@ -97,6 +99,15 @@ def can_be_cut(vocabulary: dict) -> bool:
     return bool(level and apart and not vocabulary.get("normalizer") and vocabulary["model"]["type"] == "BPE")
 
 
+def _piece_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """A 64-bit hash of each piece: a polynomial in its bytes."""
+    powers = np.ones(int(sizes.max()), np.uint64)
+    np.cumprod(np.full(len(powers) - 1, factor), out=powers[1:])
+    terms = powers[np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)]
+    terms *= data + np.uint64(1)
+    return mix(np.add.reduceat(terms, starts))
+
+
 class Encoder:
     """Ids of texts by a tokenizer of the tokenizers library.
 
@@ -123,35 +134,64 @@ class Encoder:
     def forget(self) -> None:
         """Drop all remembered pieces."""
         self._keys = np.zeros((0, 2), np.uint64)
-        self._starts, self._lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._starts, self._lengths, self._again = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
         self._pool, self._used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encode pieces, whose keys are in order: plain ones are joined by line feeds, whose id then parts their ids."""
-        plain = [i for i, p in enumerate(pieces) if _is_plain(p)]
-        ids: list = [None] * len(pieces)
-        for k in range(0, len(plain), 2048):
-            block = plain[k : k + 2048]
-            joined = np.array(self._ids(["\n".join(pieces[i] for i in block)])[0], np.uint32)
-            parts = np.split(joined, np.flatnonzero(joined == self._line_feed))
-            if len(parts) != len(block):
+    def _make_room(self) -> None:
+        """Keep the pieces that came again since the last time; none if they are more than half of what there is room for."""
+        keep = self._again
+        lengths, starts = self._lengths[keep], self._starts[keep]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        if not len(ends) or len(ends) > MOST_PIECES // 2 or ends[-1] > MOST_IDS // 2:
+            self.forget()
+            return
+        self._pool = self._pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+        self._keys, self._lengths, self._starts = self._keys[keep], lengths, (ends - lengths).astype(np.int32)
+        self._again, self._used = np.zeros(len(ends), bool), int(ends[-1])
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> None:
+        """Encode the pieces of data that bounds part and whose keys are in order.
+
+        Plain ones, without white space but for a leading space, are joined by
+        line feeds, whose id then parts their ids.
+        """
+        first, size = bounds[:-1], np.diff(bounds)
+        blank = IS_SPACE[data] | _SEPARATORS[data] | _wide_spaces(data)
+        spaced = data[first] == 32
+        plain = (np.add.reduceat(blank, first, dtype=np.int32) == spaced) & (size > spaced)
+        lengths, found = np.zeros(len(first), np.int64), []
+        for some in np.array_split(np.flatnonzero(plain), max(1, int(plain.sum()) // 4096)):
+            if not len(some):
+                continue
+            ends = np.cumsum(size[some] + 1)
+            joined = np.full(ends[-1] - 1, 10, np.uint8)
+            inside = np.ones(ends[-1], bool)
+            inside[ends - 1] = False
+            joined[inside[:-1]] = data[np.repeat(first[some] - (ends - size[some] - 1), size[some]) + np.flatnonzero(inside)]
+            ids = np.array(self._ids([joined.tobytes().decode()])[0], np.uint32)
+            feeds = np.flatnonzero(ids == self._line_feed)
+            if len(feeds) != len(some) - 1:
                 raise ValueError("a piece holds the id of a line feed")
-            for j, (i, part) in enumerate(zip(block, parts, strict=True)):
-                ids[i] = part[1:] if j else part
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for k in range(0, len(rest), 2048):
-            for i, x in zip(rest[k : k + 2048], self._ids([pieces[i] for i in rest[k : k + 2048]]), strict=True):
-                ids[i] = np.array(x, np.uint32)
-        flat, lengths = np.concatenate(ids), np.array([len(x) for x in ids], np.int32)
-        if self._used + len(flat) > len(self._pool):
-            self._pool = np.concatenate([self._pool[: self._used], np.zeros(self._used // 2 + len(flat), np.uint32)])
-        starts = (self._used + np.cumsum(lengths) - lengths).astype(np.int32)
-        self._pool[self._used : self._used + len(flat)] = flat
-        self._used += len(flat)
+            lengths[some] = np.diff(np.concatenate([[-1], feeds, [len(ids)]])) - 1
+            found.append((some, ids[ids != self._line_feed]))
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            texts = self._ids([data[bounds[i] : bounds[i + 1]].tobytes().decode() for i in rest.tolist()])
+            lengths[rest] = [len(x) for x in texts]
+            found.append((rest, np.array([x for some in texts for x in some], np.uint32)))
+        total = int(lengths.sum())
+        if self._used + total > len(self._pool):
+            self._pool = np.concatenate([self._pool[: self._used], np.zeros(self._used // 2 + total, np.uint32)])
+        starts = np.zeros(len(first), np.int64)
+        for some, ids in found:
+            starts[some] = self._used + np.cumsum(lengths[some]) - lengths[some]
+            self._pool[self._used : self._used + len(ids)] = ids
+            self._used += len(ids)
         at = np.searchsorted(self._keys[:, 0], keys[:, 0])
         self._keys = np.insert(self._keys, at, keys, axis=0)
-        self._starts = np.insert(self._starts, at, starts)
-        self._lengths = np.insert(self._lengths, at, lengths)
+        self._starts = np.insert(self._starts, at, starts.astype(np.int32))
+        self._lengths = np.insert(self._lengths, at, lengths.astype(np.int32))
+        self._again = np.insert(self._again, at, False)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the memory, whether it is there) of each key."""
@@ -172,23 +212,19 @@ class Encoder:
             return np.array([x for some in ids for x in some], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         starts = piece_starts(offsets, data).astype(np.int32)
         sizes = np.diff(np.append(starts, np.int32(len(data))))
-        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts, sizes)
-        keys = np.zeros((len(starts), 2), np.uint64)
-        for k, factor in enumerate(_FACTORS):
-            powers = np.ones(int(sizes.max()), np.uint64)
-            np.cumprod(np.full(len(powers) - 1, factor), out=powers[1:])
-            terms = powers[place]
-            terms *= data + np.uint64(1)
-            keys[:, k] = mix(np.add.reduceat(terms, starts))
-        del place, terms
-        _, first, of = np.unique(keys[:, 0], return_index=True, return_inverse=True)
-        distinct = keys[first]
+        _, first, of = np.unique(_piece_hashes(data, starts, sizes, _FACTORS[0]), return_index=True, return_inverse=True)
+        # The different pieces, one after the other.
+        size, bounds = sizes[first], np.concatenate([[0], np.cumsum(sizes[first])])
+        pieces = data[np.repeat(starts[first] - bounds[:-1], size) + np.arange(bounds[-1])]
+        distinct = np.stack([_piece_hashes(pieces, bounds[:-1], size, f) for f in _FACTORS], axis=1)
         if len(self._keys) + len(first) > MOST_PIECES or self._used > MOST_IDS:
-            self.forget()
-        _, known = self._find(distinct)
+            self._make_room()
+        at, known = self._find(distinct)
+        self._again[at[known]] = True
         if not known.all():
-            new = first[~known]
-            self._learn(distinct[~known], [data[a : a + n].tobytes().decode() for a, n in zip(starts[new], sizes[new], strict=True)])
+            new = ~known
+            ends = np.concatenate([[0], np.cumsum(size[new])])
+            self._learn(distinct[new], pieces[np.repeat(new, size)], ends)
         at, _ = self._find(distinct)
         lengths, begin = self._lengths[at][of], self._starts[at][of]
         ends = np.cumsum(lengths)

@@ -161,6 +161,12 @@ def test_quality_measures(spark, documents):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "kept", 7, "x")], "doc_id long, text string, _w string, N_WORDS int, `a.b` string")
+    row = quality.judge_quality(df).first()
+    assert (row["_w"], row["n_words"], row["a.b"], row.doc_id, row.text) == ("kept", 2, "x", 1, "a b")
+
+
 def test_quality_keeps_good_documents(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     judged = quality.judge_quality(documents).join(labels, "doc_id").filter("not base_failed")
@@ -385,6 +391,13 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
         parts = list(encoder.encode_slice(np.array([0, len(data)]), data))
         ids = np.concatenate([x for x, _ in parts])
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and parts[-1][1].tolist() == [0, len(ids)]
+    monkeypatch.setattr(token_files, "MOST_PIECES", 300)
+    for _ in range(60):
+        text = " ".join(rng.choice(["the", "lamp", f"x{rng.randint(0, 10**6)}", "a\tb", "\u3000c", "d\x1d"]) for _ in range(rng.randint(0, 120)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = encoder.encode(np.array([0, len(data)]), data)
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 0 < len(encoder._keys) < 600
     encoder.cuts = False
     texts = ["a b", "", "c\nd"]
     ids, bounds = encoder.encode(np.array([0, 3, 3, 6]), np.frombuffer("".join(texts).encode(), np.uint8))
