@@ -299,8 +299,8 @@ def normalize_texts(spark, sf_dir):
     d = lambda f: F.date_format("o_orderdate", f)
     key = F.col("o_orderkey")
     text = F.concat(
-        F.lit("今天是"), d("yyyy-MM-dd"), F.lit("，第"), (key % 100).cast("string"), F.lit("章增长"), (key % 90).cast("string"),
-        F.lit(".5%。\n\n  他有"), (key % 7).cast("string"), F.lit("个苹果，会议在09:30开始。  "),
+        F.lit("列车在"), d("yyyy-MM-dd"), F.lit("停运，见第"), (key % 100).cast("string"), F.lit("节，票价降了"), (key % 90).cast("string"),
+        F.lit(".25%。\n\n  船上有"), (key % 7).cast("string"), F.lit("盏灯，渡口18:05关门。  "),
     )
     return zh.normalize(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
 
@@ -382,11 +382,22 @@ def duplicate_count(spark, sf_dir):
     return rows.agg((F.count("*") - F.count_distinct("text")).alias("duplicates"))
 
 
-@query(python=True)
+def _talk_segments(spark, sf_dir):
+    """Conversations as narrated texts, cut into segments of 120 characters at most."""
+    lines = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+    return segments.segments(rows, 120, "off", "conv_id")
+
+
+@query(S.PACKED + "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i, pos) - 1 AS pos, segment FROM r WHERE pos >= 0", python=True)
+def greedy_sentence_packing(spark, sf_dir):
+    return _talk_segments(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(S.PACKED + f"SELECT conv_id, count(*) AS segments, round(sum({S.rounded('length(segment) * 80 / 8000::DOUBLE', 3)}), 3) AS seconds FROM r WHERE pos >= 0 GROUP BY conv_id", python=True)
 def synthesized_durations(spark, sf_dir):
-    rows = segments.segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spoken = audio.signal_metrics(audio.synthesize(rows))
-    return spoken.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("duration_seconds").alias("seconds"))
+    spoken = audio.signal_metrics(audio.synthesize(_talk_segments(spark, sf_dir)))
+    return spoken.groupBy("conv_id").agg(F.count("*").alias("segments"), F.round(F.sum("duration_seconds"), 3).alias("seconds"))
 
 
 @query(S.READABILITY + S.SUMMARIES)
@@ -394,6 +405,14 @@ def book_summaries(spark, sf_dir):
     return reports.summary_rows(_chapters(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
 
 
+@query("""SELECT p_partkey, 'caf' || chr(233) || ' ' || chr(8217 + p_partkey % 5) || ' ' || chr(20013) || ' a < b ' || chr(8776) || ' ' || chr(252) || ' & x' AS text FROM part""", python=True)
+def decoded_references(spark, sf_dir):
+    """Named, numeric and hexadecimal character references, with and without a semicolon."""
+    code = (8217 + F.col("p_partkey") % 5).cast("string")
+    text = F.concat(F.lit("caf&eacute; &#"), code, F.lit("; &#x4e2d; a &lt; b &asymp; &uuml &amp; x"))
+    return table(spark, sf_dir, "part").select("p_partkey", blocks.decode_entities(text).alias("text"))
+
+
 @query(S.JUDGED + "SELECT page_id, strictness, block_index, c AS classification, r AS reason FROM fold")
 def context_pass1(spark, sf_dir):
     out = first_pass(classify(with_levels(features(blocks.html_blocks(_pages(spark, sf_dir))), LEVELS)))
@@ -407,15 +426,10 @@ def context_pass2(spark, sf_dir):
     return out.filter("_open").select("page_id", "strictness", F.col("block_index").cast("long").alias("block_index"), "classification", "reason")
 
 
-@query(python=True)
+@query(S.RESAMPLED, python=True)
 def resampled_audio(spark, sf_dir):
-    """Vectors at two rates, brought to the rate of the first of each four; tests hold the resampling itself against a sum of sines."""
+    """Vectors at two rates, brought to the rate of the first of each four; resampling keeps a signal's mean."""
     rows = _audio(spark, sf_dir).withColumn("chapter", F.expr("vec_id div 4"))
     rows = rows.withColumn("sample_rate", F.when(F.col("vec_id") % 2 == 0, 16000).otherwise(8000))
-    return audio.assemble(rows, "chapter", "vec_id").select("chapter", "sample_rate", F.size("samples").alias("samples"))
-
-
-@query(S.PACKED, python=True)
-def greedy_sentence_packing(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return segments.segments(rows, 120, "off", "conv_id").withColumn("pos", F.col("pos").cast("long"))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return audio.assemble(rows, "chapter", "vec_id").select("chapter", "sample_rate", F.size("samples").cast("long").alias("samples"), F.round(total, 2).alias("total"))

@@ -270,9 +270,9 @@ def spoken(v: str) -> str:
 
 INT_TO_ZH = f"""SELECT o_orderkey, value, {spoken("value")} AS spoken FROM
     (SELECT o_orderkey, (o_orderkey * [1, 10, 1000, 10007, 99999999977][o_orderkey % 5 + 1] % 10000000000000000)::BIGINT AS value FROM orders)"""
-NORMALIZED = f"""SELECT o_orderkey, '今天是' || translate(strftime(o_orderdate, '%Y'), '0123456789', '零一二三四五六七八九') || '年' || {spoken("month(o_orderdate)")} || '月'
-    || {spoken("day(o_orderdate)")} || '日，第' || {spoken("(o_orderkey % 100)")} || '章增长百分之' || {spoken("(o_orderkey % 90)")} || '点五。' || chr(10)
-    || '他有' || {spoken("(o_orderkey % 7)")} || '个苹果，会议在九点三十分开始。' AS text FROM orders"""
+NORMALIZED = f"""SELECT o_orderkey, '列车在' || translate(strftime(o_orderdate, '%Y'), '0123456789', '零一二三四五六七八九') || '年' || {spoken("month(o_orderdate)")} || '月'
+    || {spoken("day(o_orderdate)")} || '日停运，见第' || {spoken("(o_orderkey % 100)")} || '节，票价降了百分之' || {spoken("(o_orderkey % 90)")} || '点二五。' || chr(10)
+    || '船上有' || {spoken("(o_orderkey % 7)")} || '盏灯，渡口十八点五分关门。' AS text FROM orders"""
 
 _B = "[。！？!?；;：:\\n，,、)\\]】》」』 ]"
 
@@ -304,8 +304,7 @@ parts AS (SELECT conv_id, flatten(list_transform(s, lambda x: CASE WHEN length(x
 packs AS (SELECT conv_id, p, 0 AS i, '' AS held, NULL::VARCHAR AS done FROM parts
     UNION ALL SELECT conv_id, p, i + 1, CASE WHEN i >= len(p) THEN '' WHEN over THEN p[i + 1] ELSE held || p[i + 1] END, CASE WHEN i >= len(p) OR over THEN held END
     FROM (SELECT *, held <> '' AND length(held) + length(regexp_replace(p[i + 1], '\\s+$', '')) > 120 AS over FROM packs WHERE i <= len(p))),
-{_hard_split("conv_id, i", "SELECT conv_id, i, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS rest FROM packs WHERE done IS NOT NULL", 120)}
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i, pos) - 1 AS pos, segment FROM r WHERE pos >= 0"""
+{_hard_split("conv_id, i", "SELECT conv_id, i, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS rest FROM packs WHERE done IS NOT NULL", 120)} """
 
 
 def _db(x: str) -> str:
@@ -327,6 +326,10 @@ metrics AS (SELECT vec_id, label, sample_count, {rounded("sample_count / 16000",
 
 
 METRICS, STEREO_METRICS = metrics("embedding"), metrics(_MONO)
+RESAMPLED = """WITH a AS (SELECT vec_id // 4 AS chapter, vec_id, embedding, CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 8000 END AS rate FROM embeddings),
+b AS (SELECT *, first_value(rate) OVER (PARTITION BY chapter ORDER BY vec_id) AS wanted FROM a)
+SELECT chapter, wanted AS sample_rate, sum(len(embedding) * wanted // rate)::BIGINT AS samples, round(sum(list_sum(embedding::DOUBLE[]) * wanted / rate), 2) AS total
+FROM b GROUP BY chapter, wanted"""
 QC_ROLLUP = f"""SELECT label, count(*) AS file_count, count(*) AS analyzed_file_count, 0::BIGINT AS failed_file_count,
     {rounded("sum(duration_seconds)", 3)} AS total_duration_seconds, {rounded("avg(rms_dbfs)", 3)} AS mean_rms_dbfs, {rounded("avg(peak_dbfs)", 3)} AS mean_peak_dbfs,
     count(*) FILTER (WHERE silence_ratio > {C.HIGH_SILENCE}) AS high_silence_file_count, count(*) FILTER (WHERE clipped_ratio > 0) AS clipped_file_count
