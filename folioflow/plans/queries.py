@@ -405,7 +405,7 @@ def book_summaries(spark, sf_dir):
     return reports.summary_rows(_chapters(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("""SELECT p_partkey, 'caf' || chr(233) || ' ' || chr(8217 + p_partkey % 5) || ' ' || chr(20013) || ' a < b ' || chr(8776) || ' ' || chr(252) || ' & x' AS text FROM part""", python=True)
+@query("""SELECT p_partkey, 'caf' || chr(233) || ' ' || chr((8217 + p_partkey % 5)::INTEGER) || ' ' || chr(20013) || ' a < b ' || chr(8776) || ' ' || chr(252) || ' & x' AS text FROM part""", python=True)
 def decoded_references(spark, sf_dir):
     """Named, numeric and hexadecimal character references, with and without a semicolon."""
     code = (8217 + F.col("p_partkey") % 5).cast("string")
