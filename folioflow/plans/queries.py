@@ -311,9 +311,9 @@ def hard_split_segments(spark, sf_dir):
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(python=True)
+@query(S.NARRATION + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, pos) - 1 AS pos, segment FROM r WHERE pos >= 0", python=True)
 def narration_segments(spark, sf_dir):
-    return segments.segments(table(spark, sf_dir, "documents"))
+    return segments.segments(table(spark, sf_dir, "documents")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""SELECT conv_id, turn, (sum(ms) OVER w - ms)::BIGINT AS start_ms, (sum(ms) OVER w)::BIGINT AS end_ms FROM

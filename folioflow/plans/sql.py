@@ -298,13 +298,29 @@ HARD_SPLIT = f"WITH RECURSIVE {_hard_split('doc_id', f'SELECT doc_id, {_STRIPPED
 _SENTENCES = quoted("[^。！？!?.\\n]*[。！？!?.\\n]+[”’」』）)\"']*\\s*|[^。！？!?.\\n]+")
 _PIECES = quoted("[，,;；：:、]\\s*|[^，,;；：:、]+")
 _TIGHT = "regexp_replace(x, '([\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\p{Po}]) ', '\\1', 'g')"
-PACKED = f"""WITH RECURSIVE talks AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
-sentences AS (SELECT conv_id, list_transform(regexp_extract_all({_STRIPPED}, {_SENTENCES}), lambda x: {_TIGHT}) AS s FROM talks),
-parts AS (SELECT conv_id, flatten(list_transform(s, lambda x: CASE WHEN length(x) <= 120 THEN [x] ELSE regexp_extract_all(x, {_PIECES}) END)) AS p FROM sentences),
-packs AS (SELECT conv_id, p, 0 AS i, '' AS held, NULL::VARCHAR AS done FROM parts
-    UNION ALL SELECT conv_id, p, i + 1, CASE WHEN i >= len(p) THEN '' WHEN over THEN p[i + 1] ELSE held || p[i + 1] END, CASE WHEN i >= len(p) OR over THEN held END
-    FROM (SELECT *, held <> '' AND length(held) + length(regexp_replace(p[i + 1], '\\s+$', '')) > 120 AS over FROM packs WHERE i <= len(p))),
-{_hard_split("conv_id, i", "SELECT conv_id, i, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS rest FROM packs WHERE done IS NOT NULL", 120)} """
+
+
+def packed(key: str, texts: str, most: int) -> str:
+    """WITH tables up to r, which has key, i, pos and segment; texts gives key and text."""
+    return f"""WITH RECURSIVE texts AS ({texts}),
+sentences AS (SELECT {key}, list_transform(regexp_extract_all({_STRIPPED}, {_SENTENCES}), lambda x: {_TIGHT}) AS s FROM texts),
+parts AS (SELECT {key}, flatten(list_transform(s, lambda x: CASE WHEN length(x) <= {most} THEN [x] ELSE regexp_extract_all(x, {_PIECES}) END)) AS p FROM sentences),
+packs AS (SELECT {key}, p, 0 AS i, '' AS held, NULL::VARCHAR AS done FROM parts
+    UNION ALL SELECT {key}, p, i + 1, CASE WHEN i >= len(p) THEN '' WHEN over THEN p[i + 1] ELSE held || p[i + 1] END, CASE WHEN i >= len(p) OR over THEN held END
+    FROM (SELECT *, held <> '' AND length(held) + length(regexp_replace(p[i + 1], '\\s+$', '')) > {most} AS over FROM packs WHERE i <= len(p))),
+{_hard_split(f"{key}, i", f"SELECT {key}, i, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS rest FROM packs WHERE done IS NOT NULL", most)} """
+
+
+PACKED = packed("conv_id", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id", 120)
+
+# Of the spoken forms, texts of the tables need that of percents only.
+_PERCENT = "'[0-9]+(?:\\.[0-9]+)?\\s*%'"
+_SAID = f"""'百分之' || {spoken("regexp_extract(m, '^[0-9]+')::BIGINT")} || CASE WHEN contains(m, '.')
+    THEN '点' || translate(regexp_extract(m, '\\.([0-9]+)', 1), '0123456789', '零一二三四五六七八九') ELSE '' END"""
+_SPOKEN_TEXT = f"""SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda k: gaps[k] || coalesce(said[k], '')), '') AS t FROM (
+    SELECT doc_id, regexp_split_to_array(coalesce(text, ''), {_PERCENT}) AS gaps, list_transform(regexp_extract_all(coalesce(text, ''), {_PERCENT}), lambda m: {_SAID}) AS said FROM documents)"""
+_TIDY = "array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
+NARRATION = packed("doc_id", f"SELECT doc_id, regexp_replace({_TIDY}, '[ \\t]+', ' ', 'g') AS text FROM ({_SPOKEN_TEXT})", C.SEGMENT_CHARS)
 
 
 def _db(x: str) -> str:
