@@ -494,6 +494,7 @@ def _in_blocks(members: DataFrame, sets: DataFrame, key: str, run, schema: str)
     sizes = members.groupBy(key).agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
     )
+    sizes = keep(sizes, work_dir(members.sparkSession, "ngram") + "/blocks")
     rows = members.drop("n").join(small_side(sizes), key).join(sets.select("cls", "tokens"), "cls")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -599,8 +600,9 @@ def _component_links(docs: DataFrame, classes: DataFrame, folder: str, count_lin
     if not count_links:
         return labels, labels.select("cls", F.lit(None).cast("long").alias("n_links"))
     members = labels.join(survivors.select("cls", "n"), "cls")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    members = keep(members.join(sizes, "component"), f"{folder}/members")
+    # Written counts leave the join plain exchanges on both sides, of which Spark can split a large component's.
+    sizes = keep(members.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1"), f"{folder}/component_sizes")
+    members = keep(members.join(small_side(sizes), "component"), f"{folder}/members")
     two = members.filter("m = 2").select("cls", F.lit(1).cast("long").alias("n_links"))
     many = _in_blocks(members.filter("m > 2").select("component", "cls", "n"), sets, "component", _count_links, "cls long, n_links long")
     many = many.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
@@ -629,8 +631,8 @@ def near_duplicates(docs: DataFrame, count_links: bool = True) -> DataFrame:
     groups = groups.join(labels, "cls", "left").join(degree, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     groups = keep(groups, f"{folder}/groups", tidy=True)
     drop_folder(docs.sparkSession, f"{folder}/work")
-    smallest = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    groups = groups.join(smallest, "component").select("cls", "class_id", "component_id", "n_links")
+    smallest = keep(groups.groupBy("component").agg(F.min("class_id").alias("component_id")), f"{folder}/smallest")
+    groups = groups.join(small_side(smallest), "component").select("cls", "class_id", "component_id", "n_links")
     none = F.when(F.lit(count_links), F.lit(0).cast("long"))
     return classes.join(groups, "cls", "left").select(
         "doc_id",
@@ -660,6 +662,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     drop_folder(docs.sparkSession, f"{folder}/work")
     first = placed.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("m")).filter("m > 1")
     first = first.select("component", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_hash"))
+    first = small_side(keep(first, f"{folder}/first"))
     own = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash"))
     # Rows to drop, and rows that stay but come several times.
     some = placed.join(first, "component").groupBy("doc_id", "text_hash").agg(F.max(own).alias("stays"), F.count("*").alias("m"))

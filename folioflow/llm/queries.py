@@ -85,6 +85,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pii": sql.PII,
     "op2_quality_rules": sql.QUALITY,
     "op3_decontamination": sql.LEAKS,
     "op4_mixing": sql.MIX,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, url_filter
+from . import decontam, mixing, pii, quality, url_filter
 
 #: Words of a text, and the ASCII white space between them.
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -157,3 +157,50 @@ LEAKS = rf"""
     best AS (SELECT r, item, max(similarity) AS similarity, min(s) FILTER (similarity = top) AS start_word
         FROM (SELECT *, max(similarity) OVER (PARTITION BY r, item) AS top FROM scored) WHERE similarity >= {decontam.SIMILARITY} GROUP BY r, item)
     SELECT doc_id, item_id, similarity, start_word::BIGINT AS start_word FROM best JOIN d USING (r) JOIN items USING (item)"""
+
+_SSN = r"(?:00[1-9]|0[1-9][0-9]|[1-578][0-9][0-9]|66[0-57-9]|6[0-57-9][0-9])-(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9][0-9]|[1-9][0-9][0-9][0-9])"
+#: Pattern, character class that must not stand on either side, where \\b doesn't say it, and test of a match.
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 0 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][c::INT + 1] ELSE c::INT END)) % 10 = 0"
+_BARE = "upper(replace(m, ' ', ''))"
+_MOD97 = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({_BARE}, 5) || substr({_BARE}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE c::BIGINT END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", None, "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", None, "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) < 4 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))"),
+    "card": (r"[0-9](?:[ -]?[0-9])+", None, f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", None, f"length({_DIGITS}) BETWEEN 10 AND 15"),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", None, _MOD97),
+    "ssn": (_SSN, ("0-9-", "0-9-"), "true"),
+    "local_phone": (r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", ("0-9+(.-", "0-9-"), "true"),
+}
+
+
+def _pii() -> str:
+    tables = [r"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"]
+    for rank, kind in enumerate(pii.KINDS):
+        core, sides, valid = _PII[kind.name]
+        whole = f"(?:^|[^{sides[0]}]){core}" if sides else core
+        found = f"regexp_extract(m, '(?:{core})$')" if sides else "m"
+        right = f"NOT regexp_matches(substr(t, (s + length(m) + 1)::INT, 1), '^[{sides[1]}]')" if sides else "true"
+        n = kind.name
+        score = f"least({kind.prior}::DOUBLE + CASE WHEN near THEN {kind.bonus}::DOUBLE ELSE 0::DOUBLE END, 1::DOUBLE)"
+        tables += [
+            f"{n}_raw AS (SELECT r, t, regexp_extract_all(t, '{whole}') AS m, list_transform(regexp_split_to_array(t, '{whole}'), lambda x: length(x)) AS g FROM d WHERE regexp_matches(t, '{whole}'))",
+            f"{n}_at AS (SELECT r, t, unnest(m) AS whole, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(g[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS begins FROM {n}_raw)",
+            f"{n}_core AS (SELECT r, t, m, (begins + length(whole) - length(m))::BIGINT AS s FROM (SELECT *, {found.replace('(m,', '(whole,') if sides else 'whole'} AS m FROM {n}_at))",
+            f"{n}_fit AS (SELECT *, s + length(m) AS e FROM {n}_core WHERE {right})",
+            f"{n}_near AS (SELECT *, lag(e, 1, 0) OVER w AS before, lead(s, 1, length(t)) OVER w AS after FROM {n}_fit WINDOW w AS (PARTITION BY r ORDER BY s))",
+            f"""{n}_scored AS (SELECT r, m, s, e, regexp_matches(substr(t, greatest(before, s - {pii.CONTEXT}) + 1, s - greatest(before, s - {pii.CONTEXT})), '{kind.context}')
+                OR regexp_matches(substr(t, e + 1, least(after, e + {pii.CONTEXT}) - e), '{kind.context}') AS near FROM {n}_near)""",
+            f"{n}_spans AS (SELECT r, s, {rank} AS rank, '{n}' AS kind, e, {score} AS score FROM {n}_scored WHERE {valid} AND {'true' if kind.base else f'{score} >= {pii.THRESHOLD}'})",
+        ]
+    spans = " UNION ALL ".join(f"SELECT * FROM {k.name}_spans" for k in pii.KINDS)
+    base = sum(k.base for k in pii.KINDS)
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+    counts = ", ".join(f"count(s) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS)
+    return f"""WITH {", ".join(tables)}, spans AS ({spans})
+    SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce({joined} FILTER (WHERE rank < {base}), '')) AS base_sha256,
+        coalesce({joined} FILTER (WHERE s IS NOT NULL), '') AS spans, coalesce(max(score), 0::DOUBLE) AS top_score FROM d LEFT JOIN spans USING (r) GROUP BY r"""
+
+
+PII = _pii()
