@@ -38,6 +38,14 @@ NON_CONTENT_STEMS = tuple(
 )
 NON_CONTENT_TOKENS = tuple("nav toc contents landmarks pagelist page-list tableofcontents table-of-contents".split())
 
+# The characters that str.strip takes away.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+#: Line ends besides the line feed.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
 # Patterns.
 _LEADER = r"(?:\.{2,}|_{2,}|-{2,}|…{2,}|·{2,}|⋯{2,})\s*\d{1,4}"
 _ZH_NUMBER = "[0-9一二三四五六七八九十百千万零〇两]+"
@@ -59,7 +67,8 @@ PUNCTUATION = "[。！？!?;；:,，.]"
 SENTENCE_END = "[。！？!?]"
 EN_WORD = "[A-Za-z]+"
 CJK = r"[\x{4e00}-\x{9fff}]"
-SENTENCE = r"[^\n。！？!?；;]+[。！？!?；;]?"
+SENTENCE_MARKS = "。！？!?；;"
+SENTENCE = rf"[^\n{SENTENCE_MARKS}]+[{SENTENCE_MARKS}]?"
 ABNORMAL = r"[*#=_~]{3,}|\x{fffd}"
 #: Decimal digits, and the superscript, subscript, circled and other digits of Unicode beside them.
 DIGIT = (

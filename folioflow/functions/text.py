@@ -25,7 +25,7 @@ def collapse(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(C.WHITE_SPACE))
 
 
 def count(text: Column, pattern: str) -> Column:
