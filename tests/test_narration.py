@@ -215,6 +215,21 @@ def test_rounding_is_that_of_python(spark):
     assert column(spark, [1], lambda x: T.ratio(x, F.lit(128)), "long") == [0.007812]
 
 
+def test_readability_of_odd_texts(spark):
+    rng = random.Random(11)
+    pool = ["a", "word", " ", "\n", "\r\n", "\u2028", "\x1c", "\x0b", "\u3000", "。", "！", "?", "；", ";", "\ufdd0", "12", "²", "***", "\ufffd", "é"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(400)] + [None, "", "x" * 300, " 。 "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in readability.readability(df).collect():
+        text = (texts[r.i] or "").strip()
+        lengths = [len(x.strip()) for x in re.findall(r"[^\n。！？!?；;]+[。！？!?；;]?", text) if x.strip()] or ([len(text)] if text else [])
+        assert (r.sentence_count, r.max_sentence_length) == (len(lengths), max(lengths, default=0)), repr(text)
+        assert r.avg_sentence_length == round(sum(lengths) / max(len(lengths), 1), 3)
+        assert r.paragraph_count == sum(1 for x in text.splitlines() if x.strip()), repr(text)
+        assert r.numeric_char_count == sum(c.isdigit() for c in text)
+        assert r.abnormal_symbol_count == sum(map(len, re.findall("[*#=_~]{3,}|\ufffd", text)))
+
+
 def test_digits_of_all_kinds(spark):
     some = "".join(chr(c) for c in range(0x3000) if chr(c).isdigit()) + "\U0001f100\U00010a40 Ⅷ½一 x"
     got = readability.readability(spark.createDataFrame([(some,)], "text string")).first()
