@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these.
@@ -98,23 +98,3 @@ def seeded_hash(seed: int, *cols: Column) -> Column:
 def bucket_bits(rows: int, per_bucket: int = 4096) -> int:
     """Bits of a bucket number so that about per_bucket of rows fall into each bucket."""
     return max(4, (max(rows, 1) // per_bucket).bit_length())
-
-
-def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
-    """Add out: the sum of value over the rows of the same group that come before.
-
-    bucket must not decrease along order. Each window then holds one bucket of
-    one group, and only the buckets' sums are added up in sequence, so that a
-    group with a third of all rows is spread over as many tasks as it has
-    buckets. df is read twice; a written table suits best.
-    """
-    keys = [*group, bucket]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.join(starts, keys)
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_before")
-    )

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, bucket_bits, group_key, keep, prefix_sums, seeded_hash, word_count, work_dir
+from ..functions.order import prefix_sums
+from .common import HASH_BITS, bucket_bits, group_key, keep, seeded_hash, word_count, work_dir
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, bucket_bits, group_key, keep, prefix_sums, seeded_hash, work_dir
+from ..functions.order import prefix_sums
+from .common import HASH_BITS, bucket_bits, group_key, keep, seeded_hash, work_dir
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
