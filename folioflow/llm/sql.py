@@ -204,3 +204,25 @@ def _pii() -> str:
 
 
 PII = _pii()
+
+#: Every document's failures, then counts by part, failures and label against all orders.
+AUDIT = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w,
+            doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS later FROM documents),
+    good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+    f AS (SELECT part, d.doc_id IN (SELECT doc_id FROM good WHERE doc_id IS NOT NULL) AND d.doc_id IS NOT NULL AS is_good,
+            d.doc_id IN (SELECT doc_id FROM toxic WHERE doc_id IS NOT NULL) AND d.doc_id IS NOT NULL AS is_toxic,
+            CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+            CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END ||
+            CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(later, false) THEN 'E' ELSE '' END AS fails FROM d),
+    cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE is_good) AS good, count(*) FILTER (WHERE is_toxic) AS toxic FROM f GROUP BY ALL),
+    orders AS (SELECT '' AS o UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)),
+    steps AS (SELECT o, step, o[step] AS x, o[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5),
+    seen AS (SELECT part, o, step, x, fails, n, good, toxic, contains(fails, x) AS hit,
+            length(before) > length(translate(before, fails, '')) AS gone FROM cells, steps),
+    sums AS (SELECT part, o AS filter_order, step::INTEGER AS step, x,
+        coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (WHERE gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = x), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS toxic_lost
+        FROM seen GROUP BY ALL)
+    SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM sums"""
