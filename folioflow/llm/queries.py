@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import audit, decontam, licenses, mixing, ngram_join, pii, quality, sharding, sql, token_files, url_filter, warc
+from . import audit, decontam, licenses, mixing, ngram_join, pii, quality, sharding, spelling, sql, token_files, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.judged_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -85,7 +89,7 @@ QUERIES = {
     for f in (
         op1_pii, op2_quality_rules, op3_decontamination, op4_mixing, op5_token_output,
         op6_url_filters, op7_warc, op8_license_scan, op9_ngram_join, op10_sharding,
-        op11_filter_audit,
+        op11_filter_audit, op12_spelling_variants,
     )
 }
 
@@ -98,6 +102,7 @@ ORACLE_SQL: dict[str, str] = {
     "op9_ngram_join": sql.NGRAM,
     "op10_sharding": sql.SHARDS,
     "op11_filter_audit": sql.AUDIT,
+    "op12_spelling_variants": sql.SPELLING,
     "op7_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
         f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)

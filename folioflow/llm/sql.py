@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, pii, quality, url_filter
+from . import decontam, mixing, pii, quality, spelling, url_filter
 
 #: Words of a text, and the ASCII white space between them.
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -226,3 +226,25 @@ AUDIT = rf"""
         coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS toxic_lost
         FROM seen GROUP BY ALL)
     SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM sums"""
+
+#: Words near each other by common strings with one character left out.
+SPELLING = rf"""
+    WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+    hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex) // 2 + 1), lambda i: ('0x' || hex[2 * i - 1:2 * i])::BIGINT)),
+            lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295) AS h
+        FROM (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hex FROM runs), crc),
+    slipped AS (SELECT n, CASE WHEN h % {spelling.SLIP} = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word FROM hashed),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+    cut AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+    formed AS (SELECT best.word, min(near) AS form, any_value(most) AS form_n FROM best JOIN w ON best.word = w.word AND most >= {spelling.FACTOR} * n
+        JOIN near ON near.word = best.word AND near_n = most GROUP BY best.word),
+    reach AS (SELECT word, form AS root FROM formed UNION ALL SELECT reach.word, form FROM reach JOIN formed ON reach.root = formed.word)
+    SELECT w.word, form, coalesce(last.root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n FROM w
+        LEFT JOIN best ON w.word = best.word LEFT JOIN formed ON w.word = formed.word
+        LEFT JOIN (SELECT * FROM reach WHERE root NOT IN (SELECT word FROM formed)) last ON w.word = last.word"""
