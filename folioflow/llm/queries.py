@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import audit, decontam, licenses, mixing, ngram_join, pii, quality, sharding, spelling, sql, token_files, url_filter, warc
+from . import audit, decontam, licenses, mixing, ngram_join, pii, quality, repeats, sharding, spelling, sql, token_files, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -89,7 +93,7 @@ QUERIES = {
     for f in (
         op1_pii, op2_quality_rules, op3_decontamination, op4_mixing, op5_token_output,
         op6_url_filters, op7_warc, op8_license_scan, op9_ngram_join, op10_sharding,
-        op11_filter_audit, op12_spelling_variants,
+        op11_filter_audit, op12_spelling_variants, op13_repeated_passages,
     )
 }
 
