@@ -18,14 +18,47 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.text import collapse
 
-#: Comments, raw elements, tags (quotes may hold >), declarations, text, and a lone < as text.
+_S = "[" + "".join(f"\\u{ord(c):04x}" for c in C.WHITE_SPACE) + "]"
+_NOT_S = "[^" + _S[1:-1]
+_AFTER_NAME = r"[\t\n\r\f\x20/>]"
+_VALUE = rf"{_S}*+=+{_S}*(?:'[^']*+'|\"[^\"]*+\"|(?!['\"]){_NOT_S}>]*+)"
+_ATTRIBUTE = rf"(?<=['\"/{_S[1:-1]}]){_NOT_S}/>]{_NOT_S}/=>]*+"
+_GAP = rf"(?:{_S}|/(?!>))*+"
+_OPEN = r"<[a-z][^\t\n\r\f\x20/>\x00]*+"
+#: A start tag up to its end, as the event parser finds it: a value in quotes may hold >, one without them ends at white space or >.
+_TAG = rf"{_OPEN}[/{_S[1:-1]}]*+(?:{_ATTRIBUTE}(?:{_VALUE}{_S}*+)?+{_GAP})*+{_S}*+"
+#: One that closes itself; in <a href=x/> the slash is part of the value.
+_SELF = rf"{_OPEN}{_GAP}(?:{_ATTRIBUTE}(?:{_VALUE})?+{_GAP})*+/>"
+_RAW = "(?:script|style)"
+_SECTION = r"\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])"
+#: Text at the end of a page that may stop inside a reference.
+_CUT_REFERENCE = rf"&[^;&<{_S[1:-1]}]{{0,33}}\z"
+#: Whatever is complete: comments, marked sections, declarations, raw elements, tags, end tags, text, and a lone < as text.
+_COMPLETE = "|".join(
+    (
+        rf"<!--.*?--{_S}*>",
+        rf"<!\[(?:temp|cdata|ignore|include|rcdata)(?![-_.a-z0-9]).*?\]{_S}*\]{_S}*>",
+        rf"<!\[(?:if|else|endif)(?![-_.a-z0-9]).*?\]{_S}*>",
+        rf"<!(?!--|{_SECTION})[^>]*+>",
+        r"<\?[^>]*+>",
+        *(rf"(?=<{name}{_AFTER_NAME})(?!{_SELF}){_TAG}/?>.*?</{_S}*{name}{_S}*>" for name in ("script", "style")),
+        rf"(?:(?!<{_RAW}{_AFTER_NAME})|(?={_SELF})){_TAG}(?:/?>|(?=\x00))",
+        r"</[^>]*+>",
+        rf"(?![^<]*+(?<={_CUT_REFERENCE}))[^<]++",
+        r"<(?![!?/a-z]|\z)",
+    )
+)
+#: Group 1 is a complete token; anything else reaches to the end of the page and is held back.
+_JAVA_TOKENS = rf"(?is)({_COMPLETE})|.+"
+#: Much the same without looking around, for the SQL; what is held back is the last token, if it matches UNFINISHED.
 TOKENS = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-    r"|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<"
+    r"(?is)<!--.*?--\s*>|<!\[(?:temp|cdata|ignore|include|rcdata).*?\]\s*\]\s*>|<script\b[^>]*>.*?</\s*script\s*>|<style\b[^>]*>.*?</\s*style\s*>"
+    r"|<[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</[^>]*>|<[!?][^>]*>|[^<]+|<[!?/a-z].*|<"
 )
-#: The same with repeats that never give back, which Java runs without recursion.
-_JAVA_TOKENS = TOKENS.replace("(?:[^>\\\"']|", "(?:[^>\\\"']++|").replace("'[^']*')*>", "'[^']*')*+>")
-_NAME = r"^</?([A-Za-z][^\x20\t\n\r\f/>]*)"
+UNFINISHED = r"(?is)^(?:<[!?/a-z].*[^>]|<[!?/]?|<!--(?:[^-]|-[^-]|--[^>])*|[^<]*&[^\s;&<]{0,33})$"
+_NAME = r"^<([A-Za-z][^\t\n\r\f\x20/>\x00]*)"
+#: The name of an end tag, which may follow white space if nothing else does.
+_END_NAMES = (rf"^</{_S}*([A-Za-z][-.A-Za-z0-9:_]*){_S}*>\z", r"^</([A-Za-z][^\t\n\r\f\x20/>\x00]*)")
 
 
 def decode_entities(text: Column) -> Column:
@@ -52,16 +85,25 @@ def decode_common_entities(text: Column) -> Column:
 
 
 def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, pos, token, kind (text, start, end, self, other) and name of every token."""
-    tokens = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_JAVA_TOKENS), 0)
-    out = pages.select(F.col(key), F.posexplode(tokens).alias("pos", "token"))
-    raw = F.col("token").rlike(r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*>\z")
-    name = F.when(raw, "").otherwise(F.lower(F.regexp_extract("token", _NAME, 1)))
+    """key, pos, token, kind (text, start, end, self, other) and name of every token.
+
+    A tag, comment, declaration, raw element or reference that the end of the page
+    cuts off is no token, nor is what follows it: an event parser that is fed a page
+    waits for the rest.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_JAVA_TOKENS), 1)
+    out = pages.select(F.col(key), F.posexplode(tokens).alias("pos", "token")).filter("token <> ''")
+    token = F.col("token")
+    text = ~token.startswith("<") | ~token.endswith(">")
+    raw = token.rlike(rf"(?is)^<{_RAW}{_AFTER_NAME}.*</{_S}*{_RAW}{_S}*>\z")
+    plain, loose = (F.regexp_extract(token, x, 1) for x in _END_NAMES)
+    closing = F.when(plain != "", plain).otherwise(loose)
+    name = F.when(text | raw, "").otherwise(F.lower(F.when(token.startswith("</"), closing).otherwise(F.regexp_extract(token, _NAME, 1))))
     kind = (
-        F.when(~F.col("token").startswith("<") | (F.col("token") == "<"), "text")
+        F.when(text, "text")
         .when(F.col("name") == "", "other")
-        .when(F.col("token").startswith("</"), "end")
-        .when(F.col("token").endswith("/>"), "self")
+        .when(token.startswith("</"), "end")
+        .when(token.endswith("/>") & token.rlike(rf"(?is)^{_SELF}\z"), "self")
         .otherwise("start")
     )
     return out.withColumn("name", name).withColumn("kind", kind).select(key, "pos", "token", "kind", "name")

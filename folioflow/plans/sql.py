@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as C
-from ..operators.blocks import TOKENS
+from ..operators.blocks import TOKENS, UNFINISHED
 
 
 def quoted(text: str) -> str:
@@ -57,12 +57,13 @@ def heading(x: str) -> str:
 
 _TOKENS = f"""tokens AS (
     SELECT page_id, pos, token,
-        CASE WHEN regexp_matches(token, '(?is)^<(?:script|style)\\b.*</(?:script|style)\\s*>$') THEN ''
-             ELSE lower(regexp_extract(token, '^</?([A-Za-z][^ \\t\\n\\r\\f/>]*)', 1)) END AS name
+        CASE WHEN NOT starts_with(token, '<') OR NOT ends_with(token, '>') OR regexp_matches(token, '(?is)^<(?:script|style)\\b.*</\\s*(?:script|style)\\s*>$') THEN ''
+             ELSE lower(regexp_extract(token, '^(?:<|</\\s*)([A-Za-z][^ \\t\\n\\r\\f/>]*)', 1)) END AS name
     FROM (SELECT page_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos
-          FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), {quoted(TOKENS)}) AS t FROM pages))),
+          FROM (SELECT page_id, CASE WHEN regexp_matches(t[-1], {quoted(UNFINISHED)}) THEN t[:-2] ELSE t END AS t
+                FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), {quoted(TOKENS)}) AS t FROM pages)))),
 kinds AS (
-    SELECT *, CASE WHEN NOT starts_with(token, '<') OR token = '<' THEN 'text' WHEN name = '' THEN 'other'
+    SELECT *, CASE WHEN NOT starts_with(token, '<') OR NOT ends_with(token, '>') THEN 'text' WHEN name = '' THEN 'other'
         WHEN starts_with(token, '</') THEN 'end' WHEN ends_with(token, '/>') THEN 'self' ELSE 'start' END AS kind FROM tokens)"""
 
 HTML_TOKENS = f"WITH {_TOKENS} SELECT kind, name, count(*) AS tokens, sum(length(token))::BIGINT AS chars FROM kinds GROUP BY kind, name"
