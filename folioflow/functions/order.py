@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a bucket, about, when values are spread evenly.
-BUCKET_ROWS = 4096
+from ..work import kept, work_folder
 
+#: Rows of a bucket, about, and buckets at most; beyond that they hold more rows.
+BUCKET_ROWS, MOST_BUCKETS = 65_536, 10_000
 
-def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
+
+def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str | Column], value: Column, out: str) -> DataFrame:
     """Add out: the sum of value over the rows of the same group that come before.
 
     bucket must not decrease along order. Each window then holds one bucket of
@@ -29,9 +31,37 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     )
 
 
+def bucketed(df: DataFrame, keys: list[Column], bucket_rows: int | None = None) -> DataFrame:
+    """df as a written table with _bucket: numbers that don't decrease along keys, for about bucket_rows rows each.
+
+    Borders are quantiles that Spark takes from a sample, and refines where many rows
+    fall between two, so they follow any distribution. Rows with equal keys are told
+    apart by a hash of the row and by their place in the input, so a value that many
+    rows share is cut into several buckets too. _tie and _row order them. df should
+    be narrow.
+    """
+    rows = df.count()
+    buckets = min(MOST_BUCKETS, max(1, -(-rows // (bucket_rows or BUCKET_ROWS))))
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    tied = df.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0)).withColumn("_row", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(buckets, *keys, "_tie", "_row").withColumn("_bucket", F.spark_partition_id())
+    return kept(dealt, work_folder(df.sparkSession, "buckets"))
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Add out: the sum of value over the rows of the same group that come before, for any distribution of group and order.
+
+    Null groups are groups of their own. Rows that are equal in order come in the
+    order of a hash of the row, alike in every run; of rows that are equal
+    throughout it doesn't matter which comes first.
+    """
+    names = [f"_group{k}" for k in range(len(group))]
+    placed = bucketed(df, [*map(F.col, group), *order])
+    # Never null, so that joins keep every row.
+    placed = placed.withColumns({n: F.when(F.col(g).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(g).cast("string"))) for n, g in zip(names, group, strict=True)})
+    return prefix_sums(placed, names, "_bucket", [*order, F.col("_tie"), F.col("_row")], value, out).drop(*names, "_bucket", "_tie", "_row")
+
+
 def numbered(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
-    """Add out: 1, 2 and so on within each group by a whole-number column order without nulls, in buckets of its range."""
-    rows, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * BUCKET_ROWS // max(rows, 1))
-    placed = df.withColumn("_group", F.coalesce(group, F.lit(""))).withColumn("_bucket", F.call_function("div", F.col(order), F.lit(width)))
-    return prefix_sums(placed, ["_group"], "_bucket", [order], F.lit(1), out).withColumn(out, F.col(out) + 1).drop("_group", "_bucket")
+    """Add out: 1, 2 and so on within each group by column order, with nulls last."""
+    return running_sums(df, [group], [F.col(order).asc_nulls_last()], F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1)

@@ -186,8 +186,7 @@ def _chapters(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     href = F.concat(F.lit("text/"), (F.col("doc_id") % 97).cast("string"), F.lit(".xhtml"))
     rows = docs.select(F.col("source").alias("book"), href.alias("href"), "doc_id", "text", F.col("n_chars").alias("raw_chars"))
-    places = numbered(docs.select("source", "doc_id"), "source", "doc_id", "idx").drop("source")
-    return reports.chapter_reports(rows).drop("text").join(places, "doc_id")
+    return numbered(reports.chapter_reports(rows).drop("text"), "book", "doc_id", "idx")
 
 
 @query(S.READABILITY + f"SELECT doc_id, {', '.join(READABILITY)} FROM readability")

@@ -230,20 +230,6 @@ def test_readability_of_odd_texts(spark):
         assert r.abnormal_symbol_count == sum(map(len, re.findall("[*#=_~]{3,}|\ufffd", text)))
 
 
-def test_numbers_in_groups(spark, monkeypatch):
-    from folioflow.functions import order
-
-    rng = random.Random(12)
-    rows = [(rng.choice(["a", "b", None]), k) for k in rng.sample(range(-500, 100_000), 700)]
-    df = spark.createDataFrame(rows, "g string, k long")
-    wanted = {k: 1 + sum(1 for h, j in rows if h == g and j < k) for g, k in rows}
-    for size in (4096, 5):
-        monkeypatch.setattr(order, "BUCKET_ROWS", size)
-        got = order.numbered(df, "g", "k", "n")
-        assert got.columns == ["g", "k", "n"] and {r.k: r.n for r in got.collect()} == wanted
-    assert order.numbered(df.limit(0), "g", "k", "n").count() == 0
-
-
 def test_digits_of_all_kinds(spark):
     some = "".join(chr(c) for c in range(0x3000) if chr(c).isdigit()) + "\U0001f100\U00010a40 Ⅷ½一 x"
     got = readability.readability(spark.createDataFrame([(some,)], "text string")).first()
