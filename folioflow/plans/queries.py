@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions import zh
-from ..operators import audio, blocks, clean, navigation, readability, reports, segments
+from ..operators import audio, blocks, clean, long_audio, navigation, readability, reports, segments
 from ..functions.order import numbered
 from ..operators.classify import classify, features, first_pass, judged_blocks, second_pass, with_levels
 from ..session import ship_package
@@ -354,10 +354,8 @@ def audio_qc_rollup(spark, sf_dir):
     list_first(first(embedding ORDER BY vec_id))::DOUBLE AS first, list_last(last(embedding ORDER BY vec_id))::DOUBLE AS last FROM embeddings GROUP BY 1""")
 def concat_samples(spark, sf_dir):
     rows = _audio(spark, sf_dir).withColumn("chapter", F.expr("vec_id div 8"))
-    out = audio.concat_samples(rows, "chapter", "vec_id")
-    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    ends = [F.element_at("samples", k).cast("double").alias(n) for k, n in ((1, "first"), (-1, "last"))]
-    return out.select("chapter", F.size("samples").cast("long").alias("samples"), F.round(total, 3).alias("total"), *ends)
+    out = long_audio.chunk_sums(long_audio.chunked(rows, ["chapter"], ["vec_id"], 200), ["chapter"])
+    return out.select("chapter", "samples", F.round("total", 3).alias("total"), "first", "last")
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.data.id'), json_extract_string(props, '$.id'), json_extract_string(props, '$.page'), event_type) AS task FROM events""")
@@ -430,5 +428,6 @@ def resampled_audio(spark, sf_dir):
     """Vectors at two rates, brought to the rate of the first of each four; resampling keeps a signal's mean."""
     rows = _audio(spark, sf_dir).withColumn("chapter", F.expr("vec_id div 4"))
     rows = rows.withColumn("sample_rate", F.when(F.col("vec_id") % 2 == 0, 16000).otherwise(8000))
-    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    return audio.assemble(rows, "chapter", "vec_id").select("chapter", "sample_rate", F.size("samples").cast("long").alias("samples"), F.round(total, 2).alias("total"))
+    out = long_audio.assembled(rows, "chapter", "vec_id", size=100)
+    sums = long_audio.chunk_sums(out, ["chapter"]).join(out.select("chapter", "sample_rate").distinct(), "chapter")
+    return sums.select("chapter", "sample_rate", "samples", F.round("total", 2).alias("total"))
