@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import keep, small_side, work_dir
 from .shingles import mix
 from .suffixes import repeated_starts
-from .tasks import released
+from .tasks import released, reuse
 
 WINDOW, GRAM = 200, 50
 #: Grams of a window.
@@ -109,6 +109,7 @@ def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
     names = [x.split()[0] for x in _FOUND.split(", ")]
+    reuse()
     for batch in batches:
         for t, text in zip(batch["t"], batch["text"], strict=True):
             text = text.as_buffer()
@@ -161,6 +162,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield _marks(out)
 
+    reuse()
     held: dict[tuple[bytes, int], tuple[bytes, bool]] = {}
     size, before = 0, None
     for batch in batches:

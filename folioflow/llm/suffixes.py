@@ -27,65 +27,93 @@ def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return np.minimum.reduceat(np.append(values, values.dtype.type(0)), cuts)[::2]
 
 
+#: A row's place in the low bits of a key, below its symbol.
+_ROW = np.int64((1 << 48) - 1)
+_SYMBOL = 48
+
+
+def _merged(old: np.ndarray, there: np.ndarray, new: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """new at the places at, and old in order at the places where there is true."""
+    out = np.empty(len(there), old.dtype)
+    out[there] = old
+    out[at] = new
+    return out
+
+
 class Columns:
     """The transform of strings without the byte 255, each with an end mark that sorts by the string's number.
 
     bwt has the byte before each suffix, plus 1, and 0 where a string begins; lcp
-    the common prefix of each row with the row before.
+    the common prefix of each row with the row before. While it grows, keys holds all
+    rows by symbol and place, so that a row's rank among those of its symbol is known
+    where it goes in and nothing is sorted again.
     """
 
     def __init__(self, strings: Sequence[bytes]):
         self.sizes = np.array([len(s) for s in strings], np.int64)
         ends = np.cumsum(self.sizes)
-        # A symbol is a byte plus 1; the place after each string's first byte, going backwards, holds 0.
         data = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
         count = len(strings)
         self.count = count
-        place = np.arange(count)
         self.bwt = np.where(self.sizes > 0, data[np.maximum(ends - 1, 0)] if len(data) else 0, 0).astype(np.uint8)
         self.lcp = np.zeros(count, np.uint16)
+        keys = self.bwt.astype(np.int64) << _SYMBOL | np.arange(count)
+        turn = np.argsort(keys)
+        self._keys = keys[turn]
+        place = np.empty(count, np.int64)  # of a string's newest row among keys
+        place[turn] = np.arange(count)
         by_size = np.argsort(-self.sizes, kind="stable")
         sizes = self.sizes[by_size]
         active = count
         for length in range(1, int(sizes[0]) + 1 if count else 0):
             active = int(np.searchsorted(-sizes[:active], -length, "right"))
-            rows = by_size[:active]
-            before = ends[rows] - length - 1
+            of = by_size[:active]
+            before = ends[of] - length - 1
             symbols = np.where(sizes[:active] > length, data[np.maximum(before, 0)], 0).astype(np.uint8)
-            place[rows] = self._insert(place[rows], symbols)
-
-    def _insert(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Put in the suffixes that follow the rows at by one symbol, which symbols come before; returns their rows."""
-        bwt, lcp, n = self.bwt, self.lcp, len(self.bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        starts = n - np.count_nonzero(bwt)
-        turn = np.argsort(-at)
-        at, symbols = at[turn], symbols[turn]
-        k = rank[at]
-        rows = self.count + k - starts
-        size = n + len(at)
-        old = np.ones(size, bool)
-        old[rows] = False
-        new_bwt, new_lcp = np.empty(size, np.uint8), np.zeros(size, np.uint16)
-        new_bwt[old], new_lcp[old] = bwt, lcp
-        new_bwt[rows] = symbols
-        for step in (-1, 1):
-            beside = k + step
-            there = (beside >= 0) & (beside < n)
-            other = order[np.where(there, beside, 0)]
-            there &= bwt[other] == bwt[at]
-            first, last = (other, at) if step < 0 else (at, other)
-            turned = np.argsort(-last[there], kind="stable")
-            chosen = np.flatnonzero(there)[turned]
-            least = _least(lcp, first[chosen] + 1, last[chosen])
-            new_lcp[rows[chosen] + (step > 0)] = least + np.uint16(1)
-        self.bwt, self.lcp = new_bwt, new_lcp
-        back = np.empty(len(at), np.int64)
-        back[turn] = rows
+            place[of] = self._insert(place[of], symbols)
+        del self._keys
+
+    def _insert(self, place: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Put in the suffixes that follow the rows at place among keys by one symbol, which symbols come before; returns their places."""
+        keys, n = self._keys, len(self._keys)
+        begun = int(np.searchsorted(keys, 1 << _SYMBOL))  # rows without a symbol come first
+        rows = self.count + place - begun
+        there = np.ones(n + len(rows), bool)
+        there[rows] = False
+        least = self._prefixes(place)
+        self.bwt = _merged(self.bwt, there, symbols, rows)
+        self.lcp = _merged(self.lcp, there, least[0], rows)
+        self.lcp[rows[least[1] > 0] + 1] = least[1][least[1] > 0]
+        # A row moves on by the number of new rows that come before it.
+        shift = np.cumsum(np.bincount(np.sort(rows) - np.arange(len(rows)), minlength=n + 1))
+        moved = keys + shift[keys & _ROW]
+        new = symbols.astype(np.int64) << _SYMBOL | rows
+        turn = np.argsort(new)
+        at = np.searchsorted(moved, new[turn]) + np.arange(len(new))
+        open_ = np.ones(n + len(rows), bool)
+        open_[at] = False
+        self._keys = _merged(moved, open_, new[turn], at)
+        back = np.empty(len(new), np.int64)
+        back[turn] = at
         return back
 
+    def _prefixes(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Common prefixes of the suffixes that go in with the rows before and after them; 0 where another symbol begins."""
+        keys, n = self._keys, len(self._keys)
+        mine = keys[place]
+        out = []
+        for step in (-1, 1):
+            beside = place + step
+            other = keys[np.clip(beside, 0, n - 1)]
+            alike = (beside >= 0) & (beside < n) & (other >> _SYMBOL == mine >> _SYMBOL)
+            first, last = (other, mine) if step < 0 else (mine, other)
+            chosen = np.flatnonzero(alike)
+            chosen = chosen[np.argsort(-(last[chosen] & _ROW), kind="stable")]
+            found = np.zeros(len(place), np.uint16)
+            found[chosen] = _least(self.lcp, (first[chosen] & _ROW) + 1, last[chosen] & _ROW) + np.uint16(1)
+            out.append(found)
+        return out[0], out[1]
+
     def suffix_rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, strings, rows) of all suffixes of each length, by going back from the end marks."""
         n = len(self.bwt)
