@@ -5,10 +5,11 @@ pieces that can't lose a repeat. Each window has an anchor, the least of its gra
 hash (the first of equal ones); equal windows have equal anchors at the same place,
 so all windows that begin around an anchor are compared with those of equal anchors
 alone. A piece is the text of a run of windows with one anchor: each window starts in
-exactly one piece. Pieces that are equal are repeated as a whole and are sorted once;
-anchors whose pieces differ are sorted column by column (suffixes.Columns), whole
-groups of pieces in batches of bounded size. A group of more than CROWD different
-pieces is counted by window hashes instead, which needs no task to hold it.
+exactly one piece, and pieces of an anchor are aligned at it. Pieces that are equal are
+repeated as a whole and stand for each other; anchors whose pieces differ are sorted
+column by column (suffixes.Segments), whole groups of pieces in batches of bounded
+size. A group of more than CROWD different pieces is counted by window hashes instead,
+which needs no task to hold it.
 
 Defined results: a null text is empty; windows never cross texts; texts shorter than
 WINDOW keep everything; a text that occurs more than once goes as a whole; ids may be
@@ -76,8 +77,8 @@ def _window_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, first window, last window) of the runs of windows with the same anchor, in order."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor, its place, first window, last window) of the runs of windows with the same anchor, in order."""
     hashes, places, firsts = [], [], []
     total = len(data) - WINDOW + 1
     for a in range(0, total, _CHUNK):
@@ -91,18 +92,20 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places.append(place[first] + a)
         firsts.append(first + a)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     h, place, first = map(np.concatenate, (hashes, places, firsts))
     new = np.diff(place, prepend=-1) != 0  # a run goes on over the border of chunks
-    h, first = h[new], first[new]
-    return h, first, np.append(first[1:], total) - 1
+    h, place, first = h[new], place[new], first[new]
+    return h, place, first, np.append(first[1:], total) - 1
 
 
-_FOUND = "t binary, h long, p long, start int, stop int, size int, again boolean"
+#: shape is a piece's size and, in the low byte, where its anchor is.
+_FOUND = "t binary, h long, p long, start int, stop int, shape int, again boolean"
 
 
 def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece: text, anchor, hash of the piece's bytes, where it starts and ends, its size.
+    """A row for each piece: text, anchor, hash of the piece's bytes, where it starts and ends, its shape.
 
     Equal pieces that follow each other, as in a run of one character, are one row
     from the first's start to the last's end, repeated (again) by itself.
@@ -114,7 +117,7 @@ def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, text in zip(batch["t"], batch["text"], strict=True):
             text = text.as_buffer()
             t = t.as_py()
-            h, first, last = anchors(np.frombuffer(text, np.uint8))
+            h, place, first, last = anchors(np.frombuffer(text, np.uint8))
             view = memoryview(text)
             for a in range(0, len(h), _ROWS):
                 b = min(a + _ROWS, len(h))
@@ -126,7 +129,8 @@ def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heads = np.flatnonzero(~same)
                 ends = np.append(heads[1:], b - a) - 1
                 columns = (
-                    [t] * len(heads), h[a:b][heads].view(np.int64), p[heads], first[a:b][heads], last[a:b][ends] + WINDOW, size[heads], ends > heads,
+                    [t] * len(heads), h[a:b][heads].view(np.int64), p[heads], first[a:b][heads], last[a:b][ends] + WINDOW,
+                    (size << 8 | place[a:b] - first[a:b])[heads], ends > heads,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -153,17 +157,19 @@ def _marks(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What repeats of the pieces that are not repeated as a whole; rows come sorted by anchor."""
 
-    def sorted_batch(held: dict[tuple[bytes, int], tuple[bytes, bool]]) -> Iterator[pa.RecordBatch]:
+    def sorted_batch(held: dict[tuple[bytes, int], dict]) -> Iterator[pa.RecordBatch]:
         out = []
-        found = repeated_starts([piece for piece, _ in held.values()], WINDOW)
-        for ((t, start), (_, again)), at in zip(held.items(), found, strict=True):
-            if len(at) and not again:
-                out += [(t, int(a) + start, int(b) + start) for a, b in zip(*_spans(at), strict=True)]
+        rows = list(held.values())
+        number = {h: k for k, h in enumerate(dict.fromkeys(r["h"] for r in rows))}
+        found = repeated_starts([r["piece"] for r in rows], [r["lead"] for r in rows], [number[r["h"]] for r in rows], WINDOW)
+        for r, at in zip(rows, found, strict=True):
+            if len(at) and not r["again"]:
+                out += [(r["t"], int(a) + r["start"], int(b) + r["start"]) for a, b in zip(*_spans(at), strict=True)]
         if out:
             yield _marks(out)
 
     reuse()
-    held: dict[tuple[bytes, int], tuple[bytes, bool]] = {}
+    held: dict[tuple[bytes, int], dict] = {}
     size, before = 0, None
     for batch in batches:
         for r in batch.to_pylist():
@@ -172,13 +178,13 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = {}, 0
             before = r["h"]
             if (r["t"], r["start"]) not in held:
-                held[r["t"], r["start"]] = (r["piece"], r["again"])
+                held[r["t"], r["start"]] = r
                 size += len(r["piece"])
     if held:
         yield from sorted_batch(held)
 
 
-_PIECE = "t binary, h long, start int, piece binary, again boolean, pieces long"
+_PIECE = "t binary, h long, start int, lead int, piece binary, again boolean, pieces long"
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in zip(batch["t"], batch["text"], batch["members"], strict=True):
             t, text = r[0].as_py(), r[1].as_buffer()
             for m in r[2].as_py():
-                rows.append(m | {"t": t, "piece": text[m["start"] : m["start"] + m["size"]].to_pybytes()})
+                rows.append(m | {"t": t, "lead": m["shape"] & 255, "piece": text[m["start"] : m["start"] + (m["shape"] >> 8)].to_pybytes()})
                 if len(rows) == _ROWS:
                     yield _piece_rows(rows)
                     rows = []
@@ -196,7 +202,7 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _piece_rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"t": pa.binary(), "h": pa.int64(), "start": pa.int32(), "piece": pa.binary(), "again": pa.bool_(), "pieces": pa.int64()}
+    kinds = {"t": pa.binary(), "h": pa.int64(), "start": pa.int32(), "lead": pa.int32(), "piece": pa.binary(), "again": pa.bool_(), "pieces": pa.int64()}
     return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], k) for c, k in kinds.items()})
 
 
@@ -266,14 +272,14 @@ def repeated_spans(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     hits = keep(hits.drop("p", "least"), f"{folder}/hits", tidy=True)
 
     # Texts of one member of each piece, each from one row of its text.
-    members = hits.filter("member").groupBy("t").agg(F.collect_set(F.struct("h", "start", "size", "again", "pieces")).alias("members"))
+    members = hits.filter("member").groupBy("t").agg(F.collect_set(F.struct("h", "start", "shape", "again", "pieces")).alias("members"))
     members = members.join(copies.select(F.col("t"), F.col("doc_id").alias("_from")), "t")
     here = F.col("doc_id").eqNullSafe(F.col("_from")) & (F.col("texts.t") == F.col("members.t"))
     cut = texts.alias("texts").join(members.alias("members"), here).select("texts.t", F.col("text").cast("binary").alias("text"), "members")
     pieces = keep(cut.mapInArrow(released(_cut_pieces), _PIECE), f"{folder}/cut", tidy=True)
     by_anchor = pieces.filter(F.col("pieces") <= CROWD).repartition("h").sortWithinPartitions("h")
     marks = hits.filter("again").select("t", "start", "stop")
-    marks = marks.union(by_anchor.select("t", "h", "start", "piece", "again").mapInArrow(released(_sort_groups), _MARK))
+    marks = marks.union(by_anchor.select("t", "h", "start", "lead", "piece", "again").mapInArrow(released(_sort_groups), _MARK))
     crowded = pieces.filter(F.col("pieces") > CROWD)
     if not crowded.isEmpty():
         marks = marks.union(_crowd_marks(crowded, folder))

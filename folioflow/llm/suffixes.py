@@ -1,147 +1,103 @@
-"""The Burrows-Wheeler transform and common prefixes of many short strings, built column by column.
-
-In round j the suffix of length j of every string goes in. Its place follows from
-that of the suffix before it: the suffixes that begin with a symbol stand in the
-order in which the transform holds that symbol. Its common prefixes with the rows
-around it are one longer than the least common prefix between two occurrences of the
-symbol. A round reads the transform and the common prefixes once from front to back
-and writes the next ones. Work grows with the number of strings times the square of
-their length, memory with the bytes, so callers pass strings of bounded length in
-batches of bounded size.
+"""The Burrows-Wheeler order and common prefixes of many aligned strings, built column by column.
+
+Strings of a group are laid out so that equal substrings of interest stand in the
+same columns. A symbol is then a byte with its column, so the suffixes that begin in
+one column are one segment of the collection's transform, and a round that puts in
+the column before writes one more segment and leaves the others as they are: segments
+are made and read one after the other, and only the newest is held.
+
+A round inserts one symbol of every string. The suffixes that begin with a symbol
+stand in the order in which the last segment's transform holds it, so a stable sort by
+symbol gives the new segment. Two neighbours with the same symbol have a common prefix
+one longer than the least one between their places before; others have none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
 
 def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The least of values[first..last] for ranges whose last places don't increase."""
-    if not len(first):
-        return np.zeros(0, values.dtype)
-    cuts = np.empty(2 * len(first), np.int64)
-    cuts[::2], cuts[1::2] = first, last + 1
-    # A range ends at or after the start of the next one, so what lies between ranges is never read.
-    return np.minimum.reduceat(np.append(values, values.dtype.type(0)), cuts)[::2]
-
-
-#: A row's place in the low bits of a key, below its symbol.
-_ROW = np.int64((1 << 48) - 1)
-_SYMBOL = 48
-
-
-def _merged(old: np.ndarray, there: np.ndarray, new: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """new at the places at, and old in order at the places where there is true."""
-    out = np.empty(len(there), old.dtype)
-    out[there] = old
-    out[at] = new
+    """The least of values[first..last] for each range."""
+    turn = np.argsort(-last)
+    cuts = np.empty(2 * len(turn), np.int64)
+    cuts[::2], cuts[1::2] = first[turn], last[turn] + 1
+    out = np.empty(len(turn), values.dtype)
+    # By falling ends, a range ends at or after the next one's start, so what lies between ranges is never read.
+    out[turn] = np.minimum.reduceat(np.append(values, values.dtype.type(0)), cuts)[::2] if len(turn) else 0
     return out
 
 
-class Columns:
-    """The transform of strings without the byte 255, each with an end mark that sorts by the string's number.
+class Segments:
+    """The rows of one column at a time, from the last column to the first.
 
-    bwt has the byte before each suffix, plus 1, and 0 where a string begins; lcp
-    the common prefix of each row with the row before. While it grows, keys holds all
-    rows by symbol and place, so that a row's rank among those of its symbol is known
-    where it goes in and nothing is sorted again.
+    rows has the strings with a symbol in the column, by group and then by their
+    suffixes from there; common the length of each row's common prefix with the row
+    before, 0 for the first of a group. leads are the columns that strings begin
+    before the one at which they are aligned; groups do not decrease.
     """
 
-    def __init__(self, strings: Sequence[bytes]):
-        self.sizes = np.array([len(s) for s in strings], np.int64)
-        ends = np.cumsum(self.sizes)
-        data = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-        count = len(strings)
-        self.count = count
-        self.bwt = np.where(self.sizes > 0, data[np.maximum(ends - 1, 0)] if len(data) else 0, 0).astype(np.uint8)
-        self.lcp = np.zeros(count, np.uint16)
-        keys = self.bwt.astype(np.int64) << _SYMBOL | np.arange(count)
-        turn = np.argsort(keys)
-        self._keys = keys[turn]
-        place = np.empty(count, np.int64)  # of a string's newest row among keys
-        place[turn] = np.arange(count)
-        by_size = np.argsort(-self.sizes, kind="stable")
-        sizes = self.sizes[by_size]
-        active = count
-        for length in range(1, int(sizes[0]) + 1 if count else 0):
-            active = int(np.searchsorted(-sizes[:active], -length, "right"))
-            of = by_size[:active]
-            before = ends[of] - length - 1
-            symbols = np.where(sizes[:active] > length, data[np.maximum(before, 0)], 0).astype(np.uint8)
-            place[of] = self._insert(place[of], symbols)
-        del self._keys
-
-    def _insert(self, place: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Put in the suffixes that follow the rows at place among keys by one symbol, which symbols come before; returns their places."""
-        keys, n = self._keys, len(self._keys)
-        begun = int(np.searchsorted(keys, 1 << _SYMBOL))  # rows without a symbol come first
-        rows = self.count + place - begun
-        there = np.ones(n + len(rows), bool)
-        there[rows] = False
-        least = self._prefixes(place)
-        self.bwt = _merged(self.bwt, there, symbols, rows)
-        self.lcp = _merged(self.lcp, there, least[0], rows)
-        self.lcp[rows[least[1] > 0] + 1] = least[1][least[1] > 0]
-        # A row moves on by the number of new rows that come before it.
-        shift = np.cumsum(np.bincount(np.sort(rows) - np.arange(len(rows)), minlength=n + 1))
-        moved = keys + shift[keys & _ROW]
-        new = symbols.astype(np.int64) << _SYMBOL | rows
-        turn = np.argsort(new)
-        at = np.searchsorted(moved, new[turn]) + np.arange(len(new))
-        open_ = np.ones(n + len(rows), bool)
-        open_[at] = False
-        self._keys = _merged(moved, open_, new[turn], at)
-        back = np.empty(len(new), np.int64)
-        back[turn] = at
-        return back
-
-    def _prefixes(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Common prefixes of the suffixes that go in with the rows before and after them; 0 where another symbol begins."""
-        keys, n = self._keys, len(self._keys)
-        mine = keys[place]
-        out = []
-        for step in (-1, 1):
-            beside = place + step
-            other = keys[np.clip(beside, 0, n - 1)]
-            alike = (beside >= 0) & (beside < n) & (other >> _SYMBOL == mine >> _SYMBOL)
-            first, last = (other, mine) if step < 0 else (mine, other)
-            chosen = np.flatnonzero(alike)
-            chosen = chosen[np.argsort(-(last[chosen] & _ROW), kind="stable")]
-            found = np.zeros(len(place), np.uint16)
-            found[chosen] = _least(self.lcp, (first[chosen] & _ROW) + 1, last[chosen] & _ROW) + np.uint16(1)
-            out.append(found)
-        return out[0], out[1]
-
-    def suffix_rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, strings, rows) of all suffixes of each length, by going back from the end marks."""
-        n = len(self.bwt)
-        order = np.argsort(self.bwt, kind="stable")
-        follow = np.empty(n, np.int64)
-        follow[order] = np.arange(n)
-        follow += self.count - (n - np.count_nonzero(self.bwt))
-        strings, rows, length = np.arange(self.count), np.arange(self.count), 0
-        while len(strings):
-            yield length, strings, rows
-            length += 1
-            left = self.sizes[strings] >= length
-            strings, rows = strings[left], follow[rows[left]]
-
-
-def repeated_starts(strings: Sequence[bytes], window: int) -> list[np.ndarray]:
-    """For each string the starts, in order, of its substrings of window bytes that also start elsewhere in strings."""
-    built = Columns(strings)
-    alike = np.append(built.lcp, np.uint16(0))
-    longest = np.maximum(alike[:-1], alike[1:])
-    found_in, found_at = [], []
-    for length, of, rows in built.suffix_rows():
-        if length >= window:
-            hit = of[longest[rows] >= window]
-            found_in.append(hit)
-            found_at.append(built.sizes[hit] - length)
-    if not found_in:
-        return [np.zeros(0, np.int64) for _ in strings]
+    def __init__(self, strings: Sequence[bytes], leads: Sequence[int], groups: Sequence[int]):
+        sizes = np.array([len(s) for s in strings], np.int64)
+        lead = np.array(leads, np.int64)
+        self.begin = (lead.max(initial=0) - lead).astype(np.int64)
+        self.end = self.begin + sizes
+        self.column = int(self.end.max(initial=0))
+        self._groups = np.array(groups, np.int64)
+        self._grid = np.zeros((self.column, len(strings)), np.uint8)
+        of = np.repeat(np.arange(len(strings)), sizes)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes - self.begin, sizes)
+        self._grid[at, of] = np.frombuffer(b"".join(strings), np.uint8)
+        self._by_end = np.argsort(self.end, kind="stable")
+        self._ends = self.end[self._by_end]
+        self.rows = np.zeros(0, np.int64)
+        self.common = np.zeros(0, np.int32)
+
+    def insert(self) -> None:
+        """Go on to the column before."""
+        self.column -= 1
+        self._leave()
+        self._enter()
+        rows, common = self.rows, self.common
+        symbols = self._groups[rows] << 8 | self._grid[self.column, rows]
+        turn = np.argsort(symbols, kind="stable")
+        symbols = symbols[turn]
+        alike = np.flatnonzero(symbols[1:] == symbols[:-1])
+        self.common = np.zeros(len(rows), np.int32)
+        self.common[alike + 1] = _least(common, turn[alike] + 1, turn[alike + 1]) + 1
+        self.rows = rows[turn]
+
+    def _leave(self) -> None:
+        """Take out strings that begin after this column; a row's prefix in common is then the least on the way to its new neighbour."""
+        stay = np.flatnonzero(self.begin[self.rows] <= self.column)
+        if len(stay) < len(self.rows):
+            cuts = np.append(0, stay[:-1] + 1) if len(stay) else stay
+            self.common = np.minimum.reduceat(self.common[: stay[-1] + 1], cuts) if len(stay) else self.common[:0]
+            self.rows = self.rows[stay]
+
+    def _enter(self) -> None:
+        """Put strings that end with this column, whose suffix is empty so far, before the others of their groups."""
+        a, b = np.searchsorted(self._ends, [self.column + 1, self.column + 2])
+        new = np.sort(self._by_end[a:b])
+        if len(new):
+            rows = np.concatenate([new, self.rows])
+            turn = np.argsort(self._groups[rows], kind="stable")
+            self.rows = rows[turn]
+            self.common = np.concatenate([np.zeros(len(new), np.int32), self.common])[turn]
+
+
+def repeated_starts(strings: Sequence[bytes], leads: Sequence[int], groups: Sequence[int], window: int) -> list[np.ndarray]:
+    """For each string the starts, in order, of its substrings of window bytes that another string of its group has in the same columns."""
+    segments = Segments(strings, leads, groups)
+    found_in, found_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while segments.column:
+        segments.insert()
+        common = np.append(segments.common, 0)
+        hit = segments.rows[np.maximum(common[:-1], common[1:]) >= window]
+        found_in.append(hit)
+        found_at.append(segments.column - segments.begin[hit])
     of, at = np.concatenate(found_in), np.concatenate(found_at)
     turn = np.lexsort((at, of))
-    return np.split(at[turn], np.searchsorted(of[turn], np.arange(1, len(strings))))
+    return np.split(at[turn], np.searchsorted(of[turn], np.arange(1, len(strings)))) if len(strings) else []

@@ -8,38 +8,46 @@ import numpy as np
 import pytest
 
 from folioflow.llm import queries, repeats
-from folioflow.llm.suffixes import Columns, repeated_starts
+from folioflow.llm.suffixes import Segments, repeated_starts
 
 SF = "/root/testdata/sf0.001"
 W = 200
 
 
-def test_transform_and_prefixes_equal_a_sort():
+def aligned(rng, many=8):
+    n = rng.randint(0, many)
+    strings = [bytes(rng.choices(b"ab\x00\xff", k=rng.randint(1, 14))) for _ in range(n)]
+    return strings, [rng.randint(0, 4) for _ in strings], sorted(rng.randint(0, 2) for _ in strings)
+
+
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_segments_equal_a_sort():
     rng = random.Random(1)
-    for _ in range(150):
-        strings = [bytes(rng.choices(b"ab\x00\xf4", k=rng.randint(0, 14))) for _ in range(rng.randint(1, 8))]
-        built = Columns(strings)
-        rows = {}
-        for length, of, at in built.suffix_rows():
-            rows |= {int(r): (strings[i][len(strings[i]) - length :], int(i), length) for i, r in zip(of, at, strict=True)}
-        suffixes = [rows[r] for r in range(len(built.bwt))]
-        # An end mark sorts before all bytes, and by its string's number.
-        assert suffixes == sorted(suffixes, key=lambda s: (*((b + 1, 0) for b in s[0]), (0, s[1])))
-        assert len(set(suffixes)) == sum(map(len, strings)) + len(strings)
-        for r, (_, i, length) in enumerate(suffixes):
-            assert built.bwt[r] == (strings[i][-length - 1] + 1 if length < len(strings[i]) else 0)
-        for r in range(1, len(suffixes)):
-            a, b = suffixes[r - 1][0], suffixes[r][0]
-            assert built.lcp[r] == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for _ in range(200):
+        strings, leads, groups = aligned(rng)
+        built = Segments(strings, leads, groups)
+        while built.column:
+            built.insert()
+            here = [k for k, b in enumerate(built.begin) if b <= built.column < built.end[k]]
+            suffix = {k: strings[k][built.column - built.begin[k] :] for k in here}
+            rows = built.rows.tolist()
+            assert sorted(rows) == here
+            assert [(groups[k], suffix[k]) for k in rows] == sorted((groups[k], suffix[k]) for k in here)
+            wanted = [common(suffix[i], suffix[j]) if groups[i] == groups[j] else 0 for i, j in zip(rows, rows[1:], strict=False)]
+            assert built.common.tolist() == ([0, *wanted] if rows else [])
 
 
 def test_repeated_starts():
     rng = random.Random(2)
-    for _ in range(100):
-        strings = [bytes(rng.choices(b"abc", k=rng.randint(0, 12))) for _ in range(rng.randint(0, 6))]
-        counts = Counter(s[i : i + 3] for s in strings for i in range(len(s) - 2))
-        got = repeated_starts(strings, 3)
-        assert [g.tolist() for g in got] == [[i for i in range(len(s) - 2) if counts[s[i : i + 3]] > 1] for s in strings]
+    for _ in range(200):
+        strings, leads, groups = aligned(rng, 9)
+        counts = Counter((g, i - x, s[i : i + 3]) for s, x, g in zip(strings, leads, groups, strict=True) for i in range(len(s) - 2))
+        got = repeated_starts(strings, leads, groups, 3)
+        wanted = [[i for i in range(len(s) - 2) if counts[g, i - x, s[i : i + 3]] > 1] for s, x, g in zip(strings, leads, groups, strict=True)]
+        assert [g.tolist() for g in got] == wanted
 
 
 def test_anchors_are_those_of_equal_windows(monkeypatch):
@@ -49,10 +57,12 @@ def test_anchors_are_those_of_equal_windows(monkeypatch):
     texts = [np.concatenate([rng.integers(97, 123, int(n)).astype(np.uint8), shared, rng.integers(97, 123, 900).astype(np.uint8)]) for n in (0, 5, 333, 700)]
     at = {}
     for n, text in zip((0, 5, 333, 700), texts, strict=True):
-        h, first, last = repeats.anchors(text)
+        h, place, first, last = repeats.anchors(text)
         assert first[0] == 0 and last[-1] == len(text) - W and (first[1:] == last[:-1] + 1).all()
+        assert (place >= last).all() and (place + repeats.GRAM <= first + W).all()
         for k in range(61):
-            at.setdefault(k, set()).add(int(h[np.searchsorted(first, n + k, "right") - 1]))
+            run = np.searchsorted(first, n + k, "right") - 1
+            at.setdefault(k, set()).add((int(h[run]), int(place[run]) - n))
     assert all(len(x) == 1 for x in at.values())
 
 
