@@ -34,6 +34,8 @@ SIMILARITY = 0.75
 #: Bits by which the fingerprints of a window and an item may differ. Sets of similarity 3/4 differ by 11 of 64 bits
 #: on average with a standard deviation of 3.
 RADIUS = 22
+#: The least threshold that RADIUS covers: sets of similarity 0.7 differ by 12 bits on average, and one pair in a thousand by more than 22.
+LEAST_SIMILARITY = 0.7
 #: Blocks of the index; each is searched with RADIUS // BLOCKS bits changed.
 BLOCKS = 8
 #: Items whose index a task holds, and bytes and number of documents' stretches that it is given at once, about; as many
@@ -283,8 +285,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
     """row (a number of each row of docs), doc_id, text_hash, item, item_id, similarity, start_word: the best window of each row and item."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "leaks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold must be above 0 and at most 1")
+    if not LEAST_SIMILARITY <= threshold <= 1:
+        raise ValueError(f"the threshold must be from {LEAST_SIMILARITY} to 1")
     texts = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     texts = texts.select(F.xxhash64(F.coalesce("item_id", F.lit(0)), F.col("item_id").isNull(), "text").alias("item"), "item_id", "text")
     items = keep(texts.mapInArrow(released(_item_rows), _ITEM), f"{folder}/items")
@@ -340,7 +342,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     side, match nothing; a repeated row gives its rows again; a repeated item_id
     gives a row for each of its different texts, and null is an item_id like
     others; empty tables give no rows. Other columns, whatever their names, are
-    left out.
+    left out. A threshold below LEAST_SIMILARITY is an error, as the fingerprints'
+    radius would lose windows.
     """
     return _leaks(docs, benchmark, threshold).select("doc_id", "item_id", "similarity", "start_word")
 

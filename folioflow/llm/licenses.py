@@ -89,8 +89,8 @@ _MARKS = (b"#", b"##", b"//", b"///", b"*", b"**", b"/*", b"/**", b"*/", b"--",
 THRESHOLD = 0.8
 #: A line is looked at if this share of its words is in the templates.
 KNOWN_WORDS = 0.5
-#: Names, without suffix, that make a file its directory's licence file, whatever its text's length.
-LICENSE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:\.[a-z0-9]+)?\z"
+#: Names that make a file its directory's licence file, whatever its text: LICENSE, LICENSE.txt, LICENSE-MIT, LICENSE.lib.txt, LICENSES/MIT.txt.
+LICENSE_NAMES = r"(?i)(?:^|/)(?:(?:un)?licen[cs]e|copying|notice)(?:[-_.][a-z0-9+._-]*)?\z|(?:^|/)licen[cs]es/[^/]+\z"
 #: Bytes of lines whose scores a task remembers, about.
 CACHE_BYTES = 1 << 24
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -269,17 +269,21 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     origin: header (a line or run of words of the file matches a template), file (the file is a
     licence file: by its name, or its text is little but the notice), inherited
     (from the licence file of the nearest ancestor directory, license_path) or
-    none. Of a directory's licence files the first by path counts, then the
-    greatest score. Null and empty contents have no licence of their own; a file
+    none. Of a directory's licence files with a known licence the first by path counts, then the
+    greatest score. A licence file by name whose licence is not known has none, inherits
+    nothing, and where it is all that a directory has, nothing from above comes
+    past it. A folder LICENSES speaks for the directory that it is in. Null and empty contents have no licence of their own; a file
     with a null path inherits nothing; repeated rows get the same answer each;
     an empty table gives no rows. Other columns of files are left out.
     """
     spark = files.sparkSession
     typed = files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("content").cast("string"))
     own = keep(own_licenses(typed, templates, threshold), work_dir(spark, "licenses") + "/own")
-    is_file = F.col("license").isNotNull() & (F.col("path").rlike(LICENSE_NAMES) | F.col("whole"))
-    by_rank = F.struct(F.col("path"), -F.col("score"), F.col("license"))
-    granted = own.filter(is_file & F.col("path").isNotNull()).groupBy(parent(F.col("path")).alias("dir"))
+    named = F.coalesce(F.col("path").rlike(LICENSE_NAMES), F.lit(False))
+    is_file = F.col("license").isNotNull() & (named | F.col("whole"))
+    by_rank = F.struct(F.col("license").isNull(), F.col("path"), -F.col("score"), F.col("license"))
+    speaks_for = F.when(named, F.regexp_replace(parent(F.col("path")), r"(?i)(?:^|/)licen[cs]es\z", "")).otherwise(parent(F.col("path")))
+    granted = own.filter((is_file | named) & F.col("path").isNotNull()).groupBy(speaks_for.alias("dir"))
     granted = granted.agg(F.min(by_rank).alias("grant")).select("dir", F.col("grant.license").alias("granted"), F.col("grant.path").alias("license_path"))
     granted = keep(granted, work_dir(spark, "licenses") + "/granted")
 
@@ -292,7 +296,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     nearest = found.groupBy("dir").agg(F.max_by(F.struct("granted", "license_path"), "depth").alias("up"))
     nearest = keep(nearest.select(F.col("dir").alias("up_dir"), "up.*"), work_dir(spark, "licenses") + "/nearest")
 
-    takes = F.col("license").isNull() & (parent(F.col("path")) == F.col("up_dir"))
+    takes = F.col("license").isNull() & ~named & (parent(F.col("path")) == F.col("up_dir"))
     joined = own.join(small_side(nearest), takes, "left")
     origin = (
         F.when(is_file, F.lit("file"))

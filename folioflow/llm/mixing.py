@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import prefix_sums
-from .common import HASH_BITS, bucket_bits, group_key, keep, seeded_hash, word_count, work_dir
+from .common import HASH_BITS, bucket_bits, group_key, keep, seeded_hash, small_side, word_count, work_dir
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -83,8 +83,8 @@ def _bucketed(docs: DataFrame, size: Column, seed: int, bits: int) -> DataFrame:
 def _placed(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """Add _start (words of the source before the row), source_size, number and target."""
     sizes = rows.groupBy("_source").agg(F.min("source").alias("source"), F.sum("_size").alias("source_size"))
-    table = targets(sizes, weights, share, most).drop("source")
-    return prefix_sums(rows, ["_source"], "_bucket", ["_hash", "doc_id"], F.col("_size"), "_start").join(table, "_source")
+    table = keep(targets(sizes, weights, share, most).drop("source"), work_dir(rows.sparkSession, "mix") + "/targets")
+    return prefix_sums(rows, ["_source"], "_bucket", ["_hash", "doc_id"], F.col("_size"), "_start").join(small_side(table), "_source")
 
 
 def _taken(epoch: int, whole: bool) -> Column:

@@ -552,20 +552,44 @@ def test_license_scores_and_ancestors_by_hand(spark):
     assert {i for i, (score, _) in own.items() if score >= licenses.THRESHOLD} <= direct
     assert all(got[i].score >= own[i][0] - 1e-9 for i in direct)
     granted = {}
+    named = {i for i, path, _ in files if path.rpartition("/")[2] in ("LICENSE", "COPYING.txt")}
     for i, path, _ in files:
-        if got[i].origin == "file":
+        if got[i].origin == "file" or i in named:
             folder = path.rpartition("/")[0]
-            granted[folder] = min(granted.get(folder, ("~",)), (path, -got[i].score, got[i].license))
+            granted.setdefault(folder, []).append((i not in direct, path, -(got[i].score or 0), got[i].license if i in direct else None))
     for i, path, _ in files:
         if i not in direct:
             up = path.rpartition("/")[0]
             while up and up not in granted:
                 up = up.rpartition("/")[0]
-            wanted = granted.get(up)
-            assert (got[i].license, got[i].license_path) == ((wanted[2], wanted[0]) if wanted else (None, None))
+            # An unknown licence file has nothing, and where it is all that a folder has, it stops what is above.
+            unknown, wanted, _, name = min(granted.get(up, [(True, None, 0, None)]), key=lambda x: x[:3])
+            assert (got[i].license, got[i].license_path) == ((None, None) if unknown or i in named else (name, wanted))
     assert len(granted) > 2 and len(direct) < len(files) - 20
 
 
+def test_unknown_license_files_shield_their_folder(spark):
+    mit, apache = licenses._MIT + licenses._MIT_END, "Licensed under the Apache License, Version 2.0."
+    own = "You may use this work if you send its author a postcard from your town and never sell it to anyone at all."
+    files = [
+        (1, "LICENSE", mit), (2, "a.c", "int x;"), (3, "lib/LICENSE.libbz2.txt", own), (4, "lib/b.c", "int x;"), (5, "lib/deep/c.c", "int x;"),
+        (6, "both/LICENSE-APACHE", apache), (7, "both/LICENSE.other-1.1.txt", own), (8, "both/d.c", "int x;"), (9, "named/LICENSE_APACHE", apache),
+        (10, "named/e.c", "int x;"), (11, "reuse/LICENSES/MIT.txt", mit), (12, "reuse/f.c", "int x;"), (13, "lib/COPYING", None), (14, "licenser/g.c", "int x;"),
+    ]
+    df = spark.createDataFrame(files, "id long, path string, content string")
+    got = {r.id: (r.license, r.origin) for r in licenses.scan_licenses(df).collect()}
+    assert {i for i, x in got.items() if x == (None, "none")} == {3, 4, 5, 7, 13}
+    assert got[1] == got[11] == ("MIT", "file") and got[6] == got[9] == ("Apache-2.0", "file")
+    assert got[2] == got[12] == got[14] == ("MIT", "inherited") and got[8] == got[10] == ("Apache-2.0", "inherited")
+
+
+def test_thresholds_that_the_radius_does_not_cover(spark, documents):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for threshold in (0.5, 0.69, 1.1):
+        with pytest.raises(ValueError, match="threshold"):
+            decontam.find_leaks(documents, benchmark, threshold)
+
+
 def test_licenses_of_documents(spark, documents):
     wanted = {r.doc_id for r in documents.collect() if "icensed under" in r.text or "MIT License" in r.text}
     assert {r.doc_id for r in licenses.scan_documents(documents).collect() if r.license} == wanted
