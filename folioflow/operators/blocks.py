@@ -1,7 +1,6 @@
-"""HTML to text blocks, with window functions over a token stream.
+"""HTML to text blocks: tokens by one pattern, folded into blocks inside the row.
 
-One shuffle on the document key serves all windows and the final aggregation.
-Rules: text pieces are collapsed and joined with one space; every block tag,
+A page costs no shuffle, so pages may be a stream. Rules: text pieces are collapsed and joined with one space; every block tag,
 start or end, closes the open block; text after an end tag or at the start of a
 document makes a block with the tag ``text``; whatever is inside a dropped tag
 goes, and a dropped tag that is never closed takes the rest of its document.
@@ -10,13 +9,16 @@ goes, and a dropped tag that is never closed takes the rest of its document.
 from __future__ import annotations
 
 import html as html_entities
+from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import collapse
+from ..session import ship_package
 
 _S = "[" + "".join(f"\\u{ord(c):04x}" for c in C.WHITE_SPACE) + "]"
 _NOT_S = "[^" + _S[1:-1]
@@ -73,15 +75,23 @@ def decode_entities(text: Column) -> Column:
     return F.coalesce(decoded, text)
 
 
-def decode_common_entities(text: Column) -> Column:
-    """The usual references as plain replacements, without Python: amp last."""
-    for name, char in (
-        ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("copy", "©"),
-        ("reg", "®"), ("middot", "·"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"), ("lsquo", "‘"), ("rsquo", "’"),
-        ("ldquo", "“"), ("rdquo", "”"), ("bull", "•"), ("amp", "&"),
-    ):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+def _tokens(html: str) -> Column:
+    """token, kind and name of every complete token of a page, as an array."""
+    found = F.filter(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_JAVA_TOKENS), 1), lambda t: t != "")
+
+    def described(token: Column) -> Column:
+        text = ~token.startswith("<") | ~token.endswith(">")
+        raw = token.rlike(rf"(?is)^<{_RAW}{_AFTER_NAME}.*</{_S}*{_RAW}{_S}*>\z")
+        plain, loose = (F.regexp_extract(token, x, 1) for x in _END_NAMES)
+        closing = F.when(plain != "", plain).otherwise(loose)
+        name = F.lower(F.when(text | raw, "").when(token.startswith("</"), closing).otherwise(F.regexp_extract(token, _NAME, 1)))
+        closed = token.endswith("/>") & token.rlike(rf"(?is)^{_SELF}\z")
+        kind = F.when(text, "text").when(token.startswith("</"), "end").when(closed, "self").otherwise("start")
+        return F.struct(token.alias("token"), kind.alias("kind"), name.alias("name"))
+
+    # A tag without a name is a comment, a declaration or a raw element.
+    named = F.transform(found, described)
+    return F.transform(named, lambda t: t.withField("kind", F.when((t["name"] == "") & (t["kind"] != "text"), "other").otherwise(t["kind"])))
 
 
 def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -91,69 +101,80 @@ def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     cuts off is no token, nor is what follows it: an event parser that is fed a page
     waits for the rest.
     """
-    tokens = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_JAVA_TOKENS), 1)
-    out = pages.select(F.col(key), F.posexplode(tokens).alias("pos", "token")).filter("token <> ''")
-    token = F.col("token")
-    text = ~token.startswith("<") | ~token.endswith(">")
-    raw = token.rlike(rf"(?is)^<{_RAW}{_AFTER_NAME}.*</{_S}*{_RAW}{_S}*>\z")
-    plain, loose = (F.regexp_extract(token, x, 1) for x in _END_NAMES)
-    closing = F.when(plain != "", plain).otherwise(loose)
-    name = F.when(text | raw, "").otherwise(F.lower(F.when(token.startswith("</"), closing).otherwise(F.regexp_extract(token, _NAME, 1))))
-    kind = (
-        F.when(text, "text")
-        .when(F.col("name") == "", "other")
-        .when(token.startswith("</"), "end")
-        .when(token.endswith("/>") & token.rlike(rf"(?is)^{_SELF}\z"), "self")
-        .otherwise("start")
-    )
-    return out.withColumn("name", name).withColumn("kind", kind).select(key, "pos", "token", "kind", "name")
-
-
-def _depth(up: Column, down: Column, running: Window) -> Column:
-    """Running sum of steps up and down; less its least value below 0 so far, it is a depth that stops at 0."""
-    step = F.when(up, 1).when(down, -1).otherwise(0)
-    return F.sum(step).over(running)
-
-
-def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", decode=decode_entities) -> DataFrame:
+    out = pages.select(F.col(key), F.posexplode(_tokens(html)).alias("pos", "_token"))
+    return out.select(key, "pos", "_token.token", "_token.kind", "_token.name")
+
+
+def _fold(tokens: Iterable[tuple[str, str, str]]) -> list[dict]:
+    """The blocks of a page's tokens (token, kind, name), in one pass."""
+    out: list[dict] = []
+    dropped = links = 0
+    open_: dict | None = None
+    for token, kind, name in tokens:
+        if name in _DROPPED:
+            dropped = max(dropped + _STEP.get(kind, 0), 0)
+        elif dropped or kind == "other":
+            continue
+        elif kind == "text":
+            piece = " ".join((html_entities.unescape(token) if "&" in token else token).split())
+            if piece:
+                if open_ is None:
+                    open_ = {"tag": "text", "pieces": [], "total_chars": 0, "link_chars": 0}
+                    out.append(open_)
+                open_["pieces"].append(piece)
+                open_["total_chars"] += len(piece)
+                open_["link_chars"] += len(piece) * (links > 0)
+        elif name == "a":
+            links = max(links + _STEP.get(kind, 0), 0)
+        elif name in _EDGES:
+            open_ = None
+            if kind == "start":
+                open_ = {"tag": name, "pieces": [], "total_chars": 0, "link_chars": 0}
+                out.append(open_)
+    blocks = []
+    for x in out:
+        text = " ".join(x.pop("pieces"))
+        if text:
+            blocks.append(x | {"text": text, "total_chars": max(x["total_chars"], len(text))})
+    return blocks
+
+
+_STEP = {"start": 1, "end": -1}
+_DROPPED, _EDGES = frozenset(C.DROPPED_TAGS), frozenset(C.BLOCK_TAGS)
+_BLOCK = pa.struct([("tag", pa.string()), ("text", pa.string()), ("total_chars", pa.int64()), ("link_chars", pa.int64())])
+
+
+def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, block_index (from 0), tag, text, total_chars, link_chars, is_heading of every block with text.
 
-    Null and blank documents have no blocks. Keys that repeat are taken as one
-    document, token by token, so keys should be unique. decode_common_entities
-    as decode needs no Python, for pages known to hold no other references.
+    Null and blank documents have no blocks. Each row is a document of its own, even
+    if its key repeats. Works on streams; the only Python is the fold over a row's
+    tokens, in Arrow batches, where character references are decoded too.
     """
-    running = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    kind, name = F.col("kind"), F.col("name")
-    dropped = name.isin(*C.DROPPED_TAGS)
-    out = html_tokens(pages, key, html).filter(kind != "other")
-    out = out.withColumn("_sum", _depth(dropped & (kind == "start"), dropped & (kind == "end"), running))
-    out = out.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(running)))
-    out = out.filter((F.col("_depth") == 0) & ~dropped)
-    link = name == "a"
-    out = out.withColumn("_sum", _depth(link & (kind == "start"), link & (kind == "end"), running))
-    out = out.withColumn("_link", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(running)))
-    edge = name.isin(*C.BLOCK_TAGS)
-    out = out.withColumn("_block", F.sum(F.when(edge, 1).otherwise(0)).over(running))
-    piece = F.when(kind == "text", collapse(decode(F.col("token"))))
-    out = out.withColumn("_piece", piece).filter(edge | ((kind == "text") & (F.col("_piece") != "")))
-    size = F.length("_piece")
-    parts = F.sort_array(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("pos", "_piece"))))
-    out = out.groupBy(key, "_block").agg(
-        F.max(F.when(edge & (kind == "start"), name)).alias("tag"),
-        F.array_join(F.transform(parts, lambda x: x["_piece"]), " ").alias("text"),
-        F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_chars"),
-        F.coalesce(F.sum(F.when(F.col("_link") > 0, size)), F.lit(0)).cast("long").alias("link_chars"),
-    )
-    out = out.filter(F.col("text") != "").withColumn("tag", F.coalesce("tag", F.lit("text")))
-    index = F.row_number().over(Window.partitionBy(key).orderBy("_block")) - 1
+
+    @F.arrow_udf("array<struct<tag:string,text:string,total_chars:bigint,link_chars:bigint>>")
+    def fold(tokens: pa.Array) -> pa.Array:
+        flat = tokens.flatten()
+        parts = list(zip(*(flat.field(c).to_pylist() for c in ("token", "kind", "name")), strict=True))
+        at = 0
+        out = []
+        for n in tokens.value_lengths().to_pylist():
+            out.append(_fold(parts[at : at + (n or 0)]))
+            at += n or 0
+        return pa.array(out, pa.list_(_BLOCK))
+
+    ship_package(pages.sparkSession)
+    # Not deterministic for Spark, so that filters on the result don't run it a second time.
+    folded = pages.select(F.col(key), fold.asNondeterministic()(_tokens(html)).alias("_blocks"))
+    out = folded.select(key, F.posexplode("_blocks").alias("block_index", "_block"))
     return out.select(
         key,
-        index.alias("block_index"),
-        "tag",
-        "text",
-        F.greatest("total_chars", F.length("text")).alias("total_chars"),
-        "link_chars",
-        F.col("tag").isin(*C.HEADING_TAGS).alias("is_heading"),
+        "block_index",
+        "_block.tag",
+        "_block.text",
+        "_block.total_chars",
+        "_block.link_chars",
+        F.col("_block.tag").isin(*C.HEADING_TAGS).alias("is_heading"),
     )
 
 

@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.order import running_sums
+from ..functions.text import dbfs, ratio
 from ..work import kept, work_folder
-from .audio import resample
+from .audio import duration, mono, resample
 
 #: Samples of a chunk, and of the margin on either side that a window reaches into.
 CHUNK, MARGIN = 1 << 16, 1 << 10
@@ -189,3 +191,33 @@ def wav_parts(chunks: DataFrame, name: Column) -> DataFrame:
         return pd.Series([(wav_header(int(t), int(r)) if k == 0 else b"") + pcm16(s) for k, t, r, s in zip(chunk, total, rate, samples, strict=True)])
 
     return chunks.select(name.alias("name"), F.col("chunk").alias("part"), encode("chunk", "total", "sample_rate", "samples").alias("content"))
+
+
+def chunk_metrics(rows: DataFrame, by: list[str], clip: float = C.CLIP_LEVEL, silence: float = C.SILENCE_LEVEL) -> DataFrame:
+    """by and audio.METRICS of signals in rows with start (frame), sample_rate, channels and samples: audio.signal_metrics without a row per signal."""
+    one = rows.withColumn("_abs", F.transform(mono(F.col("samples"), F.col("channels")), lambda x: F.abs(x)))
+    loud = F.filter(F.transform("_abs", lambda x, i: F.when(x > silence, F.col("start") + i)), lambda i: i.isNotNull())
+    parts = one.select(
+        *by, "sample_rate", "channels", F.size("_abs").cast("long").alias("_n"), F.array_max("_abs").alias("_peak"),
+        F.aggregate("_abs", F.lit(0.0), lambda a, x: a + x * x).alias("_square"), F.size(F.filter("_abs", lambda x: x >= clip)).alias("_clipped"),
+        F.size(F.filter("_abs", lambda x: x <= silence)).alias("_quiet"), F.array_min(loud).alias("_first"), F.array_max(loud).alias("_last"),
+    )
+    sums = parts.groupBy(*by).agg(
+        F.any_value("sample_rate").alias("sample_rate"), F.any_value("channels").alias("channels"), F.sum("_n").alias("sample_count"), F.max("_peak").alias("_peak"),
+        F.sum("_square").alias("_square"), F.sum("_clipped").alias("clipped_samples"), F.sum("_quiet").alias("_quiet"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+    )
+    n, rate = F.col("sample_count"), F.col("sample_rate")
+    return sums.select(
+        *by,
+        "sample_rate",
+        "channels",
+        "sample_count",
+        duration(n, rate).alias("duration_seconds"),
+        dbfs(F.coalesce("_peak", F.lit(0.0))).alias("peak_dbfs"),
+        dbfs(F.sqrt(F.col("_square") / F.greatest(n, F.lit(1)))).alias("rms_dbfs"),
+        F.when(n > 0, ratio(F.col("_quiet"), n)).otherwise(1.0).alias("silence_ratio"),
+        duration(F.coalesce("_first", n), rate).alias("leading_silence_seconds"),
+        duration(F.coalesce(n - F.col("_last") - 1, n), rate).alias("trailing_silence_seconds"),
+        "clipped_samples",
+        ratio(F.col("clipped_samples"), n).alias("clipped_ratio"),
+    )

@@ -1,6 +1,7 @@
 """Whole runs: e-books to narration with all reports, and the reports of existing folders.
 
-Everything is one lazy plan per output; nothing runs before a sink asks for it.
+A conversion writes its chapters, segments and audio to a work folder once, so that no
+output reads a container or calls the speech function again; reports are lazy plans.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import chapter_file
-from ..operators import audio, clean, navigation, reports, segments
+from ..operators import audio, clean, long_audio, navigation, reports, segments
 from ..operators.blocks import html_blocks
 from ..operators.classify import judged_blocks
 from ..operators.speech import tone
-from ..sinks import chapter_markers
-from ..sources import audio as audio_files
+from ..sinks import chapter_markers, write_parts
 from ..sources import containers
+from ..sources import files as audio_files
 from ..sources.reports import earlier_summary, read_reports
+from ..work import kept, work_folder
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,8 @@ class Conversion:
     """What a conversion gives, a table each; chapters without text have reports but no audio.
 
     chapters: book, chapter (from 1), title, href, text and the cleaning report.
-    documents: a measured report of each planned chapter. spoken: chapter audio.
-    audio_qc: its metrics. markers: a chapter-marker file per book. summary:
+    documents: a measured report of each planned chapter. spoken: chapter audio in
+    chunks (long_audio.assembled), so that no row holds a chapter. audio_qc: its metrics. markers: a chapter-marker file per book. summary:
     a nested row per book.
     """
 
@@ -74,14 +76,18 @@ def convert(
 ) -> Conversion:
     """Convert books (book, content) by a speech function; calls bounds how many of its calls run at a time.
 
-    A caller that asks for several outputs of a paid service should write spoken first and go on from there.
+    Each segment is spoken once: what it gives is written before anything else is made of it.
     """
-    chapters = chapter_texts(books, max_chapters, level)
+    folder = work_folder(books.sparkSession, "convert")
+    chapters = kept(chapter_texts(books, max_chapters, level), f"{folder}/chapters")
     by = ["book", "chapter", "title", "href"]
-    cut = segments.segments(chapters.filter(F.trim("text") != "").select("chapter_key", "text"), segment_chars, normalization, "chapter_key", split)
-    voiced = audio.assemble(audio.synthesize(cut, speak, rate, calls), "chapter_key")
-    spoken = chapters.select(*by, "chapter_key").join(voiced, "chapter_key").withColumn("file", F.concat(chapter_file(F.col("chapter"), F.col("title")), F.lit(".wav")))
-    qc = audio.signal_metrics(spoken).drop("samples")
+    texts = chapters.filter(F.trim("text") != "").select("chapter_key", "text")
+    cut = kept(segments.segments(texts, segment_chars, normalization, "chapter_key", split), f"{folder}/segments")
+    voiced = long_audio.assembled(audio.synthesize(cut, speak, rate, calls), "chapter_key")
+    named = chapters.select(*by, "chapter_key", F.concat(chapter_file(F.col("chapter"), F.col("title")), F.lit(".wav")).alias("file"))
+    spoken = kept(named.join(voiced, "chapter_key"), f"{folder}/spoken")
+    qc = long_audio.chunk_metrics(spoken.withColumn("channels", F.lit(1)), [*by, "chapter_key", "file"])
+    qc = kept(qc, f"{folder}/qc")
     timed = audio.timeline(qc.withColumn("idx", F.col("chapter")))
     heard = qc.select("chapter_key", F.lit(True).alias("audio_generated"))
     documents = reports.chapter_reports(chapters.withColumn("idx", F.col("chapter")).join(heard, "chapter_key", "left"))
@@ -92,6 +98,12 @@ def convert(
     )
 
 
+def write_audio(conversion: Conversion, folder: str) -> None:
+    """The chapters of a conversion as WAV files, book/file, which appear when all are complete."""
+    book = F.regexp_replace(F.regexp_extract("book", r"([^/]*)\z", 1), r"\.[^.]*\z", "")
+    write_parts(long_audio.wav_parts(conversion.spoken, F.concat_ws("/", book, F.col("file"))), folder)
+
+
 def build_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The summary of a folder of cleaning reports, one nested row: totals, integrity, reasons, candidates and all reports by name.
 
@@ -118,6 +130,12 @@ def _has(spark: SparkSession, path: str) -> bool:
 
 
 def build_audio_qc(spark: SparkSession, root: str, recursive: bool = True, suffixes: Sequence[str] = C.AUDIO_SUFFIXES) -> DataFrame:
-    """The audio report of a folder, one nested row: totals, the metrics of each file by name, and the files that can't be read."""
-    files = audio_files.list_audio(spark, root, recursive, suffixes)
-    return audio.qc_summary(audio.signal_metrics(audio_files.decode_audio(files))).withColumn("audio_root", F.lit(root)).withColumn("recursive", F.lit(recursive))
+    """The audio report of a folder, one nested row: totals, the metrics of each file by name, and the files that can't be read.
+
+    Tasks read stretches of files, so a file may be longer than a row.
+    """
+    rows = audio_files.audio_samples(spark, root, recursive, suffixes)
+    metrics = long_audio.chunk_metrics(rows.filter("error IS NULL"), ["file"]).withColumn("error", F.lit(None).cast("string"))
+    failed = rows.filter("error IS NOT NULL").select("file", "error")
+    whole = audio.qc_summary(metrics.unionByName(failed, allowMissingColumns=True))
+    return whole.withColumn("audio_root", F.lit(root)).withColumn("recursive", F.lit(recursive))

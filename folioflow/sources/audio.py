@@ -12,19 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .files import pcm_samples
 
 SCHEMA = "file string, sample_rate int, channels int, samples array<float>, error string"
 
 
 def list_audio(spark: SparkSession, path: str, recursive: bool = True, suffixes: Sequence[str] = C.AUDIO_SUFFIXES) -> DataFrame:
-    """file and content of the audio files in a folder, by suffix in any case, sorted by file."""
+    """file and content of the audio files in a folder, by suffix in any case.
+
+    Lists are sorted where they are made, so that no content is sorted along.
+    files.audio_headers and files.audio_samples read headers and stretches of files
+    instead of all of them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
-    return files.filter(suffix.isin(*[s.lower() for s in suffixes])).select(F.col("path").alias("file"), "content").orderBy("file")
+    return files.filter(suffix.isin(*[s.lower() for s in suffixes])).select(F.col("path").alias("file"), "content")
 
 
 def header_durations(files: DataFrame) -> DataFrame:
-    """file, sample_rate, channels, frames, duration_seconds by the header of each WAV file, without its samples; nulls where there is none."""
+    """file, sample_rate, channels, frames, duration_seconds of WAV files whose content is at hand, by their headers; nulls where there is none."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -46,15 +52,7 @@ def decode_pcm(content: bytes) -> tuple[int, int, np.ndarray]:
     with wave.open(io.BytesIO(content), "rb") as w:
         width, raw = w.getsampwidth(), w.readframes(w.getnframes())
         rate, channels = w.getframerate(), w.getnchannels()
-    if width == 3:
-        triple = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        wide = np.concatenate([np.zeros((len(triple), 1), np.uint8), triple], axis=1)
-        return rate, channels, (wide.reshape(-1).view("<i4") >> 8).astype(np.float32) / 2**23
-    if width == 1:
-        return rate, channels, (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    if width in (2, 4):
-        return rate, channels, np.frombuffer(raw, f"<i{width}").astype(np.float32) / 2 ** (8 * width - 1)
-    raise ValueError(f"samples of {width} bytes")
+    return rate, channels, pcm_samples(raw, width)
 
 
 def decode_audio(files: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ def _stem(suffix: str):
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """name, text and the fields of each report in folder, sorted by name; a report without a text has an empty one."""
+    """name, text and the fields of each report in folder, in no order, so that no text is sorted; a report without a text has an empty one."""
     reports = spark.read.schema(SCHEMA).json(f"{folder}/*{REPORT_SUFFIX}", multiLine=True, mode="PERMISSIVE")
     reports = reports.withColumn("name", _stem(REPORT_SUFFIX))
     texts = spark.read.text(f"{folder}/*.txt", wholetext=True).withColumn("name", _stem(TEXT_SUFFIX))
     joined = reports.join(texts.withColumnRenamed("value", "text"), "name", "left")
-    return joined.withColumn("text", F.coalesce("text", F.lit(""))).orderBy("name")
+    return joined.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def earlier_summary(text: DataFrame, column: str = "value") -> DataFrame:

@@ -16,6 +16,12 @@ def page_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("page_id long, url string, html string").parquet(folder)
 
 
+def append_blocks(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the blocks of each page as it comes: a stateless stream in append mode, each page once."""
+    blocks = html_blocks(pages)
+    return blocks.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_reports(pages: DataFrame, out: str, checkpoint: str, level: str = C.DEFAULT_LEVEL) -> StreamingQuery:
     """Write a cleaning report per page of each batch; a batch that is run again replaces its own output."""
 

@@ -3,6 +3,7 @@ import math
 import random
 import re
 import unicodedata
+import uuid
 import wave
 import zipfile
 
@@ -166,7 +167,14 @@ TWO = """<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http:
 
 def test_conversion(spark, tmp_path):
     container(tmp_path / "a.epub", "", {"O/one.xhtml": STORY.format(n=1), "O/two.xhtml": STORY.format(n=2), "O/zero.xhtml": "<p> </p>"}, TWO)
-    out = runs.convert(containers.read_containers(spark, f"{tmp_path}/*.epub"), segment_chars=60)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def speak(text):
+        (calls / uuid.uuid4().hex).write_text(text)
+        return speech.tone(text)
+
+    out = runs.convert(containers.read_containers(spark, f"{tmp_path}/*.epub"), speak, segment_chars=60)
     documents = {r.title: r for r in out.documents.collect()}
     assert set(documents) == {"One", "Two", "Zero"} and documents["Zero"].cleaned_chars == documents["Zero"].total_blocks == 0
     assert [documents[x].audio_generated for x in ("One", "Two", "Zero")] == [True, True, False]
@@ -176,12 +184,16 @@ def test_conversion(spark, tmp_path):
     spoken = {r.chapter: r for r in out.spoken.collect()}
     assert set(spoken) == {1, 2} and spoken[1].file == "chapter_001_One.wav"
     assert len(spoken[1].samples) == sum(len(r.segment) * 80 for r in parts)
+    runs.write_audio(out, f"{tmp_path}/audio")
+    with wave.open(f"{tmp_path}/audio/a/chapter_001_One.wav") as w:
+        assert (w.getnframes(), w.getframerate()) == (len(spoken[1].samples), 8000)
     summary = out.summary.first()
     assert (summary.planned_chapter_count, summary.generated_audio_count, summary.empty_chapter_count) == (3, 2, 1)
     assert summary.order_consistent and len(summary.documents) == 3
     text = out.markers.first().markers
     assert "title=Lamps" in text and "artist=W. Light" in text and text.count("[CHAPTER]") == 2
-    assert out.audio_qc.count() == 2
+    assert out.audio_qc.count() == 2 and out.covers.count() == 0
+    assert sorted(p.read_text() for p in calls.iterdir()) == sorted(r.segment for r in out.segments.collect())  # each once
     assert {r.chapter for r in runs.chapter_texts(containers.read_containers(spark, f"{tmp_path}/*.epub"), 1).collect()} == {1}
 
 
@@ -246,8 +258,7 @@ def test_sample_widths_and_channels(spark, tmp_path):
             w.setframerate(8000)
             w.writeframes(b"".join((x & (2 ** (8 * width) - 1)).to_bytes(width, "little") for x in flat))
     files = audio_source.list_audio(spark, str(tmp_path))
-    names = [r.file for r in files.collect()]
-    assert names == sorted(names)
+    names = sorted(r.file for r in files.collect())
     rms = round(20 * math.log10(math.sqrt((0.25**2 + 0 + 0.25**2) / 3)), 3)
     for r in audio.signal_metrics(audio_source.decode_audio(files)).collect():
         assert (r.channels, r.sample_count, r.peak_dbfs, r.rms_dbfs) == (2, 3, round(20 * math.log10(0.25), 3), rms)
@@ -323,6 +334,21 @@ def test_sinks(spark, tmp_path):
     assert audio_source.decode_pcm((tmp_path / "wav" / "a.wav").read_bytes())[0] == 8000
 
 
+def test_blocks_stream(spark, tmp_path):
+    from folioflow.operators.blocks import html_blocks
+    from folioflow.streaming.pages import append_blocks, page_stream
+
+    schema = "page_id long, url string, html string"
+    for k in range(2):
+        rows = [(10 * k + i, "u", f"<p>one {k}</p><h2>two {i}</h2><p>cut <b") for i in range(3)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        append_blocks(page_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    pages = spark.read.parquet(f"{tmp_path}/in")
+    assert got == sorted(tuple(r) for r in html_blocks(pages).collect()) and len(got) == 18
+    assert "Exchange" not in html_blocks(pages)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream(spark, tmp_path):
     from folioflow.streaming.pages import append_reports, page_stream
 
