@@ -17,6 +17,7 @@ from ..functions import zh
 from ..operators import audio, blocks, clean, long_audio, navigation, readability, reports, segments
 from ..functions.order import numbered
 from ..operators.classify import classify, features, first_pass, judged_blocks, second_pass, with_levels
+from .. import sinks
 from ..session import ship_package
 from . import sql as S
 
@@ -431,3 +432,128 @@ def resampled_audio(spark, sf_dir):
     out = long_audio.assembled(rows, "chapter", "vec_id", size=100)
     sums = long_audio.chunk_sums(out, ["chapter"]).join(out.select("chapter", "sample_rate").distinct(), "chapter")
     return sums.select("chapter", "sample_rate", "samples", F.round("total", 2).alias("total"))
+
+
+@query("SELECT page_id, length(coalesce(html, '')) AS chars, substr(coalesce(html, ''), 1, 200) AS head, length(coalesce(html, '')) > 200 AS cut FROM pages")
+def html_previews(spark, sf_dir):
+    return blocks.html_preview(_pages(spark, sf_dir), 200).withColumn("chars", F.col("chars").cast("long"))
+
+
+@query(S.COVER_SUFFIXES)
+def cover_suffixes(spark, sf_dir):
+    """Image suffixes of contents that begin like images of some kinds."""
+    heads = F.array(*[F.unhex(F.lit(x)) for x in S.IMAGE_HEADS])
+    content = F.concat(F.element_at(heads, (F.col("p_partkey") % len(S.IMAGE_HEADS) + 1).cast("int")), F.col("p_name").cast("binary"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.image_suffix(content).alias("suffix"))
+
+
+@query(S.MARKERS)
+def chapter_marker_files(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (F.length("text") / 15.0).alias("duration_seconds"))
+    timed = audio.timeline(rows, "conv_id", "turn").select(F.col("conv_id").alias("book"), F.col("turn").alias("idx"), F.concat("role", F.lit("; "), F.col("turn").cast("string")).alias("title"), "start_ms", "end_ms")
+    titles = rows.filter("turn % 2 = 0").groupBy(F.col("conv_id").alias("book")).agg(F.concat(F.lit("Talk="), F.count("*").cast("string")).alias("title"), F.max("role").alias("creator"))
+    return sinks.chapter_markers(timed, titles)
+
+
+@query("""WITH items AS (SELECT page_id % 11 AS book, 'p' || page_id || '.xhtml' || CASE WHEN page_id % 4 = 0 THEN '#x' ELSE '' END AS href, html FROM pages),
+    nav AS (SELECT page_id % 11 AS book, page_id AS pos, 'p' || page_id || CASE WHEN page_id % 5 = 4 THEN '.gone' ELSE '.xhtml' END || CASE WHEN page_id % 4 < 2 THEN '#x' ELSE '' END AS href FROM pages)
+    SELECT nav.book, pos, nav.href, md5(coalesce(a.html, b.html)) AS digest FROM nav LEFT JOIN items a ON a.book = nav.book AND a.href = string_split(nav.href, '#')[1]
+        LEFT JOIN items b ON b.book = nav.book AND b.href = nav.href""")
+def chapter_bodies(spark, sf_dir):
+    """Contents of navigation entries by their reference without the fragment, else by the whole."""
+    book, key = (F.col("page_id") % 11).alias("book"), F.col("page_id").cast("string")
+    pages = table(spark, sf_dir, "pages")
+    items = pages.select(book, F.concat(F.lit("p"), key, F.lit(".xhtml"), F.when(F.col("page_id") % 4 == 0, "#x").otherwise("")).alias("href"), F.col("html").cast("binary").alias("content"))
+    end = F.when(F.col("page_id") % 5 == 4, ".gone").otherwise(".xhtml")
+    nav = pages.select(book, F.col("page_id").alias("pos"), F.concat(F.lit("p"), key, end, F.when(F.col("page_id") % 4 < 2, "#x").otherwise("")).alias("href"))
+    return navigation.with_bodies(nav, items).select("book", "pos", "href", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@query("""WITH i AS (SELECT page_id % 11 AS book, CASE page_id % 5 WHEN 4 THEN 'pic' || page_id || '.png' ELSE 'text/chapter' || lpad(page_id::VARCHAR, 7, '0') || '.xhtml' END AS href FROM pages)
+    SELECT book, row_number() OVER (PARTITION BY book ORDER BY href) AS pos, 'Chapter ' || substr(href, 13, 7) AS title, href FROM i WHERE NOT starts_with(href, 'pic')""")
+def virtual_chapters(spark, sf_dir):
+    """Navigation made of file names, in their order; pictures are no chapters."""
+    picture = F.col("page_id") % 5 == 4
+    href = F.when(picture, F.concat(F.lit("pic"), F.col("page_id").cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("text/chapter"), F.lpad(F.col("page_id").cast("string"), 7, "0"), F.lit(".xhtml")))
+    items = table(spark, sf_dir, "pages").select((F.col("page_id") % 11).alias("book"), href.alias("href"), F.when(picture, "image/png").otherwise("").alias("media_type"))
+    return navigation.virtual_navigation(items).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cleaned_chars, CASE WHEN doc_id % 3 > 0 THEN n_chars + 5 END AS raw, CASE WHEN doc_id % 4 > 0 THEN n_chars // 2 END AS kept FROM documents),
+    f AS (SELECT *, coalesce(raw, cleaned_chars) AS raw_chars, coalesce(kept, cleaned_chars) AS kept_chars FROM d)
+    SELECT doc_id, cleaned_chars, raw_chars, kept_chars, greatest(raw_chars - kept_chars, 0) AS removed_chars, {S.ratio("kept_chars", "raw_chars")} AS retention_ratio FROM f""")
+def report_defaults(spark, sf_dir):
+    """Chapter reports of which some lack counts."""
+    n = F.col("n_chars")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, n + 5).alias("raw_chars"), F.when(F.col("doc_id") % 4 > 0, F.call_function("div", n, F.lit(2))).alias("kept_chars"))
+    return reports.chapter_reports(rows).select("doc_id", "cleaned_chars", "raw_chars", "kept_chars", "removed_chars", "retention_ratio")
+
+
+def _page_reports(spark, sf_dir):
+    return clean.full_report(_judged(spark, sf_dir, (C.DEFAULT_LEVEL,))).withColumn("book", F.col("page_id") % 11)
+
+
+@query(S.JUDGED + f"SELECT page_id % 11 AS book, reason, count(*) AS blocks FROM judged {S.OF_LEVEL} AND NOT keep GROUP BY ALL")
+def merged_reasons(spark, sf_dir):
+    """Reason maps of pages added up for each of eleven books."""
+    return reports.merged_reasons(_page_reports(spark, sf_dir), "removed_reason_counts")
+
+
+@query(S.JUDGED + f"""SELECT page_id, reason, count(*) AS blocks FROM {S.PLACED} WHERE NOT keep AND (page_id % 2 = 1 OR place <= {C.LIST_CAP}) GROUP BY ALL""")
+def reason_fallbacks(spark, sf_dir):
+    """Removed reasons of pages; every other report has lost its map and has it from its samples."""
+    out = _page_reports(spark, sf_dir)
+    for c in ("removed_reason_counts", "reason_counts"):
+        out = out.withColumn(c, F.when(F.col("page_id") % 2 == 1, F.col(c)))
+    filled = reports.fallback_reasons(out)
+    return filled.select("page_id", F.explode("removed_reason_counts").alias("reason", "blocks"))
+
+
+@query("""WITH c AS (SELECT source AS book, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS idx FROM documents)
+    SELECT book, idx, doc_id FROM c""")
+def chapter_places(spark, sf_dir):
+    """The place of each document in its source, by the buckets of a sampled order."""
+    return numbered(table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id"), "book", "doc_id", "idx")
+
+
+@query("""SELECT source AS book, arg_min(lang, doc_id) AS lang, count(*) AS planned_chapter_count, count(*) FILTER (WHERE doc_id % 3 = 0) AS generated_audio_count FROM documents GROUP BY source""")
+def generated_chapters(spark, sf_dir):
+    """Planned and generated chapters of each book, and the language of its first."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("idx"), "lang", "text", F.lit(None).cast("string").alias("href"), (F.col("doc_id") % 3 == 0).alias("audio_generated"))
+    counts = reports.book_rollup(reports.chapter_reports(rows)).select("book", "planned_chapter_count", "generated_audio_count")
+    first = reports.first_value(rows, "lang").withColumnRenamed("book", "_book")
+    return counts.join(first, F.col("book").eqNullSafe(F.col("_book"))).drop("_book")
+
+
+@query("""WITH a AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN list_transform(embedding, lambda x: 0.5::FLOAT) WHEN 1 THEN [] ELSE embedding END AS s FROM embeddings)
+    SELECT vec_id, coalesce(list_max(s) - list_min(s) < 0.001, true) AS silent FROM a""")
+def silent_audio(spark, sf_dir):
+    kind = F.col("vec_id") % 5
+    samples = F.when(kind == 0, F.transform("samples", lambda x: F.lit(0.5).cast("float"))).when(kind == 1, F.slice("samples", 1, 0)).otherwise(F.col("samples"))
+    return _audio(spark, sf_dir).withColumn("samples", samples).select("vec_id", audio.is_silent().alias("silent"))
+
+
+@query(S.METRICS + """SELECT count(*) AS file_count, count(*) FILTER (WHERE vec_id % 7 > 0) AS analyzed_file_count, count(*) FILTER (WHERE vec_id % 7 = 0) AS failed_file_count,
+    count(*) FILTER (WHERE vec_id % 7 > 0 AND clipped_ratio > 0) AS clipped_file_count FROM metrics""")
+def audio_qc_failures(spark, sf_dir):
+    """The rollup of files of which every seventh can't be read."""
+    rows = audio.signal_metrics(_audio(spark, sf_dir), clip=0.25, silence=0.05).withColumn("error", F.when(F.col("vec_id") % 7 == 0, "broken"))
+    return audio.qc_rollup(rows).select("file_count", "analyzed_file_count", "failed_file_count", "clipped_file_count")
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {S.spoken("p_size")} WHEN 1 THEN '负' || {S.spoken("p_size")} WHEN 2 THEN {S.spoken("p_size")} || '点二五' ELSE '' END AS said FROM part""")
+def numbers_to_zh(spark, sf_dir):
+    """Whole, negative, decimal and blank numbers as they stand in texts."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    token = F.when(kind == 0, size).when(kind == 1, F.concat(F.lit(" -"), size)).when(kind == 2, F.concat(size, F.lit(".25"))).otherwise(" ")
+    return table(spark, sf_dir, "part").select("p_partkey", zh.number_to_zh(token).alias("said"))
+
+
+@query(S.LONG_METRICS)
+def long_signal_metrics(spark, sf_dir):
+    """Vectors of a label as one long signal, measured in rows of 64 samples."""
+    rows = numbered(_audio(spark, sf_dir), "label", "vec_id", "place")
+    rows = rows.select("label", "sample_rate", F.lit(1).alias("channels"), ((F.col("place") - 1) * 64).alias("start"), "samples")
+    out = long_audio.chunk_metrics(rows, ["label"], clip=0.25, silence=0.05)
+    return out.select("label", *METRICS)

@@ -183,8 +183,8 @@ def samples(condition: str) -> str:
         FROM judged WHERE {condition}) WHERE place <= {C.LIST_CAP}"""
 
 
-_OF_LEVEL = f"WHERE strictness = '{C.DEFAULT_LEVEL}'"
-_NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY page_id, strictness, keep ORDER BY block_index) AS place FROM judged {_OF_LEVEL})"
+OF_LEVEL = _OF_LEVEL = f"WHERE strictness = '{C.DEFAULT_LEVEL}'"
+PLACED = _NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY page_id, strictness, keep ORDER BY block_index) AS place FROM judged {_OF_LEVEL})"
 NESTED = f"""SELECT page_id, strictness, 'total' AS part, unnest(['total_blocks', 'kept_blocks', 'raw_chars', 'removed_chars']) AS item,
         unnest([total_blocks, kept_blocks, raw_chars, removed_chars])::BIGINT AS n, NULL::VARCHAR AS text FROM ({REPORT}) {_OF_LEVEL}
     UNION ALL SELECT page_id, strictness, CASE WHEN keep THEN 'kept_samples' ELSE 'removed_samples' END, reason, block_index, substr(text, 1, {C.SAMPLE_CHARS})
@@ -351,3 +351,26 @@ QC_ROLLUP = f"""SELECT label, count(*) AS file_count, count(*) AS analyzed_file_
     {rounded("sum(duration_seconds)", 3)} AS total_duration_seconds, {rounded("avg(rms_dbfs)", 3)} AS mean_rms_dbfs, {rounded("avg(peak_dbfs)", 3)} AS mean_peak_dbfs,
     count(*) FILTER (WHERE silence_ratio > {C.HIGH_SILENCE}) AS high_silence_file_count, count(*) FILTER (WHERE clipped_ratio > 0) AS clipped_file_count
     FROM metrics GROUP BY label"""
+
+#: First bytes of images of some kinds, and of none.
+IMAGE_HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "474946383761", "474946383961", "52494646000000005745425056", "424D36", "00000000")
+COVER_SUFFIXES = f"""SELECT p_partkey, [{listed((".jpg", ".png", ".gif", ".gif", ".webp", ".bmp", ".jpg"))}][p_partkey % {len(IMAGE_HEADS)} + 1] AS suffix FROM part"""
+
+_ESCAPED = "regexp_replace({}, '([=;#\\\\\\n])', '\\\\\\1', 'g')"
+MARKERS = f"""WITH t AS (SELECT conv_id AS book, turn, role || '; ' || turn AS title, (sum(ms) OVER w - ms)::BIGINT AS start_ms, (sum(ms) OVER w)::BIGINT AS end_ms FROM
+        (SELECT conv_id, turn, role, floor(length(text) / 15.0 * 1000)::BIGINT AS ms FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+    b AS (SELECT book, string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || start_ms || chr(10) || 'END=' || end_ms || chr(10) || 'title=' || {_ESCAPED.format("title")},
+        chr(10) ORDER BY turn) AS body FROM t GROUP BY book),
+    n AS (SELECT conv_id AS book, 'Talk=' || count(*) AS title, max(role) AS creator FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id)
+    SELECT b.book, ';FFMETADATA1' || coalesce(chr(10) || 'title=' || {_ESCAPED.format("n.title")}, '') || coalesce(chr(10) || 'artist=' || {_ESCAPED.format("n.creator")}, '')
+        || chr(10) || body || chr(10) AS markers FROM b LEFT JOIN n USING (book)"""
+
+_DB = rounded("20 * log10({})", 3)
+LONG_METRICS = f"""WITH v AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+    a AS (SELECT label, abs(x) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id, k) - 1 AS i FROM v),
+    m AS (SELECT label, count(*) AS n, max(x) AS peak, sqrt(sum(x * x) / count(*)) AS rms, count(*) FILTER (WHERE x >= 0.25) AS clipped, count(*) FILTER (WHERE x <= 0.05) AS quiet,
+        min(i) FILTER (WHERE x > 0.05) AS first, max(i) FILTER (WHERE x > 0.05) AS last FROM a GROUP BY label)
+    SELECT label, n AS sample_count, {rounded("n / 16000.0::DOUBLE", 3)} AS duration_seconds, CASE WHEN peak > 0 THEN {_DB.format("peak")} END AS peak_dbfs,
+        CASE WHEN rms > 0 THEN {_DB.format("rms")} END AS rms_dbfs, {ratio("quiet", "n")} AS silence_ratio,
+        {rounded("coalesce(first, n) / 16000.0::DOUBLE", 3)} AS leading_silence_seconds, {rounded("coalesce(n - last - 1, n) / 16000.0::DOUBLE", 3)} AS trailing_silence_seconds,
+        clipped AS clipped_samples, {ratio("clipped", "n")} AS clipped_ratio FROM m"""
