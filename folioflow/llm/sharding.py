@@ -22,8 +22,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFram
     The law is ``rows``: shards' row counts are at most one apart, and slots run
     without gaps from 0. Null and empty texts have size 1 and the checksum of
     nothing; a null source is a source of its own; repeated rows each get a slot,
-    and equal rows may change places among each other only. An empty table gives
-    no rows. Other columns of docs, whatever their names, are left out.
+    and equal rows may change places among each other only; equal texts are not
+    kept together, and may be in different shards. An empty table gives no rows. Other columns of docs, whatever their names, are left out.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
