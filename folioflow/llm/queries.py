@@ -107,6 +107,7 @@ ORACLE_SQL: dict[str, str] = {
     "op10_sharding": sql.SHARDS,
     "op11_filter_audit": sql.AUDIT,
     "op12_spelling_variants": sql.SPELLING,
+    "op13_repeated_passages": sql.REPEATS,
     "op7_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
         f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)

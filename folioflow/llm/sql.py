@@ -248,3 +248,18 @@ SPELLING = rf"""
     SELECT w.word, form, coalesce(last.root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n FROM w
         LEFT JOIN best ON w.word = best.word LEFT JOIN formed ON w.word = formed.word
         LEFT JOIN (SELECT * FROM reach WHERE root NOT IN (SELECT word FROM formed)) last ON w.word = last.word"""
+
+#: Every window of 200 bytes by its MD5 sum; texts are cut into parts of 1000 windows, as a place in a long text takes time to find.
+REPEATS = """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    n AS (SELECT r, doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+    parts AS (SELECT r, p * 1000 AS base, substr(h, 2000 * p + 1, 2 * 1199) AS h FROM (SELECT r, h, unnest(range(0, n // 1000 + 1)) AS p FROM n WHERE n >= 200)),
+    w AS (SELECT r, base + i AS i, md5_number(substr(h, 2 * i + 1, 400)) AS x FROM (SELECT r, base, h, unnest(range(0, least(1000, length(h) // 2 - 199))) AS i FROM parts WHERE length(h) >= 400)),
+    c AS (SELECT r, i FROM w SEMI JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) USING (x)),
+    runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM
+        (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM c)) GROUP BY r, g),
+    gaps AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+        sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(a) + 2),
+            lambda k: substr(h, 2 * coalesce(CASE WHEN k > 1 THEN b[k - 1] END, 0) + 1, 2 * (coalesce(CASE WHEN k <= len(a) THEN a[k] END, n) - coalesce(CASE WHEN k > 1 THEN b[k - 1] END, 0)))), '') END)) AS kept_sha256
+    FROM n LEFT JOIN gaps USING (r)"""

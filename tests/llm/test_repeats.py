@@ -10,6 +10,8 @@ import pytest
 from folioflow.llm import queries, repeats
 from folioflow.llm.suffixes import Segments, repeated_starts
 
+from ..duck import connect
+
 SF = "/root/testdata/sf0.001"
 W = 200
 
@@ -122,3 +124,4 @@ def test_query_equals_plain_python(spark):
     got = queries.QUERIES["op13_repeated_passages"](spark, SF)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert Counter(tuple(r) for r in got.collect()) == plain(docs)
+    assert Counter(connect(SF).sql(queries.ORACLE_SQL["op13_repeated_passages"]).fetchall()) == plain(docs)
