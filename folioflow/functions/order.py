@@ -40,12 +40,15 @@ def bucketed(df: DataFrame, keys: list[Column], bucket_rows: int | None = None)
     rows share is cut into several buckets too. _tie and _row order them. df should
     be narrow.
     """
+    folder = work_folder(df.sparkSession, "buckets")
+    # Sampling reads the rows once more, so they are made once and written.
+    df = kept(df, f"{folder}/rows")
     rows = df.count()
     buckets = min(MOST_BUCKETS, max(1, -(-rows // (bucket_rows or BUCKET_ROWS))))
     hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     tied = df.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0)).withColumn("_row", F.monotonically_increasing_id())
     dealt = tied.repartitionByRange(buckets, *keys, "_tie", "_row").withColumn("_bucket", F.spark_partition_id())
-    return kept(dealt, work_folder(df.sparkSession, "buckets"))
+    return kept(dealt, f"{folder}/dealt")
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:

@@ -155,12 +155,12 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     @F.arrow_udf("array<struct<tag:string,text:string,total_chars:bigint,link_chars:bigint>>")
     def fold(tokens: pa.Array) -> pa.Array:
         flat = tokens.flatten()
-        parts = list(zip(*(flat.field(c).to_pylist() for c in ("token", "kind", "name")), strict=True))
-        at = 0
-        out = []
-        for n in tokens.value_lengths().to_pylist():
-            out.append(_fold(parts[at : at + (n or 0)]))
-            at += n or 0
+        columns = [flat.field(c) for c in ("token", "kind", "name")]
+        at, out = 0, []
+        for n in tokens.value_lengths().fill_null(0).to_pylist():
+            # Python objects of one page at a time.
+            out.append(_fold(zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)))
+            at += n
         return pa.array(out, pa.list_(_BLOCK))
 
     ship_package(pages.sparkSession)

@@ -215,4 +215,12 @@ def decide(reclassified: DataFrame) -> DataFrame:
 
 def judged_blocks(blocks: DataFrame, levels: Sequence[str] = (C.DEFAULT_LEVEL,), key: str = "page_id") -> DataFrame:
     """Blocks with features, class, reason and keep at each of levels."""
-    return decide(reclassify(classify(with_levels(features(blocks), levels)), key))
+    return decide(reclassify(classify(with_levels(features(together(blocks, key)), levels)), key))
+
+
+def together(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """Blocks with those of a key in one partition, in which all passes over neighbours then find them.
+
+    The one shuffle comes before features and levels, which make rows wider and more.
+    """
+    return blocks.repartition(key)

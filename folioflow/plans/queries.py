@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..functions import zh
 from ..operators import audio, blocks, clean, long_audio, navigation, readability, reports, segments
 from ..functions.order import numbered
-from ..operators.classify import classify, features, first_pass, judged_blocks, second_pass, with_levels
+from ..operators.classify import classify, features, first_pass, judged_blocks, second_pass, together, with_levels
 from .. import sinks
 from ..session import ship_package
 from . import sql as S
@@ -413,14 +413,14 @@ def decoded_references(spark, sf_dir):
 
 @query(S.JUDGED + "SELECT page_id, strictness, block_index, c AS classification, r AS reason FROM fold")
 def context_pass1(spark, sf_dir):
-    out = first_pass(classify(with_levels(features(blocks.html_blocks(_pages(spark, sf_dir))), LEVELS)))
+    out = first_pass(classify(with_levels(features(together(blocks.html_blocks(_pages(spark, sf_dir)))), LEVELS)))
     return out.select("page_id", "strictness", F.col("block_index").cast("long").alias("block_index"), "classification", "reason")
 
 
 @query(S.JUDGED + "SELECT page_id, strictness, block_index, classification, reason FROM five WHERE open")
 def context_pass2(spark, sf_dir):
     """What the second pass makes of the blocks that the first one left short."""
-    out = second_pass(first_pass(classify(with_levels(features(blocks.html_blocks(_pages(spark, sf_dir))), LEVELS))))
+    out = second_pass(first_pass(classify(with_levels(features(together(blocks.html_blocks(_pages(spark, sf_dir)))), LEVELS))))
     return out.filter("_open").select("page_id", "strictness", F.col("block_index").cast("long").alias("block_index"), "classification", "reason")
 
 
