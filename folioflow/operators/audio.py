@@ -19,6 +19,9 @@ METRICS = (
     "trailing_silence_seconds", "clipped_samples", "clipped_ratio",
 )
 
+#: Samples of spoken segments that a task holds before it passes them on.
+HELD = 1 << 19
+
 
 def duration(samples: Column, rate: Column) -> Column:
     """Seconds, 3 digits; 0 where the rate is not positive."""
@@ -150,13 +153,20 @@ def synthesize(segments: DataFrame, speak: Callable[[str], np.ndarray] = tone, r
 
     speak gives the samples of a text, or None where there is no audio; see
     speech.retrying for calls that fail. A client should be made inside it, once
-    per process.
+    per process. A task passes its audio on every HELD samples, however many
+    segments it has.
     """
     rows = segments.repartition(calls) if calls else segments
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, samples array<float>, sample_rate int"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(samples=[None if (s := speak(t)) is None else np.asarray(s, np.float32) for t in f["segment"]], sample_rate=rate)
+            done, held = [], 0
+            for i, text in enumerate(f["segment"], 1):
+                done.append(None if (s := speak(text)) is None else np.asarray(s, np.float32))
+                held += 0 if s is None else len(s)
+                if held >= HELD or i == len(f):
+                    yield f.iloc[i - len(done) : i].assign(samples=done, sample_rate=rate)
+                    done, held = [], 0
 
     return rows.mapInPandas(run, schema)

@@ -5,6 +5,7 @@ import re
 import unicodedata
 import uuid
 import wave
+import weakref
 import zipfile
 
 import numpy as np
@@ -293,6 +294,25 @@ def test_assembly(spark):
     assert [r[0] for r in silent.select(audio.is_silent()).collect()] == [True, True, False]
 
 
+def test_spoken_audio_is_passed_on_in_pieces(spark):
+    """A task with many segments never holds the audio of all: each one's first sample tells how many are held."""
+    size, held = 1 << 14, []
+
+    def speak(text):
+        if text == "none":
+            return None
+        held[:] = [x for x in held if x() is not None]
+        out = np.full(size, len(held), np.float32)
+        held.append(weakref.ref(out))
+        return out
+
+    rows = spark.range(600).coalesce(1).selectExpr("id", "CASE WHEN id % 100 = 99 THEN 'none' ELSE string(id) END AS segment")
+    got = audio.synthesize(rows, speak, 16000).selectExpr("id", "segment", "size(samples) AS n", "samples[0] AS held", "sample_rate").collect()
+    assert [r.id for r in got] == list(range(600)) and {r.sample_rate for r in got} == {16000}
+    assert all(r.segment == "none" if r.n is None else (r.segment, r.n) == (str(r.id), size) for r in got)
+    assert max(r.held or 0 for r in got) * size <= 3 * audio.HELD
+
+
 def test_timeline_and_markers(spark):
     df = spark.createDataFrame([("b", 1, "One", 1.5), ("b", 2, "T=wo", 2.25)], "book string, idx int, title string, duration_seconds double")
     timed = audio.timeline(df)
