@@ -46,9 +46,13 @@ def group_to_zh(value: Column) -> Column:
 def int_to_zh(value: Column) -> Column:
     """A whole number from 0 up to below 10^16; null beyond."""
     powers = F.array(*[F.lit(10 ** (4 * k)) for k in (3, 2, 1, 0)])
-    groups = F.transform(powers, lambda p: F.call_function("div", value, p) % 10000)
-    spoken = F.array_join(let(groups, _groups_to_zh), "")
-    return F.when(value == 0, "零").when((value > 0) & (value < 10**16), spoken)
+
+    def said(v: Column) -> Column:
+        groups = F.transform(powers, lambda p: F.call_function("div", v, p) % 10000)
+        spoken = F.array_join(let(groups, _groups_to_zh), "")
+        return F.when(v == 0, "零").when((v > 0) & (v < 10000), group_to_zh(v)).when((v > 0) & (v < 10**16), spoken)
+
+    return let(value, said)
 
 
 def _groups_to_zh(groups: Column) -> Column:
@@ -65,13 +69,18 @@ def _groups_to_zh(groups: Column) -> Column:
 
 def number_to_zh(token: Column) -> Column:
     """A number as it stands in a text: blank, negative, decimal or whole. Too long whole parts stay as they are."""
-    bare = strip(token)
-    body = F.regexp_replace(bare, "^-", "")
-    whole, fraction = F.substring_index(body, ".", 1), F.regexp_replace(F.regexp_extract(body, r"\.(.*)\z", 1), "[^0-9]", "")
-    number = F.when(whole == "", F.lit(0).cast("long")).otherwise(whole.try_cast("long"))
-    spoken = F.coalesce(int_to_zh(number), whole)
-    spoken = F.when(fraction != "", F.concat(spoken, F.lit("点"), digits_to_zh(fraction))).otherwise(spoken)
-    return F.when(bare == "", bare).otherwise(F.concat(F.when(bare.startswith("-"), "负").otherwise(""), spoken))
+    # Each part is bound once: written out, a token would be cut from its text again for every digit.
+    sign = lambda bare: F.when(bare.startswith("-"), "负").otherwise("")
+    any_ = lambda bare: F.when(bare == "", bare).otherwise(F.concat(sign(bare), let(F.regexp_replace(bare, "^-", ""), _unsigned_to_zh)))
+    short = lambda v: F.when(v == 0, "零").otherwise(group_to_zh(v))
+    return let(token, lambda t: F.when(t.rlike(r"\A[0-9]{1,4}\z"), let(t.cast("long"), short)).otherwise(let(strip(t), any_)))
+
+
+def _unsigned_to_zh(body: Column) -> Column:
+    number = lambda whole: F.when(whole == "", F.lit(0).cast("long")).otherwise(whole.try_cast("long"))
+    spoken = let(F.substring_index(body, ".", 1), lambda whole: F.coalesce(int_to_zh(number(whole)), whole))
+    fraction = F.regexp_replace(F.regexp_extract(body, r"\.(.*)\z", 1), "[^0-9]", "")
+    return F.concat(spoken, let(fraction, lambda f: F.when(f != "", F.concat(F.lit("点"), digits_to_zh(f))).otherwise("")))
 
 
 def rewrite(text: Column, pattern: str, spoken: Callable[[Column], Column]) -> Column:

@@ -48,6 +48,18 @@ def test_numbers(spark):
     assert column(spark, ["-3", "2.50", "", ".5"], zh.number_to_zh) == ["负三", "二点五零", "", "零点五"]
 
 
+def test_numbers_are_read_once(spark):
+    """The token and the value stand once in their expressions, however many digits are made of them, and short ones are said as long ones."""
+    for said in (zh.number_to_zh, zh.int_to_zh):
+        assert str(said(F.col("the_token"))).count("the_token") == 1
+    tokens = ["0", "7", "007", "10", "0000", "9999", "10000", "-5", "-0", " 12 ", "3.25", ".5", "5.", "-1.0a2", "", " ", "1x", "12345678901234567890", "１２", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(zh.number_to_zh(F.col("t"))).collect()]
+    assert got == [
+        "零", "七", "七", "十", "零", "九千九百九十九", "一万", "负五", "负零", "十二", "三点二五", "零点五", "五", "负一点零二", "", "", "1x", "12345678901234567890", "１２", None,
+    ]
+
+
 def test_text_functions(spark):
     assert column(spark, ["nav.xhtml", "text/toc.xhtml", "contents.xhtml", "7358.xhtml", "chap_2.xhtml", "", "#a"], T.is_non_content_href) == [True] * 3 + [False] * 2 + [True] * 2
     assert column(spark, ["a/chapter12.xhtml", "my_part-2.html", "x", "o'neil_1st-ÉCOLE.v2.xhtml"], T.title_from_filename) == ["Chapter 12", "My Part 2", "X", "O'Neil 1St École.V2"]
