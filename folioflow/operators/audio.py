@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,12 @@ def mono(samples: Column, channels: Column) -> Column:
     return F.when((channels <= 1) | (F.size(samples) == 0), samples.cast("array<double>")).otherwise(mean)
 
 
+def frames(samples: Column, channels: Column) -> Column:
+    """Number of values that mono gives, without making them."""
+    n = F.size(samples)
+    return F.when((channels <= 1) | (n == 0), n).otherwise(F.greatest(F.floor(n / channels).cast("int"), F.lit(1)))
+
+
 def signal_metrics(audio: DataFrame, clip: float = C.CLIP_LEVEL, silence: float = C.SILENCE_LEVEL) -> DataFrame:
     """Add peak, level, clipping and silence of column samples (array), with column sample_rate.
 
@@ -48,7 +55,8 @@ def signal_metrics(audio: DataFrame, clip: float = C.CLIP_LEVEL, silence: float
     one = mono(F.col("samples"), F.col("channels")) if "channels" in audio.columns else F.col("samples")
     out = audio.withColumn("_one", one)
     out = out.withColumn("_abs", F.transform("_one", lambda x: F.abs(x.cast("double")))).drop("_one")
-    n = F.size("_abs").cast("long")
+    # From the samples as they are, so that lengths alone read no sample.
+    n = (frames(F.col("samples"), F.col("channels")) if "channels" in audio.columns else F.size("samples")).cast("long")
     square = F.aggregate("_abs", F.lit(0.0), lambda a, x: a + x * x)
     clipped = F.size(F.filter("_abs", lambda x: x >= clip)).cast("long")
     quiet = F.size(F.filter("_abs", lambda x: x <= silence))
@@ -159,14 +167,23 @@ def synthesize(segments: DataFrame, speak: Callable[[str], np.ndarray] = tone, r
     rows = segments.repartition(calls) if calls else segments
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, samples array<float>, sample_rate int"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def spoken(rows: pa.RecordBatch, audio: list[np.ndarray | None]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *(0 if s is None else len(s) for s in audio)], dtype=np.int32)
+        # A null offset makes a null list.
+        offsets = pa.array(ends, mask=np.array([*(s is None for s in audio), False]))
+        values = np.concatenate([np.empty(0, np.float32), *(s for s in audio if s is not None)])
+        samples = pa.ListArray.from_arrays(offsets, pa.array(values))
+        names, columns = [*rows.schema.names, "samples", "sample_rate"], [*rows.columns, samples, pa.array(np.full(rows.num_rows, rate, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             done, held = [], 0
-            for i, text in enumerate(f["segment"], 1):
-                done.append(None if (s := speak(text)) is None else np.asarray(s, np.float32))
+            for i, text in enumerate(b.column("segment"), 1):
+                done.append(None if (s := speak(text.as_py())) is None else np.asarray(s, np.float32))
                 held += 0 if s is None else len(s)
-                if held >= HELD or i == len(f):
-                    yield f.iloc[i - len(done) : i].assign(samples=done, sample_rate=rate)
+                if held >= HELD or i == b.num_rows:
+                    yield spoken(b.slice(i - len(done), len(done)), done)
                     done, held = [], 0
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -18,6 +18,7 @@ from folioflow.functions import text as T
 from folioflow.functions import zh
 from folioflow.operators import audio, navigation, readability, reports, segments, speech
 from folioflow.plans import books as runs
+from folioflow.plans.queries import QUERIES
 from folioflow.sources import audio as audio_source
 from folioflow.sources import containers
 from folioflow.sources import reports as report_source
@@ -325,6 +326,24 @@ def test_spoken_audio_is_passed_on_in_pieces(spark):
     assert max(r.held or 0 for r in got) * size <= 3 * audio.HELD
 
 
+def test_durations_read_no_sample(spark, tmp_path):
+    """The length of audio needs the size of its array only, no pass over the samples, and segments are dealt out by number."""
+    rows = spark.createDataFrame(
+        [(1, [0.5] * 7, 2), (2, [0.5], 2), (3, [], 2), (4, [0.5] * 3, 1), (5, None, 1), (6, [0.5] * 9, 4)], "id int, samples array<float>, channels int"
+    ).withColumn("sample_rate", F.lit(2))
+    for given, wanted in ((rows, {1: 3, 2: 1, 3: 0, 4: 3, 5: None, 6: 2}), (rows.drop("channels"), {1: 7, 2: 1, 3: 0, 4: 3, 5: None, 6: 9})):
+        out = audio.signal_metrics(given).select("id", "sample_count", "duration_seconds")
+        assert {r.id: r.sample_count for r in out.collect()} == wanted
+        assert "_abs" not in out._jdf.queryExecution().optimizedPlan().toString()
+    text = "One or two words, then a mark. " * 9
+    spark.createDataFrame([(1 + (t > 98), t, "user", text) for t in range(100)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["synthesized_durations"](spark, str(tmp_path))
+    said = {r.conv_id: r for r in out.collect()}
+    assert said[1].segments > 200 and said[2].segments == 3 and said[1].seconds > 99 * said[2].seconds
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and "MapInPandas" not in plan
+
+
 def test_timeline_and_markers(spark):
     df = spark.createDataFrame([("b", 1, "One", 1.5), ("b", 2, "T=wo", 2.25)], "book string, idx int, title string, duration_seconds double")
     timed = audio.timeline(df)
